@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+import json
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,11 +44,19 @@ def _utf32(code_hex: Column) -> Column:
 
 
 def _literal_map(pairs: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+    # one JSON literal folds to one map literal, whatever the number of entries
+    return F.from_json(F.lit(json.dumps(pairs)), "map<string,string>")
 
 
 def _named_entities() -> dict[str, str]:
-    return {**{k: chr(v) for k, v in name2codepoint.items()}, "apos": "'"}
+    common = ("amp;", "lt;", "gt;", "quot;", "nbsp;", "apos;")
+    names = [*common, *sorted(n for n in html5 if n.endswith(";") and n not in common)]
+    return {n[:-1]: html5[n] for n in names}
+
+
+def _bare_names() -> str:
+    # names browsers also accept without the semicolon, longest first
+    return "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
 
 
 def _c1_controls() -> dict[str, str]:
@@ -64,19 +73,31 @@ def _c1_controls() -> dict[str, str]:
 def decode_entities(c: Column) -> Column:
     """Named and numeric character references to text, inside the JVM."""
     named, c1 = _literal_map(_named_entities()), _literal_map(_c1_controls())
+    numeric = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6});?"
+    closed = r"^([A-Za-z][A-Za-z0-9]*);"
+    bare = f"^({_bare_names()})"
+
+    def number(p: Column) -> Column:
+        token = F.regexp_extract(p, numeric, 1)
+        decimal = F.substr(token, F.lit(2)).try_cast("int")
+        return F.when(token.rlike("^#[xX]"), _utf32(F.substr(token, F.lit(3)))).otherwise(
+            F.coalesce(F.try_element_at(c1, decimal.cast("string")), _utf32(F.hex(decimal)))
+        )
+
+    def name(p: Column) -> Column:
+        return F.try_element_at(named, F.regexp_extract(p, closed, 1))
+
+    def bare_name(p: Column) -> Column:
+        return F.try_element_at(named, F.regexp_extract(p, bare, 1))
 
     def piece(p: Column, i: Column) -> Column:
-        token = F.regexp_extract(p, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
-        rest = F.substr(p, F.length(token) + 2)
-        decimal = F.substr(token, F.lit(2))
-        number = F.try_to_number(decimal, F.lit("9999999")).cast("bigint")
-        value = (
-            F.when(token.rlike("^#[xX]"), _utf32(F.substr(token, F.lit(3))))
-            .when(token.startswith("#"), F.coalesce(F.try_element_at(c1, number.cast("string")), _utf32(F.hex(number))))
-            .otherwise(F.try_element_at(named, token))
+        return (
+            F.when(i == 0, p)
+            .when(p.rlike(numeric), F.concat(number(p), F.regexp_replace(p, numeric, "")))
+            .when(name(p).isNotNull(), F.concat(name(p), F.regexp_replace(p, closed, "")))
+            .when(p.rlike(bare), F.concat(bare_name(p), F.regexp_replace(p, bare, "")))
+            .otherwise(F.concat(F.lit("&"), p))
         )
-        decoded = F.when((token != "") & value.isNotNull(), F.concat(value, rest)).otherwise(F.concat(F.lit("&"), p))
-        return F.when(i == 0, p).otherwise(decoded)
 
     whole = F.array_join(F.transform(F.split(c, "&"), piece), "")
     return F.when(c.contains("&"), whole).otherwise(c)

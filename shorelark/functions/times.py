@@ -93,13 +93,18 @@ def sydney_minutes(ts: Column) -> Column:
     return F.floor(F.pmod(_local_seconds(ts), F.lit(86400)) / 60).cast("int")
 
 
+def _instant(iso: Column) -> Column:
+    """Minute texts with an offset first, any longer ISO form otherwise."""
+    return F.coalesce(F.try_to_timestamp(iso, F.lit("yyyy-MM-dd'T'HH:mmXXX")), F.try_to_timestamp(iso))
+
+
 def event_day(iso: Column) -> Column:
     """Date text passes through, a timestamp gives its Sydney day, anything else null."""
-    return F.when(iso.rlike(DATE_ONLY), iso.try_cast("date")).otherwise(sydney_day(F.try_to_timestamp(iso)))
+    return F.when(iso.rlike(DATE_ONLY), iso.try_cast("date")).otherwise(sydney_day(_instant(iso)))
 
 
 def event_minutes(iso: Column) -> Column:
-    return F.when(~iso.rlike(DATE_ONLY), sydney_minutes(F.try_to_timestamp(iso)))
+    return F.when(~iso.rlike(DATE_ONLY), sydney_minutes(_instant(iso)))
 
 
 def epoch_event_times(start_s: Column, end_s: Column, all_day: Column) -> tuple[Column, Column]:

@@ -402,7 +402,7 @@ def modal_weather_zone(sites: DataFrame, ordinal: str) -> DataFrame:
     """Most used weather zone per area; among equals the one that got there first."""
     counts = sites.groupBy("area", "weather_zone").agg(F.count(F.lit(1)).alias("n"), F.max(ordinal).alias("_last"))
     return counts.groupBy("area").agg(
-        F.max_by(F.struct("weather_zone", "n"), F.struct(F.col("n"), -F.col("_last"))).alias("_b")
+        F.min_by(F.struct("weather_zone", "n"), F.struct(-F.col("n"), F.col("_last"))).alias("_b")
     ).select("area", "_b.weather_zone", "_b.n")
 
 
@@ -539,7 +539,7 @@ def thin_sites(rated: DataFrame, zoom: int, ordinal: str, keep: Column) -> DataF
     size = 0.3 if zoom <= 6 else 0.15
     cell = [fx.half_up(F.col(c) / size).alias(f"_cell_{c}") for c in ("lat", "lng")]
     score = F.coalesce("score", F.lit(-1.0))
-    best = rated.groupBy(*cell).agg(F.max_by("site_id", F.struct(score, -F.col(ordinal))).alias("site_id"))
+    best = rated.groupBy(*cell).agg(F.min_by("site_id", F.struct(-score, F.col(ordinal))).alias("site_id"))
     exempt = rated.filter(keep).select("site_id")
     return rated.join(best.select("site_id").union(exempt).distinct(), "site_id", "left_semi")
 

@@ -192,7 +192,7 @@ def instructor_counts(placed: DataFrame) -> DataFrame:
 def dominant_family(placed: DataFrame, ordinal: str) -> DataFrame:
     """Most frequent family per place, the one seen first winning a tie."""
     counts = placed.groupBy("lat", "lng", "family").agg(F.count(F.lit(1)).alias("n"), F.min(ordinal).alias("_first"))
-    best = F.max_by(F.struct("family", "n"), F.struct(F.col("n"), -F.col("_first")))
+    best = F.min_by(F.struct("family", "n"), F.struct(-F.col("n"), F.col("_first")))
     return counts.groupBy("lat", "lng").agg(best.alias("_b")).select(
         "lat", "lng", F.col("_b.family").alias("family"), F.col("_b.n").alias("n")
     )
