@@ -89,7 +89,7 @@ def section_findings(text: Column, heading: str, identifier: str) -> Column:
     heading leaves it in place. So a block is a finding when the last valid heading before it stands
     after the previous block with identifiers.
     """
-    heads = F.transform(F.regexp_extract_all(text, F.lit(heading), F.lit(1)), tx.strip)
+    heads = F.transform(F.regexp_extract_all(text, F.lit(heading), F.lit(1)), lambda h: tx.strip(h))
     valid = F.transform(heads, lambda h, i: F.struct((i + 1).alias("pos"), h.alias("name"), tx.is_skip_name(h).alias("skip")))
     valid = F.filter(valid, lambda h: ~h["skip"])
     blocks = F.transform(F.split(text, heading), lambda b, i: F.struct(i.alias("pos"), b.alias("body")))

@@ -77,7 +77,7 @@ def course_family(title: Column, brand: str = "") -> Column:
 # ---- addresses ------------------------------------------------------------
 
 def address_parts(loc: Column, keep_empty: bool = False) -> Column:
-    parts = F.transform(F.split(loc, ","), tx.strip)
+    parts = F.transform(F.split(loc, ","), lambda p: tx.strip(p))
     return parts if keep_empty else F.filter(parts, lambda p: p != "")
 
 

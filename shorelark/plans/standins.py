@@ -146,7 +146,7 @@ from {nation} where n_nationkey < 11
 STANDINS["classes"] = """
 select lpad(cast(l_orderkey as string), 14, '0') || '-' || cast(l_linenumber as string) || '-'
     || lpad(cast(l_partkey as string), 12, '0') || '-' || lpad(cast(l_suppkey as string), 12, '0') || '-'
-    || cast(cast(l_quantity as int) as string) || '-' || cast(cast(l_extendedprice as bigint) as string) as ord,
+    || cast(cast(l_quantity as int) as string) || '-' || cast(cast(floor(l_extendedprice) as bigint) as string) as ord,
   cast(l_orderkey as string) as cid,
   case p_size % 12 when 0 then 'Cave Diver ' || cast(1 + p_size % 11 as string) when 1 then 'CCR Technical Diver 2'
     when 2 then 'Deep Primer' when 3 then 'Drysuit Primer ' || cast(p_size % 5 as string) when 4 then 'First Aid Instructor'
