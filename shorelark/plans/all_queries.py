@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from shorelark.plans import calendar_queries, places_queries, text_queries  # noqa: F401
+from shorelark.plans import calendar_queries, conditions_queries, places_queries, text_queries  # noqa: F401
