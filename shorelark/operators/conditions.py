@@ -22,7 +22,7 @@ from shorelark.session import shuffle_partitions
 PAST_DAYS = 3  # fixed value: days of history at the start of a feed
 FORECAST_DAYS = 7  # fixed value
 TTL_MINUTES = 30  # fixed value: age after which a feed is fetched again
-ROWS_PER_GROUP = 2_000_000
+ROWS_PER_GROUP = 100_000  # site hours one salt of a zone combination may hold
 
 
 @dataclass(frozen=True)
@@ -81,7 +81,7 @@ def flood_ratios(discharge: DataFrame, affects: DataFrame, past: int = 31, ahead
     history = F.array_sort(F.collect_list(F.when(F.col("day_idx") < past, F.col("q"))))
     base = discharge.groupBy("river", "river_ord").agg(history.alias("_h")).filter(F.size("_h") >= 10).select(
         "river", "river_ord",
-        F.greatest(F.element_at("_h", (F.floor(F.size("_h") * 0.25) + 1).cast("int")), F.lit(0.5)).alias("baseline"),
+        F.greatest(F.get("_h", F.floor(F.size("_h") * 0.25).cast("int")), F.lit(0.5)).alias("baseline"),
     )
     coming = discharge.filter(F.col("day_idx").between(past, past + ahead - 1))
     days = base.withColumn("day", F.explode(F.sequence(F.lit(0), F.lit(ahead - 1))))
@@ -162,7 +162,9 @@ def site_hours(
         salts = max(1, min(shuffle_partitions(sites.sparkSession), wanted))
     salted = prepared.withColumn("salt", F.pmod(F.xxhash64("site_id"), F.lit(salts)).cast("int"))
     spread = feed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(spread, ["marine_zone", "weather_zone", "body", "salt"])
+    # a fixed number of partitions: adaptive coalescing would size them by the small inputs, not by the fan-out
+    n, keys = shuffle_partitions(sites.sparkSession), ["marine_zone", "weather_zone", "body", "salt"]
+    return salted.repartition(n, *keys).join(spread.repartition(n, *keys), keys)
 
 
 SITE_KEY = ["marine_zone", "weather_zone", "body", "salt", "site_id"]

@@ -38,9 +38,9 @@ def table_rows(pages: DataFrame, html: str, min_cells: int, marker: str | None =
 def release_index(pages: DataFrame, html: str, base: str) -> DataFrame:
     """Index rows with a link, a date and a known platform."""
     rows = table_rows(pages, html, 3)
-    first = F.element_at("cells", 1)
+    first = F.get("cells", 0)
     name = tx.html_to_line(F.regexp_extract(first, LINK, 2))
-    date = tx.html_to_line(F.element_at("cells", 3))
+    date = tx.html_to_line(F.get("cells", 2))
     href = F.regexp_extract(first, LINK, 1)
     return rows.select(
         *[c for c in pages.columns if c != html], "row_pos", name.alias("_name"), date.alias("date"),
@@ -54,7 +54,7 @@ def release_index(pages: DataFrame, html: str, base: str) -> DataFrame:
 def schedule_rows(pages: DataFrame, html: str, marker: str = "class-details") -> DataFrame:
     """Schedule table rows as classes; an unreadable date stays as text with a null ISO date."""
     rows = table_rows(pages, html, 4, marker)
-    cell = [F.element_at("cells", i) for i in range(1, 5)]
+    cell = [F.get("cells", i) for i in range(4)]
     plain = [tx.html_to_line(c, "") for c in cell]
     return rows.select(
         *[c for c in pages.columns if c != html], "row_pos",

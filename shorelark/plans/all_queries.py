@@ -1,3 +1,11 @@
 """Importing this module registers every query."""
 
-from shorelark.plans import calendar_queries, conditions_queries, places_queries, text_queries  # noqa: F401
+from shorelark.plans import (  # noqa: F401
+    calendar_queries,
+    conditions_queries,
+    findings_queries,
+    places_queries,
+    source_queries,
+    stream_queries,
+    text_queries,
+)

@@ -281,10 +281,14 @@ def sc19(spark, sf):
     )
 
 
+# offset of a wall time: the daylight one where the time exists under it, so a repeated hour takes the first
+OFFSET_SQL = "case when timezone('Australia/Sydney', timezone('UTC', {0} - interval 11 hour)) = {0} then '11' else '10' end"
+
+
 @query(
     "sc20_local_iso",
-    """select ord, case when ord % 5 = 0 then strftime(day, '%Y-%m-%d') else strftime(local, '%Y-%m-%dT%H:%M') || '+'
-           || lpad(cast(date_diff('hour', timezone('UTC', timezone('Australia/Sydney', local)), local) as varchar), 2, '0') || ':00' end as iso
+    f"""select ord, case when ord % 5 = 0 then strftime(day, '%Y-%m-%d') else strftime(local, '%Y-%m-%dT%H:%M') || '+'
+           || {OFFSET_SQL.format('local')} || ':00' end as iso
        from (select ord, day, day + to_minutes(cast((4 + ord % 20) * 60 + ord % 60 as bigint)) as local from listing_text) x""",
     ["listing_text"],
 )
@@ -322,7 +326,7 @@ def sc21(spark, sf):
 
 @query(
     "sc22_overnight_end",
-    """select ord, strftime(local, '%Y-%m-%dT%H:%M') || '+' || lpad(cast(date_diff('hour', timezone('UTC', timezone('Australia/Sydney', local)), local) as varchar), 2, '0') || ':00' as end_at
+    f"""select ord, strftime(local, '%Y-%m-%dT%H:%M') || '+' || {OFFSET_SQL.format('local')} || ':00' as end_at
        from (select ord, day + to_days(cast(case when em > sm then 0 else 1 end as int)) + to_minutes(em) as local
          from (select ord, day, cast(1200 + ord % 200 as bigint) as sm, cast(900 + ord % 540 as bigint) as em from listing_text) a) b""",
     ["listing_text"],

@@ -230,7 +230,9 @@ def listing_events(items: DataFrame, origin: Origin, location_prefix: str, windo
 
 def inventory_items(pages: DataFrame, html: str = "html") -> DataFrame:
     """Item blocks of inventory pages: id, name, price, summary; private and nameless items are left out."""
-    blocks = F.slice(F.split(html, r"(?i)(?=<div[^>]*id=[\"']cf-item-data-)"), 2, 2**31 - 1)
+    blocks = F.filter(
+        F.split(html, r"(?i)(?=<div[^>]*id=[\"']cf-item-data-)"), lambda b: b.rlike(r"(?i)^<div[^>]*id=[\"']cf-item-data-")
+    )
     items = pages.select(*[c for c in pages.columns if c != html], F.posexplode(blocks).alias("pos", "_b"))
     number = F.regexp_extract("_b", r"id=[\"']cf-item-data-(\d+)[\"']", 1).try_cast("bigint")
     name = _text(F.regexp_extract("_b", r"(?is)<h2[^>]*>(.*?)</h2>", 1))

@@ -13,9 +13,13 @@ from shorelark.operators.scale import first_by
 from shorelark.session import scratch_path
 
 
-def landed(spark: SparkSession, folder: str, schema, kind: str = "parquet", files_per_trigger: int | None = None) -> DataFrame:
+def landed(
+    spark: SparkSession, folder: str, schema, kind: str = "parquet", names: str | None = None, files_per_trigger: int | None = None
+) -> DataFrame:
     """A drop folder as a stream; files already taken are remembered in the checkpoint."""
     reader = spark.readStream.format(kind).schema(schema)
+    if names:
+        reader = reader.option("pathGlobFilter", names)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.load(folder)
