@@ -12,6 +12,11 @@ SPACE = r"(?U)\s+"
 NBSP = "\u00a0"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` over a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), 0)
+
+
 def strip(c: Column, chars: str | None = None) -> Column:
     """Trim Unicode whitespace, or the given characters, from both ends."""
     if chars is not None:
@@ -99,8 +104,7 @@ def decode_entities(c: Column) -> Column:
             .otherwise(F.concat(F.lit("&"), p))
         )
 
-    whole = F.array_join(F.transform(F.split(c, "&"), piece), "")
-    return F.when(c.contains("&"), whole).otherwise(c)
+    return F.array_join(F.transform(F.split(c, "&"), piece), "")
 
 
 def html_to_line(c: Column, tag_becomes: str = " ") -> Column:
@@ -302,8 +306,10 @@ def _no_final_dots(c: Column) -> Column:
 
 
 def combine_impact(impact: Column, description: Column) -> Column:
-    i, d = _no_final_dots(impact), _no_final_dots(description)
-    return F.coalesce(F.concat(i, F.lit(". "), d), i, d, F.lit(DEFAULT_FINDING_TEXT))
+    parts = F.struct(_no_final_dots(impact).alias("i"), _no_final_dots(description).alias("d"))
+    return let(parts, lambda v: F.coalesce(
+        F.concat(v["i"], F.lit(". "), v["d"]), v["i"], v["d"], F.lit(DEFAULT_FINDING_TEXT)
+    ))
 
 
 # fixed values: stop words and sentence cues of advisory text
@@ -316,12 +322,19 @@ SENTENCE_TEXT = (
 
 def impact_and_description(fragment: Column) -> Column:
     """Labelled parts of a block, else its first telling sentence, else the default text."""
+    def parts(text: Column) -> Column:
+        return F.struct(
+            _no_final_dots(F.regexp_extract(text, IMPACT_TEXT, 1)).alias("i"),
+            _no_final_dots(F.regexp_extract(text, DESCRIPTION_TEXT, 1)).alias("d"),
+            _no_final_dots(F.regexp_extract(text, SENTENCE_TEXT, 1)).alias("s"),
+        )
+
+    def choose(v: Column) -> Column:
+        unlabelled = v["i"].isNull() & v["d"].isNull() & v["s"].isNotNull()
+        return F.when(unlabelled, v["s"]).otherwise(combine_impact(v["i"], v["d"]))
+
     text = collapse(F.regexp_replace(fragment, r"<[^>]+>", " "))
-    impact = _no_final_dots(F.regexp_extract(text, IMPACT_TEXT, 1))
-    description = _no_final_dots(F.regexp_extract(text, DESCRIPTION_TEXT, 1))
-    sentence = _no_final_dots(F.regexp_extract(text, SENTENCE_TEXT, 1))
-    labelled = combine_impact(impact, description)
-    return F.when(impact.isNull() & description.isNull() & sentence.isNotNull(), sentence).otherwise(labelled)
+    return let(let(text, parts), choose)
 
 
 def ids_in(c: Column, pattern: str = CVE_ID) -> Column:

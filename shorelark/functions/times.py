@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shorelark.functions.text import let
+
 ZONE = "Australia/Sydney"
 DATE_ONLY = r"^\d{4}-\d{2}-\d{2}$"
 
@@ -19,25 +21,34 @@ def two(c: Column) -> Column:
     return F.lpad(c.cast("string"), 2, "0")
 
 
+TWELVE_HOUR = r"(?U)^\s*(\d{1,2})[:.](\d{2})\s*([AaPp])\.?[Mm]\.?\s*$"
+PLAIN_HOUR = r"(?U)^\s*(\d{1,2}):(\d{2})\s*$"
+
+
 def clock_minutes(text: Column) -> Column:
     """'9:00 AM', '9.30 p.m.', '18:30' as minutes of the day; null when not a time."""
-    twelve = r"(?U)^\s*(\d{1,2})[:.](\d{2})\s*([AaPp])\.?[Mm]\.?\s*$"
-    plain = r"(?U)^\s*(\d{1,2}):(\d{2})\s*$"
-
-    def part(pattern: str, group: int) -> Column:
-        return F.regexp_extract(text, pattern, group).try_cast("int")
-
-    h12, m12, half = part(twelve, 1), part(twelve, 2), F.lower(F.regexp_extract(text, twelve, 3))
-    h24, m24 = part(plain, 1), part(plain, 2)
-    hour = (
-        F.when(h12 > 12, h12)
-        .when((half == "p") & (h12 != 12), h12 + 12)
-        .when((half == "a") & (h12 == 12), F.lit(0))
-        .otherwise(h12)
-    )
-    return F.when((half != "") & (hour < 24) & (m12 < 60), hour * 60 + m12).when(
-        (half == "") & (h24 < 24) & (m24 < 60), h24 * 60 + m24
-    )
+    def read(t: Column) -> Column:
+        def part(pattern: str, group: int) -> Column:
+            return none_unless_digits(F.regexp_extract(t, pattern, group))
+
+        half = F.lower(F.regexp_extract(t, TWELVE_HOUR, 3))
+        pattern_hour = F.when(half != "", part(TWELVE_HOUR, 1)).otherwise(part(PLAIN_HOUR, 1))
+        pattern_minute = F.when(half != "", part(TWELVE_HOUR, 2)).otherwise(part(PLAIN_HOUR, 2))
+        return F.struct(half.alias("half"), pattern_hour.alias("h"), pattern_minute.alias("m"))
+
+    def minutes(v: Column) -> Column:
+        h, half = v["h"], v["half"]
+        hour = (
+            F.when((half == "p") & (h < 12), h + 12).when((half == "a") & (h == 12), F.lit(0)).otherwise(h)
+        )
+        return F.when((hour < 24) & (v["m"] < 60), hour * 60 + v["m"])
+
+    return let(let(text, read), minutes)
+
+
+def none_unless_digits(c: Column) -> Column:
+    """Digits as a number; the empty text of a failed match is null without a failing cast."""
+    return F.when(c != "", c).try_cast("int")
 
 
 NAME_TIME = r"(?i)\b(\d{1,2})[.:]?(\d{2})?\s*([ap])\.?m\b"
@@ -45,22 +56,21 @@ NAME_TIME = r"(?i)\b(\d{1,2})[.:]?(\d{2})?\s*([ap])\.?m\b"
 
 def name_times(name: Column) -> tuple[Column, Column]:
     """Times inside an item name: the first is the start, a second one after a dash the end."""
-    tokens = F.regexp_extract_all(name, F.lit(NAME_TIME), F.lit(0))
-
     def minutes(token: Column) -> Column:
-        h = F.regexp_extract(token, NAME_TIME, 1).try_cast("int")
-        m = F.coalesce(F.regexp_extract(token, NAME_TIME, 2).try_cast("int"), F.lit(0))
+        h = none_unless_digits(F.regexp_extract(token, NAME_TIME, 1))
+        m = F.coalesce(none_unless_digits(F.regexp_extract(token, NAME_TIME, 2)), F.lit(0))
         half = F.lower(F.regexp_extract(token, NAME_TIME, 3))
         hour = F.when((half == "p") & (h != 12), h + 12).when((half == "a") & (h == 12), F.lit(0)).otherwise(h)
         return F.when((h <= 12) & (m <= 59), hour * 60 + m)
 
-    start = minutes(F.try_element_at(tokens, F.lit(1)))
-    # what stands between the first two tokens: the head of the text after the first one
-    first = F.try_element_at(tokens, F.lit(1))
-    after = F.substr(name, F.instr(name, first) + F.length(first))
-    ranged = after.rlike(r"(?i)^\s*[-–]\s*\d{1,2}[.:]?(?:\d{2})?\s*[ap]\.?m\b")
-    end = F.when(start.isNotNull() & ranged, minutes(F.try_element_at(tokens, F.lit(2))))
-    return start, end
+    def both(tokens: Column) -> Column:
+        first = F.get(tokens, 0)
+        after = F.substr(name, F.instr(name, first) + F.length(first))
+        ranged = after.rlike(r"(?i)^\s*[-–]\s*\d{1,2}[.:]?(?:\d{2})?\s*[ap]\.?m\b")
+        return F.struct(minutes(first).alias("start"), F.when(ranged, minutes(F.get(tokens, 1))).alias("end"))
+
+    found = let(F.regexp_extract_all(name, F.lit(NAME_TIME), F.lit(0)), both)
+    return found["start"], F.when(found["start"].isNotNull(), found["end"])
 
 
 def sydney_iso(day: Column, minutes: Column) -> Column:
@@ -69,15 +79,21 @@ def sydney_iso(day: Column, minutes: Column) -> Column:
     The wall time is kept as written; a time in the spring gap gets the offset before the change and
     a repeated time the first one.
     """
-    date_text = day.cast("string")
-    hour, minute = F.floor(minutes / 60).cast("int"), (minutes % 60).cast("int")
-    local = F.make_timestamp_ntz(
-        F.year(day), F.month(day), F.dayofmonth(day), hour, minute, F.lit(0)
-    )
-    utc = F.convert_timezone(F.lit(ZONE), F.lit("UTC"), local)
-    offset_h = F.round((F.unix_micros(local.cast("timestamp")) - F.unix_micros(utc.cast("timestamp"))) / 3.6e9)
-    text = F.concat(date_text, F.lit("T"), two(hour), F.lit(":"), two(minute), F.lit("+"), two(offset_h.cast("int")), F.lit(":00"))
-    return F.when(minutes.isNull(), date_text).otherwise(text)
+    def text(v: Column) -> Column:
+        hour, minute = F.floor(v["m"] / 60).cast("int"), (v["m"] % 60).cast("int")
+        local = F.make_timestamp_ntz(F.year(v["d"]), F.month(v["d"]), F.dayofmonth(v["d"]), hour, minute, F.lit(0))
+
+        def stamped(at: Column) -> Column:
+            utc = F.convert_timezone(F.lit(ZONE), F.lit("UTC"), at)
+            offset_h = F.round((F.unix_micros(at.cast("timestamp")) - F.unix_micros(utc.cast("timestamp"))) / 3.6e9)
+            return F.concat(
+                v["d"].cast("string"), F.lit("T"), two(hour), F.lit(":"), two(minute), F.lit("+"),
+                two(offset_h.cast("int")), F.lit(":00"),
+            )
+
+        return F.when(v["m"].isNull(), v["d"].cast("string")).otherwise(let(local, stamped))
+
+    return let(F.struct(day.alias("d"), minutes.alias("m")), text)
 
 
 def _local_seconds(ts: Column) -> Column:
@@ -141,10 +157,13 @@ def overnight_end(day: Column, start_min: Column, end_min: Column) -> Column:
 def long_date_iso(text: Column) -> Column:
     """'July 5, 2026' anywhere in the text as ISO text; unknown month names give null."""
     pattern = r"(?U)([A-Za-z]+)\s+(\d+),?\s+(\d{4})"
-    month = F.array_position(F.lit(list(MONTHS)), F.lower(F.regexp_extract(text, pattern, 1)))
-    day = F.regexp_extract(text, pattern, 2).try_cast("int")
-    year = F.regexp_extract(text, pattern, 3)
-    return F.when(month > 0, F.concat_ws("-", year, two(month), two(day)))
+
+    def read(t: Column) -> Column:
+        month = F.array_position(F.lit(list(MONTHS)), F.lower(F.regexp_extract(t, pattern, 1)))
+        day = none_unless_digits(F.regexp_extract(t, pattern, 2))
+        return F.struct(F.regexp_extract(t, pattern, 3).alias("y"), month.alias("m"), day.alias("d"))
+
+    return let(let(text, read), lambda v: F.when(v["m"] > 0, F.concat_ws("-", v["y"], two(v["m"]), two(v["d"]))))
 
 
 def day_from(text: Column, *formats: str) -> Column:
@@ -233,16 +252,21 @@ def chip_time(iso: Column) -> Column:
 
 
 def when_label(start: Column, end: Column, all_day: Column) -> Column:
-    s = event_day(start)
-    e = F.coalesce(event_day(end), s)
-    long_s = F.date_format(s, "EEEE d MMMM")
-    short_s, short_e = F.date_format(s, "EEE d MMM"), F.date_format(e, "EEE d MMM")
-    end_time = F.when(end.isNotNull() & ~end.rlike(DATE_ONLY), clock_label(event_minutes(end)))
-    tail = (
-        F.when(end.isNull(), F.lit(""))
-        .when(e == s, F.coalesce(F.concat(F.lit(" – "), end_time), F.lit("")))
-        .otherwise(F.concat(F.lit(" – "), short_e, F.coalesce(F.concat(F.lit(" "), end_time), F.lit(""))))
+    facts = F.struct(
+        event_day(start).alias("s"), event_day(end).alias("e"), clock_label(event_minutes(start)).alias("at"),
+        F.when(end.isNotNull() & ~end.rlike(DATE_ONLY), clock_label(event_minutes(end))).alias("until"),
     )
-    timed = F.concat(long_s, F.lit(" · "), F.coalesce(clock_label(event_minutes(start)), F.lit("")), tail)
-    whole = F.when(e != s, F.concat(short_s, F.lit(" – "), short_e)).otherwise(F.concat(long_s, F.lit(" · all day")))
-    return F.when(all_day, whole).otherwise(timed)
+
+    def label(v: Column) -> Column:
+        s, e = v["s"], F.coalesce(v["e"], v["s"])
+        long_s, short_s, short_e = F.date_format(s, "EEEE d MMMM"), F.date_format(s, "EEE d MMM"), F.date_format(e, "EEE d MMM")
+        tail = (
+            F.when(end.isNull(), F.lit(""))
+            .when(e == s, F.coalesce(F.concat(F.lit(" – "), v["until"]), F.lit("")))
+            .otherwise(F.concat(F.lit(" – "), short_e, F.coalesce(F.concat(F.lit(" "), v["until"]), F.lit(""))))
+        )
+        timed = F.concat(long_s, F.lit(" · "), F.coalesce(v["at"], F.lit("")), tail)
+        whole = F.when(e != s, F.concat(short_s, F.lit(" – "), short_e)).otherwise(F.concat(long_s, F.lit(" · all day")))
+        return F.when(all_day, whole).otherwise(timed)
+
+    return let(facts, label)

@@ -54,14 +54,15 @@ def release_index(pages: DataFrame, html: str, base: str) -> DataFrame:
 def schedule_rows(pages: DataFrame, html: str, marker: str = "class-details") -> DataFrame:
     """Schedule table rows as classes; an unreadable date stays as text with a null ISO date."""
     rows = table_rows(pages, html, 4, marker)
-    cell = [F.get("cells", i) for i in range(4)]
-    plain = [tx.html_to_line(c, "") for c in cell]
-    return rows.select(
-        *[c for c in pages.columns if c != html], "row_pos",
-        tx.none_if_empty(F.regexp_extract(cell[0], r"cid=(\d+)", 1)).alias("cid"), plain[0].alias("course"),
-        plain[1].alias("date"), tm.long_date_iso(plain[1]).try_cast("date").alias("iso"), plain[2].alias("location"),
-        tx.name_case(plain[3]).alias("instructor"),
-        tx.none_if_empty(F.regexp_extract(cell[3], r"id=(\d+)", 1)).alias("instructor_id"),
+    keys = [c for c in pages.columns if c != html]
+    plain = rows.select(
+        *keys, "row_pos", tx.none_if_empty(F.regexp_extract(F.get("cells", 0), r"cid=(\d+)", 1)).alias("cid"),
+        tx.none_if_empty(F.regexp_extract(F.get("cells", 3), r"id=(\d+)", 1)).alias("instructor_id"),
+        *[tx.html_to_line(F.get("cells", i), "").alias(c) for i, c in enumerate(("course", "date", "location", "_who"))],
+    )
+    return plain.select(
+        *keys, "row_pos", "cid", "course", "date", tm.long_date_iso(F.col("date")).try_cast("date").alias("iso"), "location",
+        tx.name_case(F.col("_who")).alias("instructor"), "instructor_id",
     )
 
 

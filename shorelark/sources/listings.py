@@ -63,27 +63,29 @@ def storefront_rows(pages: DataFrame, html: str = "html") -> DataFrame:
 
 def storefront_events(rows: DataFrame, origin: Origin, ordinal: str = "ord") -> DataFrame:
     """Rows of eight or more cells: start, end, group, places left, price and link by position."""
-    cell = [F.try_element_at(F.col("cells"), F.lit(i)) for i in range(1, 9)]
-    plain = {i: tx.html_to_line(cell[i - 1]) for i in (2, 3, 4, 6, 7)}
-    detail = tx.clean_text(tx.decode_entities(F.regexp_replace("expand", r"<[^>]+>", "\n")))
-    clock = F.regexp_extract(
-        detail, r"(?iU)Start date:\s*\d{1,2}\s+[A-Za-z]{3}\s+\d{4}(?:\s+(\d{1,2}:\d{2}\s*[AP]\.?M\.?))?", 1
+    def cell(i: int) -> Column:
+        return F.get("cells", i - 1)
+
+    # three steps, so that no text is derived more than once
+    plain = rows.filter(F.size("cells") >= 8).select(
+        ordinal, *[tx.html_to_line(cell(i)).alias(f"_c{i}") for i in (2, 3, 4, 6, 7)],
+        tx.clean_text(tx.decode_entities(F.regexp_replace("expand", r"<[^>]+>", "\n"))).alias("_detail"),
+        _text(F.regexp_extract("expand", r"(?is)<p[^>]*style=[\"'][^\"']*italic[^\"']*[\"'][^>]*>(.*?)</p>", 1)).alias("_note"),
+        _attribute(cell(8), "href").alias("_href"),
     )
-    note = _text(F.regexp_extract("expand", r"(?is)<p[^>]*style=[\"'][^\"']*italic[^\"']*[\"'][^>]*>(.*?)</p>", 1))
-    base = (
-        rows.filter(F.size("cells") >= 8)
-        .select(
-            ordinal, tm.day_from(plain[2], "d MMM yyyy").alias("_start"), tm.day_from(plain[3], "d MMM yyyy").alias("_end"),
-            F.coalesce(tx.none_if_empty(plain[4]), F.lit(FALLBACK_TITLE)).alias("_group"),
-            plain[6].try_cast("int").alias("_left"), tx.nonzero_price(plain[7]).alias("_price"),
-            tx.drop_query(tx.absolute_url(_attribute(cell[7], "href"), origin.base)).alias("_url"),
-            tm.clock_minutes(clock).alias("_min"), note.alias("_note"),
-        )
-        .filter(F.col("_start").isNotNull())
+    clock = F.regexp_extract(
+        "_detail", r"(?iU)Start date:\s*\d{1,2}\s+[A-Za-z]{3}\s+\d{4}(?:\s+(\d{1,2}:\d{2}\s*[AP]\.?M\.?))?", 1
     )
+    base = plain.select(
+        ordinal, tm.day_from(F.col("_c2"), "d MMM yyyy").alias("_start"), tm.day_from(F.col("_c3"), "d MMM yyyy").alias("_end"),
+        F.coalesce(tx.none_if_empty(F.col("_c4")), F.lit(FALLBACK_TITLE)).alias("_group"),
+        F.col("_c6").try_cast("int").alias("_left"), tx.nonzero_price(F.col("_c7")).alias("_price"),
+        tx.drop_query(tx.absolute_url(F.col("_href"), origin.base)).alias("_url"),
+        tm.clock_minutes(clock).alias("_min"), "_note",
+    ).filter(F.col("_start").isNotNull())
     head = F.regexp_extract("_note", r"(?s)^([^:]*)", 1)
     special = tx.none_if_empty(tx.drop_trailing_dates(head))
-    blurb = F.when(special.isNotNull(), tx.clean_text(F.regexp_extract("_note", r"(?s)^[^:]*:(.*)$", 1))).otherwise(F.col("_note"))
+    blurb = F.when(F.col("_special").isNotNull(), tx.clean_text(F.regexp_extract("_note", r"(?s)^[^:]*:(.*)$", 1))).otherwise(F.col("_note"))
     named = base.withColumn("_special", special).withColumn("_blurb", blurb)
     group_part = F.when(
         F.col("_special").isNotNull() & ~F.lower("_special").contains(F.lower("_group")), F.col("_group")
