@@ -85,7 +85,8 @@ def sydney_iso(day: Column, minutes: Column) -> Column:
 
         def stamped(at: Column) -> Column:
             utc = F.convert_timezone(F.lit(ZONE), F.lit("UTC"), at)
-            offset_h = F.round((F.unix_micros(at.cast("timestamp")) - F.unix_micros(utc.cast("timestamp"))) / 3.6e9)
+            utc_minutes = F.unix_date(utc.cast("date")) * 1440 + F.hour(utc) * 60 + F.minute(utc)
+            offset_h = F.round((F.unix_date(v["d"]) * 1440 + v["m"] - utc_minutes) / 60)
             return F.concat(
                 v["d"].cast("string"), F.lit("T"), two(hour), F.lit(":"), two(minute), F.lit("+"),
                 two(offset_h.cast("int")), F.lit(":00"),

@@ -72,7 +72,9 @@ def _as_list(payload: Column) -> Column:
 def _exploded(polls: DataFrame, variables: dict[str, str], start: Column) -> DataFrame:
     """Zone arrays of a poll to one row per hour, positions counted from ``start``."""
     names = ["time", *variables]
-    arrays = [F.col(f"_h.{n}").alias(n) for n in names]
+    # an absent variable is padded with nulls, it must not empty the zone
+    empty = {"time": F.array().cast("array<string>")}
+    arrays = [F.coalesce(F.col(f"_h.{n}"), empty.get(n, F.array().cast("array<double>"))).alias(n) for n in names]
     hours = polls.select("poll_id", "zone_ord", start.alias("_start"), F.posexplode(F.arrays_zip(*arrays)).alias("_i", "_v"))
     idx = F.col("_i") - F.greatest(F.col("_start"), F.lit(0))
     return hours.select(
