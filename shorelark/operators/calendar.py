@@ -25,13 +25,21 @@ CHIPS = 4  # fixed value: entries shown in a crowded day cell
 
 def explode_days(events: DataFrame) -> DataFrame:
     """One row per event and covered day; an end before the start counts as one day."""
-    first = tm.event_day(F.col("start"))
-    last = F.greatest(F.coalesce(tm.event_day(F.col("end")), first), first)
+    first, last = F.col("_first"), F.col("_last")
+    dated = events.withColumns({
+        "_first": tm.event_day(F.col("start")), "_last": tm.event_day(F.col("end")), "_clock": tm.event_minutes(F.col("start"))
+    }).filter(first.isNotNull())
+    clock = F.concat(
+        first.cast("string"), F.lit("T"), tm.two(F.floor(F.col("_clock") / 60).cast("int")), F.lit(":"), tm.two(F.col("_clock") % 60)
+    )
+    # the order within a day is settled per event, before the days multiply it
     return (
-        events.withColumn("_first", first).filter(F.col("_first").isNotNull())
-        .withColumn("_last", F.least(last, F.date_add("_first", MAX_SPAN_DAYS)))
+        dated.withColumns({
+            "_last": F.least(F.greatest(F.coalesce(last, first), first), F.date_add(first, MAX_SPAN_DAYS)),
+            "time_key": F.when(F.col("all_day"), "").otherwise(clock),
+        })
         .select(
-            *events.columns,
+            *events.columns, "time_key",
             (F.datediff("_last", "_first") + 1).alias("span_days"),
             F.posexplode(F.sequence("_first", "_last")).alias("_i", "day"),
         )
@@ -209,15 +217,7 @@ def event_order(events: DataFrame) -> DataFrame:
 
 def day_order_keys() -> list[Column]:
     """Within a day: all-day first, then start day and time, then title."""
-    clock = tm.event_minutes(F.col("start"))
-    start_key = F.concat(
-        tm.event_day(F.col("start")).cast("string"), F.lit("T"), tm.two(F.floor(clock / 60).cast("int")), F.lit(":"),
-        tm.two(clock % 60),
-    )
-    return [
-        F.when(F.col("all_day"), "").otherwise(start_key).asc(),
-        F.collate(F.col("title"), "UNICODE").asc(),
-    ]
+    return [F.col("time_key").asc(), F.collate(F.col("title"), "UNICODE").asc()]
 
 
 def day_order(entries: DataFrame) -> DataFrame:

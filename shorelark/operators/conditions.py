@@ -97,17 +97,16 @@ def flood_ratios(discharge: DataFrame, affects: DataFrame, past: int = 31, ahead
 
 def prepare_sites(sites: DataFrame, p: RatingParams = RatingParams()) -> DataFrame:
     """Per-site constants, derived once before the hours fan out."""
-    body = F.coalesce("water_body", F.lit("ocean"))
-    depth = fx.mean_depth(F.col("depth"))
-    return (
-        sites.withColumn("body", body).withColumn("mean_depth", depth)
-        .withColumn("max_exposure", F.array_max("exposure"))
-        .withColumn("mean_exposure", fx.mean_of_known(F.col("exposure")))
-        .withColumn("rain_threshold", fx.rain_threshold(F.col("body"), p))
-        .withColumn("turbidity_coef", F.when(F.col("mean_depth") >= 18, p.turbidity_deep).otherwise(p.turbidity))
-        .withColumn("tolerance", F.when(F.coalesce("swell_tol", F.lit(0.0)) == 0, 1.0).otherwise(F.col("swell_tol")))
-        .withColumn("boat", F.col("type") == "boat")
-    )
+    first = sites.withColumns({
+        "body": F.coalesce("water_body", F.lit("ocean")), "mean_depth": fx.mean_depth(F.col("depth")),
+        "max_exposure": F.array_max("exposure"), "mean_exposure": fx.mean_of_known(F.col("exposure")),
+        "tolerance": F.when(F.coalesce("swell_tol", F.lit(0.0)) == 0, 1.0).otherwise(F.col("swell_tol")),
+        "boat": F.col("type") == "boat",
+    })
+    return first.withColumns({
+        "rain_threshold": fx.rain_threshold(F.col("body"), p),
+        "turbidity_coef": F.when(F.col("mean_depth") >= 18, p.turbidity_deep).otherwise(p.turbidity),
+    })
 
 
 SITE_FIELDS = [
@@ -167,7 +166,8 @@ def site_hours(
     return salted.repartition(n, *keys).join(spread.repartition(n, *keys), keys)
 
 
-SITE_KEY = ["marine_zone", "weather_zone", "body", "salt", "site_id"]
+# contains the join key, so no further shuffle; the site leads because sorting compares it first
+SITE_KEY = ["site_id", "salt", "marine_zone", "weather_zone", "body"]
 
 
 def site_columns() -> SiteColumns:
@@ -182,9 +182,10 @@ def with_effects(hours: DataFrame, p: RatingParams = RatingParams()) -> DataFram
         (F.col("swell2_h"), F.col("swell2_dir"), F.col("swell2_per")),
         (F.col("chop_h"), F.col("chop_dir")), site, p,
     )
-    return hours.withColumn("eff_sea", sea).withColumn(
-        "eff_wind", fx.effective_wind(F.col("wind"), F.col("wind_dir"), site)
-    )
+    facing = fx.sector_factor(F.col("wind_dir"), F.col("exposure"), F.col("mean_exposure"))
+    return hours.withColumns({
+        "eff_sea": sea, "eff_wind": fx.effective_wind(F.col("wind"), F.col("wind_dir"), site), "onshore": F.col("wind") * facing
+    })
 
 
 def with_turbidity(hours: DataFrame, p: RatingParams = RatingParams()) -> DataFrame:
@@ -195,19 +196,17 @@ def with_turbidity(hours: DataFrame, p: RatingParams = RatingParams()) -> DataFr
     order = W.partitionBy(*SITE_KEY).orderBy("idx")
     upto = order.rowsBetween(W.unboundedPreceding, W.currentRow)
     n = p.turbidity_hours
-    running = hours.withColumn("_s", F.coalesce(F.sum("eff_sea").over(upto), F.lit(0.0))).withColumn(
-        "_c", F.count("eff_sea").over(upto)
-    )
-
-    def before(c: str, steps: int, zero: Column) -> Column:
-        return F.coalesce(F.lag(c, steps).over(order), zero)
-
-    seen = before("_c", 1, F.lit(0)) - before("_c", n + 1, F.lit(0))
-    total = before("_s", 1, F.lit(0.0)) - before("_s", n + 1, F.lit(0.0))
-    running = running.withColumn("_n", seen).withColumn("_t", total)
+    running = hours.withColumns({
+        "_s": F.coalesce(F.sum("eff_sea").over(upto), F.lit(0.0)), "_c": F.count("eff_sea").over(upto)
+    })
+
+    total = F.struct("_s", "_c")
+    running = running.withColumns({"_to": F.lag(total, 1).over(order), "_from": F.lag(total, n + 1).over(order)})
+    seen = F.coalesce("_to._c", F.lit(0)) - F.coalesce("_from._c", F.lit(0))
+    mean = F.try_divide(F.coalesce("_to._s", F.lit(0.0)) - F.coalesce("_from._s", F.lit(0.0)), seen)
     return running.withColumn(
-        "turbidity", F.when(F.col("_n") > 0, F.col("_t") / F.col("_n")).otherwise(F.coalesce("eff_sea", F.lit(0.0)))
-    ).drop("_s", "_c", "_n", "_t")
+        "turbidity", F.when(seen > 0, mean).otherwise(F.coalesce("eff_sea", F.lit(0.0)))
+    ).drop("_s", "_c", "_to", "_from")
 
 
 def with_visibility(hours: DataFrame, p: RatingParams = RatingParams()) -> DataFrame:
@@ -223,19 +222,18 @@ def with_visibility(hours: DataFrame, p: RatingParams = RatingParams()) -> DataF
 
 def with_scores(hours: DataFrame, p: RatingParams = RatingParams()) -> DataFrame:
     """Part scores and total per site hour; null where sea or wind is unknown."""
-    onshore = F.col("wind") * fx.sector_factor(F.col("wind_dir"), F.col("exposure"), F.col("mean_exposure"))
-    scored = (
-        hours.withColumn("sea", fx.sea_score(F.col("eff_sea"), F.col("tolerance"), p))
-        .withColumn("sea", F.when(F.col("eff_sea").isNotNull() & F.col("eff_wind").isNotNull(), F.col("sea")))
-        .withColumn("wind_part", F.when(
-            F.col("eff_sea").isNotNull() & F.col("eff_wind").isNotNull(),
-            fx.wind_score(F.col("eff_wind"), F.col("wind"), F.col("wind_dir"), F.col("boat"), onshore, F.col("max_exposure"), p),
-        ))
-        .withColumn("vis", F.when(F.col("sea").isNotNull(), fx.visibility_score(F.col("est_vis"), F.col("base_vis"))))
+    known = F.col("eff_sea").isNotNull() & F.col("eff_wind").isNotNull()
+    wind = fx.wind_score(
+        F.col("eff_wind"), F.col("wind"), F.col("wind_dir"), F.col("boat"), F.col("onshore"), F.col("max_exposure"), p
+    )
+    parts = hours.withColumns({
+        "sea": F.when(known, fx.sea_score(F.col("eff_sea"), F.col("tolerance"), p)), "wind_part": F.when(known, wind),
+        "vis": F.when(known, fx.visibility_score(F.col("est_vis"), F.col("base_vis"))),
+    })
+    total = fx.total_score(
+        F.col("sea"), F.col("wind_part"), F.col("vis"), F.col("boat"), F.col("chop_h"), F.col("current"), p
     )
-    return scored.withColumn(
-        "score", fx.total_score(F.col("sea"), F.col("wind_part"), F.col("vis"), F.col("boat"), F.col("chop_h"), F.col("current"), p)
-    ).withColumn("blown", F.col("sea") <= 0)
+    return parts.withColumns({"score": total, "blown": F.col("sea") <= 0})
 
 
 def score_site_hours(
@@ -273,25 +271,28 @@ def best_windows(scored: DataFrame, clock: Clock, p: RatingParams = RatingParams
     Windows and the day summary are keyed by supersets of the join key, so scored hours are neither
     shuffled nor sorted again.
     """
-    hours = scored.withColumn("hour", (F.col("idx") - clock.today_idx) - F.col("day") * 24)
-    order = W.partitionBy(*SITE_KEY).orderBy("idx")
     n = p.window_hours
-    ahead = order.rowsBetween(0, n - 1)
+    order = W.partitionBy(*SITE_KEY).orderBy("idx")
+    pack = F.when(F.col("score").isNotNull(), F.struct("score", *PARTS, "blown"))
+    hours = scored.withColumns({
+        "hour": (F.col("idx") - clock.today_idx) - F.col("day") * 24, "_0": pack,
+    })
+    # the hours of a window side by side: one look-ahead per hour for all figures at once
+    counted = hours.withColumns({f"_{k}": F.lead("_0", k).over(order) for k in range(1, n)})
 
     def over_window(c: str) -> Column:
-        terms = [F.lead(c, k).over(order) if k else F.col(c) for k in range(n)]
-        total = F.coalesce(terms[0], F.lit(0.0))
-        for term in terms[1:]:
-            total = total + F.coalesce(term, F.lit(0.0))
+        total = F.coalesce(F.col(f"_0.{c}"), F.lit(0.0))
+        for k in range(1, n):
+            total = total + F.coalesce(F.col(f"_{k}.{c}"), F.lit(0.0))
         return total
 
-    known = F.count("score").over(ahead)
-    windows = hours.withColumn("_n", known).withColumn("_blown", F.coalesce(F.bool_or("blown").over(ahead), F.lit(False)))
-    for c in ["score", *PARTS]:
-        value = c if c in ("score", "sea", "wind_part", "vis") else f"_{c}"
-        if value != c:
-            windows = windows.withColumn(value, F.when(F.col("score").isNotNull(), F.col(c)))
-        windows = windows.withColumn(f"_w_{c}", F.when(F.col("_n") > 0, over_window(value) / F.col("_n")))
+    found, blown = F.lit(0), F.lit(False)
+    for k in range(n):
+        found = found + F.col(f"_{k}").isNotNull().cast("int")
+        blown = blown | F.coalesce(F.col(f"_{k}.blown"), F.lit(False))
+    windows = counted.withColumns({
+        "_n": found, "_blown": blown, **{f"_w_{c}": F.try_divide(over_window(c), found) for c in ["score", *PARTS]}
+    })
     last = F.greatest(F.col("rise"), F.col("set") - n)
     first = F.when(F.col("day") == 0, F.greatest(F.col("rise"), F.least(F.lit(clock.now_hour), last))).otherwise(F.col("rise"))
     startable = F.col("hour").between(first, last) & (F.col("_n") > 0)

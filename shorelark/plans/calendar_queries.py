@@ -219,11 +219,7 @@ def so01(spark, sf):
 )
 def so02(spark, sf):
     rows = entries(spark, sf).filter(tm.month_key(F.col("day")) == MONTH)
-    key = F.when(F.col("all_day"), "").otherwise(F.concat(
-        tm.event_day(F.col("start")).cast("string"), F.lit("T"), tm.two(F.floor(tm.event_minutes(F.col("start")) / 60).cast("int")),
-        F.lit(":"), tm.two(tm.event_minutes(F.col("start")) % 60),
-    ))
-    return cal.day_order(rows).select(day(), "ord", key.alias("time_key"))
+    return cal.day_order(rows).select(day(), "ord", "time_key")
 
 
 @calendar(

@@ -195,8 +195,15 @@ def _duck_text(sql: str) -> str:
     return re.sub(r"\{(\w+)\}", r"\1", sql)
 
 
+SPREAD = "shorelark.spread.single.split"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table. Its sample file is a single split, which a bench may ask to spread over all cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if spark.conf.get(SPREAD, "false") == "true" and name in ("orders", "lineitem", "documents", "pages", "part"):
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df
 
 
 def standin(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -105,9 +105,10 @@ def daily_feed(polls: DataFrame) -> DataFrame:
     """Sun times and rain per date, as the first zone reports them."""
     parsed = F.from_json(_as_list(F.col("weather")), _feed_schema(WEATHER_VARIABLES, True))
     d = F.get(parsed, 0)["daily"]
+    texts, figures = F.array().cast("array<string>"), F.array().cast("array<double>")
     zipped = F.arrays_zip(
-        d["time"].alias("date"), d["sunrise"].alias("sunrise"), d["sunset"].alias("sunset"),
-        d["precipitation_sum"].alias("precip_sum"),
+        d["time"].alias("date"), F.coalesce(d["sunrise"], texts).alias("sunrise"), F.coalesce(d["sunset"], texts).alias("sunset"),
+        F.coalesce(d["precipitation_sum"], figures).alias("precip_sum"),
     )
     return polls.select("poll_id", F.inline(zipped))
 
