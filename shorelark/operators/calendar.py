@@ -73,7 +73,7 @@ def on_spine(days: DataFrame, entries: DataFrame) -> DataFrame:
 
     Written as a union so that a crowded day is never gathered for an outer join.
     """
-    hit = entries.join(F.broadcast(days.select("day")), "day", "left_semi")
+    hit = entries.join(days.select("day"), "day", "left_semi")
     filled = hit.select("day").distinct()
     empty = days.select("day").join(filled, "day", "left_anti")
     return hit.unionByName(empty, allowMissingColumns=True)
@@ -155,10 +155,10 @@ def hide(events: DataFrame, pairs: Iterable[tuple[str, str]], rules: Iterable[tu
 
 
 def hidden_pair_counts(events: DataFrame, pairs: Iterable[tuple[str, str]]) -> DataFrame:
-    listed = events.sparkSession.createDataFrame(list(pairs), "source string, title string")
+    listed = parameter_frame(events.sparkSession, list(pairs), "source string, title string")
     counts = (
         events.select("source", tx.normal_title(F.col("title")).alias("title"))
-        .join(F.broadcast(listed), ["source", "title"], "left_semi")
+        .join(listed, ["source", "title"], "left_semi")
         .groupBy("source", "title").agg(F.count(F.lit(1)).alias("n"))
     )
     return listed.join(counts, ["source", "title"], "left").select(

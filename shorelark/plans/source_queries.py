@@ -10,7 +10,7 @@ from shorelark.plans.conditions_queries import marine, weather
 from shorelark.plans.registry import query
 from shorelark.plans.standins import standin, table
 from shorelark.plans.text_queries import _T12, _T24, CLOCK_SQL, OFFSET_SQL
-from shorelark.session import scratch_path
+from shorelark.session import parameter_frame, scratch_path
 from shorelark.sources import listings as ls
 from shorelark.sources import readers as rd
 from shorelark.sources import sinks
@@ -27,7 +27,7 @@ CLOCKED = f"""clocked as (select *, {CLOCK_SQL} as minutes from (select *, try_c
 
 @query(
     "io01_source_union",
-    f"""select source as id, 'ok' as status, count(*) as fetched, count(*) filter (where start_at[:10] between '{LO}' and '{HI}') as event_count from cal_events where source in ('1-URGENT', '5-LOW') group by 1
+    f"""select source as id, 'ok' as status, count(*) as fetched, count(*) filter (where start_at[:10] between '{LO}' and '{HI}') as event_count from cal_events group by 1
         union all select 'broken', 'error', 0, 0 union all select 'bad-columns', 'error', 0, 0""",
     ["cal_events"],
 )
@@ -35,11 +35,11 @@ def io01(spark, sf):
     def of(priority):
         return lambda s: events(s, sf).filter(F.col("source") == priority)
 
+    names = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
     sources = [
-        rd.Source("1-URGENT", "Urgent", "U", "https://u.example.org", of("1-URGENT")),
+        *[rd.Source(n, n.title(), n[:1], f"https://s{n[:1]}.example.org", of(n)) for n in names],
         rd.Source("broken", "Broken", "B", "https://b.example.org", lambda s: events(s, sf).withColumn("title", F.raise_error(F.lit("gone")).cast("string"))),
         rd.Source("bad-columns", "Bad", "C", "https://c.example.org", lambda s: events(s, sf).select("no_such_column")),
-        rd.Source("5-LOW", "Low", "L", "https://l.example.org", of("5-LOW")),
     ]
     union, status = rd.gather(spark, sources)
     return rd.status_table(union, status, LO, HI).select("id", "status", "fetched", "event_count")
@@ -75,12 +75,10 @@ def _poll(spark, sf):
     return answer(m, "marine").join(answer(w, "weather"), "poll_id")
 
 
-def _zones(spark, sf):
-    from pyspark.sql import Window as W
-
-    names = table(spark, sf, "events").select(F.col("event_type").alias("zone")).distinct()
-    # a zone registry is a handful of names
-    return names.withColumn("zone_ord", F.row_number().over(W.orderBy("zone")) - 1)
+def _zones(spark):
+    # the registry is a parameter: zone i of an answer is the i-th name
+    names = ("click", "error", "purchase", "signup", "view")
+    return parameter_frame(spark, list(enumerate(names)), "zone_ord int, zone string")
 
 
 @query(
@@ -88,7 +86,7 @@ def _zones(spark, sf):
     """select zone, cast(idx - 24 as int) as idx, ts, swell_h, sea_level, current, precip, wind_dir, temp from zone_hours where idx >= 24""", ["zone_hours"],
 )
 def io03(spark, sf):
-    polls, zones = _poll(spark, sf), _zones(spark, sf)
+    polls, zones = _poll(spark, sf), _zones(spark)
     m, w = rd.marine_feed(polls, zones), rd.weather_feed(polls, zones)
     return m.join(w, ["poll_id", "zone", "idx"]).select("zone", "idx", "ts", "swell_h", "sea_level", "current", "precip", "wind_dir", "temp")
 
@@ -98,7 +96,7 @@ def _snippet_docs(spark, sf):
     link = F.concat(F.lit('<a href="'), F.coalesce(F.replace("href", F.lit("&"), F.lit("&amp;")), F.lit("")), F.lit('"><strong>'), F.coalesce("clock", F.lit("")),
                     F.lit("</strong> "), "dated", F.when(F.col("sold_flag"), " - (Sold Out)").otherwise(""), F.lit("</a>"))
     html = F.concat(F.lit("<div>"), F.when(F.col("ord") % 13 != 0, link).otherwise("no link"), F.lit("<!--"), F.col("ord").cast("string"), F.lit("--></div>"))
-    keyed = rows.select((F.col("ord") % 1500).alias("customer"), F.date_format("day", "MM-dd-yyyy").alias("k"), "ord", html.alias("html"))
+    keyed = rows.select(F.floor(F.col("ord") / 10).alias("customer"), F.date_format("day", "MM-dd-yyyy").alias("k"), "ord", html.alias("html"))
     days = keyed.groupBy("customer", "k").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "html"))), lambda s: s["html"]).alias("v"))
     docs = days.groupBy("customer").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
     return docs.select("customer", F.to_json(F.struct(F.col("m").alias("monthlyAvailability"))).alias("payload"))
@@ -111,7 +109,7 @@ def _snippets(spark, sf):
 
 @query(
     "io04_day_snippets",
-    "select ord % 1500 as customer, strftime(day, '%m-%d-%Y') as day_key, ord, row_number() over (partition by ord % 1500, day order by ord) - 1 as snippet_pos from listing_text",
+    "select cast(floor(ord / 10.0) as bigint) as customer, strftime(day, '%m-%d-%Y') as day_key, ord, row_number() over (partition by floor(ord / 10.0), day order by ord) - 1 as snippet_pos from listing_text",
     ["listing_text"],
 )
 def io04(spark, sf):
@@ -119,16 +117,17 @@ def io04(spark, sf):
 
 
 def _availability(spark, sf):
-    rows = table(spark, sf, "orders").select((F.col("o_orderkey") % 1500).alias("id"), F.date_format("o_orderdate", "yyyyMMdd").alias("k"), (F.col("o_orderkey") % 5 != 0).cast("int").alias("v"))
+    rows = table(spark, sf, "orders").select(F.floor(F.col("o_orderkey") / 10).alias("id"), F.date_format("o_orderdate", "yyyyMMdd").alias("k"), (F.col("o_orderkey") % 5 != 0).cast("int").alias("v"))
     days = rows.groupBy("id", "k").agg(F.max("v").alias("v"))
     odd = days.select("id", F.lit("2024-1").alias("k"), F.lit(1).alias("v")).distinct()
     docs = days.unionByName(odd).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
-    return docs.select("id", (F.col("id") % 7).alias("y"), F.to_json(F.struct(F.col("m").alias("calendar_data"))).alias("payload"))
+    return docs.select("id", F.to_json(F.struct(F.col("m").alias("calendar_data"))).alias("payload"))
 
 
 @query(
     "io05_available_days",
-    """select distinct o_orderkey % 1500 as id, strftime(o_orderdate, '%Y-%m-%d') as day from orders where o_orderkey % 5 <> 0 and strftime(o_orderdate, '%Y-%m') = '199' || cast(5 + (o_orderkey % 1500) % 4 as varchar) || '-0' || cast(1 + (o_orderkey % 1500) % 9 as varchar)""",
+    """select distinct id, strftime(o_orderdate, '%Y-%m-%d') as day from (select cast(floor(o_orderkey / 10.0) as bigint) as id, * from orders) x
+       where o_orderkey % 5 <> 0 and strftime(o_orderdate, '%Y-%m') = '199' || cast(5 + id % 4 as varchar) || '-0' || cast(1 + id % 9 as varchar)""",
 )
 def io05(spark, sf):
     docs = _availability(spark, sf).select(
@@ -246,18 +245,21 @@ def io15(spark, sf):
 
 @query("io16_availability_events")
 def io16(spark, sf):
-    rows = standin(spark, sf, "listing_text")
-    inventory = rows.filter("ord < 1500").select(
-        (F.col("ord") % 7).alias("category"),
+    from shorelark.operators.calendar import last_by_id
+    from shorelark.operators.scale import first_by
+
+    # one item per ten orders, shown in two categories
+    rows = standin(spark, sf, "listing_text").withColumn("item", F.floor(F.col("ord") / 10))
+    rows = first_by(rows.select("item", "ord", "weekly", "item_name", "price"), ["item"], ["ord"])
+    inventory = rows.withColumn("category", F.explode(F.array((F.col("item") % 7), F.col("item") % 7 + 7))).select(
+        "category",
         F.concat(
-            F.lit('<div class="cf-item-data" id="cf-item-data-'), F.col("ord").cast("string"), F.lit('"><h2>'), F.concat_ws(" ", "weekly", "item_name"),
-            F.lit('</h2><div class="cf-price"><strong><span>'), "price", F.lit('</span></strong></div><div id="cf-item-summary-'), F.col("ord").cast("string"),
+            F.lit('<div class="cf-item-data" id="cf-item-data-'), F.col("item").cast("string"), F.lit('"><h2>'), F.concat_ws(" ", "weekly", "item_name"),
+            F.lit('</h2><div class="cf-price"><strong><span>'), "price", F.lit('</span></strong></div><div id="cf-item-summary-'), F.col("item").cast("string"),
             F.lit('">Nice trip ... (Read More)</div></div>'),
         ).alias("html"),
     )
     items = ls.inventory_items(inventory)
-    from shorelark.operators.calendar import last_by_id
-
     unique = last_by_id(items.select("id", F.col("category").alias("ord"), "name", "price", "summary"), "ord")
     days = rd.available_days(
         _availability(spark, sf).select("id", "payload", F.lit("1996-05").alias("month")), "payload", "month"
