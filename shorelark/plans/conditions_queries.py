@@ -114,7 +114,7 @@ quiet as (select river, river_ord, greatest(h[cast(floor(len(h) * 0.25) as int)
     select river, river_ord, list_sort(list(q) filter (where day_idx < 31 and q is not null)) as h from discharge group by river, river_ord) x where len(h) >= 10),
 flood as (select body, day, ratio from (
     select f.body, g.day, d.q / b.baseline as ratio, row_number() over (partition by f.body, g.day order by b.river_ord desc) as rn
-    from quiet b join affects f on f.river = b.river, (select unnest(range(7)) as day) g left join discharge d on d.river = b.river and d.day_idx = 31 + g.day) y where rn = 1)
+    from quiet b join affects f on f.river = b.river, (select cast(unnest(range(7)) as int) as day) g left join discharge d on d.river = b.river and d.day_idx = 31 + g.day) y where rn = 1)
 """
 
 HOURS_SQL = f"""

@@ -243,7 +243,30 @@ def io15(spark, sf):
     return ls.listing_events(items, SHOP, "Shop ", "2003-01-01").select("page", "pos", "title", F.col("start").alias("start_at"), "all_day", "location", "description", "url")
 
 
-@query("io16_availability_events")
+_WEEKDAY = r"(?i)^(mon|tues|wednes|thurs|fri|satur|sun)day(\s+(morning|afternoon|evening|night))?\s*[-–—]*\s*"
+_TOKEN = r"(?i)\b(\d{1,2})[.:]?(\d{2})?\s*([ap])\.?m\b"
+_RANGE = r"(?i)m\s*[-–]\s*(\d{1,2})[.:]?(\d{2})?\s*([ap])\.?m\b"
+
+
+def _token_minutes(pattern):
+    h, m = f"try_cast(regexp_extract(name, '{pattern}', 1) as int)", f"coalesce(try_cast(regexp_extract(name, '{pattern}', 2) as int), 0)"
+    half = f"lower(regexp_extract(name, '{pattern}', 3))"
+    return f"case when {h} <= 12 and {m} <= 59 then ({h} % 12 + case when {half} = 'p' then 12 else 0 end) * 60 + {m} end"
+
+
+@query(
+    "io16_availability_events",
+    f"""with raw as (select cast(floor(ord / 10.0) as bigint) as id, *, row_number() over (partition by floor(ord / 10.0) order by ord) as rn from listing_text),
+        named as (select id, trim(regexp_replace(weekly || ' ' || item_name, ' +', ' ', 'g')) as name, nullif(price, '') as price from raw where rn = 1),
+        items as (select id, coalesce(nullif(regexp_replace(trim(regexp_replace(name, '{_WEEKDAY}', ''), ' -–—/·'), '\s{{2,}}', ' ', 'g'), ''), name) as title,
+          {_token_minutes(_TOKEN)} as sm, {_token_minutes(_RANGE)} as em, array_to_string(list_filter([price, 'Nice trip…'], lambda x: x is not null), ' · ') as description from named),
+        days as (select distinct cast(floor(o_orderkey / 10.0) as bigint) as id, cast(o_orderdate as date) as day from orders where o_orderkey % 5 <> 0 and strftime(o_orderdate, '%Y-%m') = '1996-05'),
+        timed as (select i.id, d.day, title, {ISO.format(m='sm', d='day')} as start_at,
+          case when sm is not null and em is not null then {ISO.format(m='em', d='(day + case when em > sm then 0 else 1 end)')} end as end_at, sm is null as all_day,
+          'https://p.example.org/?date=' || strftime(day, '%Y-%m-%d') || '#' || cast(i.id as varchar) || '@book@' as url, description from items i join days d using (id))
+        select id, title, start_at, end_at, all_day, url, description from (select *, row_number() over (partition by title, start_at order by id, day) as rn from timed) x where rn = 1""",
+    ["listing_text"],
+)
 def io16(spark, sf):
     from shorelark.operators.calendar import last_by_id
     from shorelark.operators.scale import first_by
@@ -264,7 +287,7 @@ def io16(spark, sf):
     days = rd.available_days(
         _availability(spark, sf).select("id", "payload", F.lit("1996-05").alias("month")), "payload", "month"
     )
-    out = ls.availability_events(unique, days, "https://p.example.org/", 31)
+    out = ls.availability_events(unique.withColumn("place", F.col("id")), days, "https://p.example.org/", 31)
     return out.select("id", "title", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "all_day", "url", "description")
 
 

@@ -189,7 +189,7 @@ def _spark_text(sql: str) -> str:
 
 
 def _duck_text(sql: str) -> str:
-    sql = re.sub(r"@SPINE\((\d+)\)", lambda m: f"unnest(range({m[1]}))", sql)
+    sql = re.sub(r"@SPINE\((\d+)\)", lambda m: f"cast(unnest(range({m[1]})) as int)", sql)
     sql = re.sub(r"datediff\(@UNIT ([^%]+)\) %", r"datediff('day', date '1995-01-01', \1) %", sql)
     sql = sql.replace("@ARR(", "list_value(")
     return re.sub(r"\{(\w+)\}", r"\1", sql)
