@@ -170,6 +170,11 @@ def site_hours(
 SITE_KEY = ["site_id", "salt", "marine_zone", "weather_zone", "body"]
 
 
+def site_order():
+    """Hours of a site in order; led by the day, so the sort also serves the summary per day."""
+    return W.partitionBy(*SITE_KEY).orderBy("day", "idx")
+
+
 def site_columns() -> SiteColumns:
     return SiteColumns(F.col("exposure"), F.col("mean_exposure"), F.col("max_exposure"), F.col("mean_depth"))
 
@@ -193,7 +198,7 @@ def with_turbidity(hours: DataFrame, p: RatingParams = RatingParams()) -> DataFr
 
     Running totals make the cost per row independent of the look-back length.
     """
-    order = W.partitionBy(*SITE_KEY).orderBy("idx")
+    order = site_order()
     upto = order.rowsBetween(W.unboundedPreceding, W.currentRow)
     n = p.turbidity_hours
     running = hours.withColumns({
@@ -272,7 +277,7 @@ def best_windows(scored: DataFrame, clock: Clock, p: RatingParams = RatingParams
     shuffled nor sorted again.
     """
     n = p.window_hours
-    order = W.partitionBy(*SITE_KEY).orderBy("idx")
+    order = site_order()
     pack = F.when(F.col("score").isNotNull(), F.struct("score", *PARTS, "blown"))
     hours = scored.withColumns({
         "hour": (F.col("idx") - clock.today_idx) - F.col("day") * 24, "_0": pack,
@@ -307,8 +312,8 @@ def best_windows(scored: DataFrame, clock: Clock, p: RatingParams = RatingParams
     swell = F.max_by(
         F.struct("swell_h", "swell_dir", "swell_per"), F.when(swell_known, F.struct(F.col("swell_h"), -F.col("hour")))
     )
-    rated = windows.groupBy(*SITE_KEY, "day", "date").agg(
-        best.alias("_b"), F.count_if(startable).alias("_starts"), swell.alias("_s"),
+    rated = windows.groupBy(*SITE_KEY, "day").agg(
+        F.min("date").alias("date"), best.alias("_b"), F.count_if(startable).alias("_starts"), swell.alias("_s"),
         F.count_if(swell_known).alias("_swells"),
         F.avg(F.when(wind_known, F.col("wind"))).alias("wind_mean"),
         F.sum(F.when(wind_known, F.sin(rad))).alias("_ue"), F.sum(F.when(wind_known, F.cos(rad))).alias("_un"),
