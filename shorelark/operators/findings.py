@@ -26,8 +26,9 @@ def table_rows(pages: DataFrame, html: str, min_cells: int, marker: str | None =
     """One row per table row with at least ``min_cells`` cells; the marker text, if given, must occur."""
     rows = pages.select(
         *[c for c in pages.columns if c != html],
-        F.posexplode(F.regexp_extract_all(F.col(html), F.lit(ROW), F.lit(1))).alias("row_pos", "row_html"),
-    )
+        # outer, so that no filter on the array is derived and the pattern runs once per page
+        F.posexplode_outer(F.regexp_extract_all(F.col(html), F.lit(ROW), F.lit(1))).alias("row_pos", "row_html"),
+    ).filter(F.col("row_pos").isNotNull())
     if marker:
         rows = rows.filter(F.col("row_html").contains(marker))
     return rows.withColumn("cells", F.regexp_extract_all("row_html", F.lit(CELL), F.lit(1))).filter(
@@ -181,9 +182,9 @@ def parse_pages(pages: DataFrame, html: str = "html", layout: Layout = Layout())
 def flat_findings(parsed: DataFrame) -> DataFrame:
     """One row per finding, in page order."""
     keys = [c for c in parsed.columns if c != "findings"]
-    return parsed.select(*keys, F.posexplode("findings").alias("pos", "_f")).select(
-        *keys, "pos", "_f.component", "_f.description", "_f.cves"
-    )
+    # outer, so that no filter on the array is derived, which would parse every page twice
+    rows = parsed.select(*keys, F.posexplode_outer("findings").alias("pos", "_f")).filter(F.col("pos").isNotNull())
+    return rows.select(*keys, "pos", "_f.component", "_f.description", "_f.cves")
 
 
 # ---- increments -----------------------------------------------------------

@@ -290,8 +290,8 @@ def typo_edges(todo: DataFrame, known: DataFrame) -> DataFrame:
     left = _city_and_tail(todo.select("loc").distinct()).filter(F.length("city") >= 5)
     left = left.withColumn("_maxd", F.when(F.length("city") <= 8, 1).otherwise(2))
     right = _city_and_tail(known.select("loc").distinct())
-    left = left.withColumn("_v", F.explode(deletion_variants(F.col("city"), F.col("_maxd") == 2)))
-    right = right.withColumn("_v", F.explode(deletion_variants(F.col("city"), F.length("city") >= 7)))
+    left = left.withColumn("_v", F.explode_outer(deletion_variants(F.col("city"), F.col("_maxd") == 2)))
+    right = right.withColumn("_v", F.explode_outer(deletion_variants(F.col("city"), F.length("city") >= 7)))
     right = right.select(F.col("loc").alias("known_loc"), F.col("city").alias("known_city"), "tail", "_v")
     near = left.join(right, ["tail", "_v"]).filter(F.col("city") != F.col("known_city"))
     distance = F.when(

@@ -58,7 +58,7 @@ def storefront_rows(pages: DataFrame, html: str = "html") -> DataFrame:
 
     packed = F.flatten(F.transform(F.array(F.struct(rows.alias("rows"))), with_detail))
     keys = [c for c in pages.columns if c != html]
-    return pages.select(*keys, F.inline(packed))
+    return pages.select(*keys, F.inline_outer(packed)).filter(F.col("pos").isNotNull())
 
 
 def storefront_events(rows: DataFrame, origin: Origin, ordinal: str = "ord") -> DataFrame:
@@ -117,7 +117,8 @@ def api_records(docs: DataFrame, payload: str = "payload") -> DataFrame:
     item = ", ".join(f"{n}: {k}" for n, k in (p.split() for p in API_SCHEMA.split(", ")))
     keys = [c for c in docs.columns if c != payload]
     parsed = F.from_json(payload, f"struct<events: array<struct<{item}>>>")["events"]
-    return docs.select(*keys, F.posexplode(parsed).alias("ord", "_e")).select(*keys, "ord", "_e.*")
+    rows = docs.select(*keys, F.posexplode_outer(parsed).alias("ord", "_e")).filter(F.col("ord").isNotNull())
+    return rows.select(*keys, "ord", "_e.*")
 
 
 def description_of(short: Column, html: Column, long_html: Column) -> Column:
@@ -186,7 +187,9 @@ def _inner(html: Column, css: str) -> Column:
 def listing_items(pages: DataFrame, html: str = "html") -> DataFrame:
     """Item blocks of each page in order. ``pages``: source, page, html."""
     blocks = F.slice(F.split(html, r"(?is)<div[^>]*class=[\"'][^\"']*\bpost-item\b[^\"']*[\"'][^>]*>"), 2, 2**31 - 1)
-    items = pages.select(*[c for c in pages.columns if c != html], F.posexplode(blocks).alias("pos", "_b"))
+    items = pages.select(*[c for c in pages.columns if c != html], F.posexplode_outer(blocks).alias("pos", "_b")).filter(
+        F.col("pos").isNotNull()
+    )
     title = F.regexp_extract(_inner(F.col("_b"), "post-title"), r"(?is)<a\b[^>]*>.*?</a>", 0)
     description = F.regexp_replace(
         F.regexp_replace(_inner(F.col("_b"), "post-description"), r"(?is)<a\b[^>]*>.*?</a>", ""),
@@ -235,7 +238,9 @@ def inventory_items(pages: DataFrame, html: str = "html") -> DataFrame:
     blocks = F.filter(
         F.split(html, r"(?i)(?=<div[^>]*id=[\"']cf-item-data-)"), lambda b: b.rlike(r"(?i)^<div[^>]*id=[\"']cf-item-data-")
     )
-    items = pages.select(*[c for c in pages.columns if c != html], F.posexplode(blocks).alias("pos", "_b"))
+    items = pages.select(*[c for c in pages.columns if c != html], F.posexplode_outer(blocks).alias("pos", "_b")).filter(
+        F.col("pos").isNotNull()
+    )
     number = F.regexp_extract("_b", r"id=[\"']cf-item-data-(\d+)[\"']", 1).try_cast("bigint")
     name = _text(F.regexp_extract("_b", r"(?is)<h2[^>]*>(.*?)</h2>", 1))
     price = _text(F.regexp_extract("_b", r"(?is)class=[\"'][^\"']*cf-price[^\"']*[\"'].*?<strong[^>]*>.*?<span[^>]*>(.*?)</span>", 1))

@@ -141,7 +141,8 @@ def day_snippets(docs: DataFrame, payload: str) -> DataFrame:
     """``{"MM-DD-YYYY": [snippet, ...]}`` to one row per snippet."""
     days = F.from_json(F.get_json_object(payload, "$.monthlyAvailability"), "map<string,array<string>>")
     keys = [c for c in docs.columns if c != payload]
-    return docs.select(*keys, F.explode(days).alias("day_key", "_s")).select(
+    rows = docs.select(*keys, F.explode_outer(days).alias("day_key", "_s")).filter(F.col("day_key").isNotNull())
+    return rows.select(
         *keys, "day_key", F.posexplode("_s").alias("snippet_pos", "snippet")
     )
 
@@ -152,7 +153,7 @@ def available_days(docs: DataFrame, payload: str, month: str) -> DataFrame:
     keys = [c for c in docs.columns if c != payload]
     day = F.try_to_timestamp(F.col("_k"), F.lit("yyyyMMdd")).cast("date")
     return (
-        docs.select(*keys, F.explode(days).alias("_k", "_v"))
+        docs.select(*keys, F.explode_outer(days).alias("_k", "_v"))
         .filter((F.col("_v") != 0) & F.col("_k").rlike("^[0-9]{8}$"))
         .select(*keys, day.alias("day")).filter(tm.month_key(F.col("day")) == F.col(month))
     )
