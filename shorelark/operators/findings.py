@@ -91,13 +91,16 @@ def section_findings(text: Column, heading: str, identifier: str) -> Column:
     heading leaves it in place. So a block is a finding when the last valid heading before it stands
     after the previous block with identifiers.
     """
+    return tx.let(text, lambda t: _sections(t, heading, identifier))
+
+
+def _sections(text: Column, heading: str, identifier: str) -> Column:
     heads = F.transform(F.regexp_extract_all(text, F.lit(heading), F.lit(1)), lambda h: tx.strip(h))
     valid = F.transform(heads, lambda h, i: F.struct((i + 1).alias("pos"), h.alias("name"), tx.is_skip_name(h).alias("skip")))
     valid = F.filter(valid, lambda h: ~h["skip"])
     blocks = F.transform(F.split(text, heading), lambda b, i: F.struct(i.alias("pos"), b.alias("body")))
     blocks = F.filter(blocks, lambda b: (b["pos"] > 0) & b["body"].rlike(identifier))
-    # a block without any valid heading before it does not use one up
-    packed = F.struct(valid.alias("heads"), blocks.alias("blocks"))
+    packed = F.struct(valid.alias("heads"), blocks.alias("blocks"))  # bound once, not re-derived per block
 
     def build(pack: Column) -> Column:
         def one(b: Column, i: Column) -> Column:
@@ -112,17 +115,22 @@ def section_findings(text: Column, heading: str, identifier: str) -> Column:
 
         return F.filter(F.transform(pack["blocks"], one), lambda f: f["component"].isNotNull())
 
-    # packing binds the two arrays once instead of re-deriving them per block
-    return F.flatten(F.transform(F.array(packed), build))
+    return tx.let(packed, build)
 
 
 def paragraph_findings(text: Column, layout: Layout = Layout()) -> Column:
     """Findings of a page made of paragraphs: a bold name opens a group, labelled and id paragraphs fill it."""
+    return tx.let(_paragraphs(text, layout), lambda ps: _paragraph_groups(ps, layout))
+
+
+def _paragraphs(text: Column, layout: Layout) -> Column:
+    """Marked paragraphs, or all of them on a page without any."""
     marked = F.regexp_extract_all(text, F.lit(layout.paragraph), F.lit(1))
-    paragraphs = F.when(F.size(marked) > 0, marked).otherwise(
-        F.regexp_extract_all(text, F.lit(layout.any_paragraph), F.lit(1))
-    )
+    plain = F.regexp_extract_all(text, F.lit(layout.any_paragraph), F.lit(1))
+    return tx.let(marked, lambda m: F.when(F.size(m) > 0, m).otherwise(plain))
+
 
+def _paragraph_groups(paragraphs: Column, layout: Layout) -> Column:
     def read(p: Column, i: Column) -> Column:
         plain = tx.strip(F.regexp_replace(p, r"<[^>]+>", ""))
         name = tx.strip(F.regexp_extract(p, layout.paragraph_heading, 1))
@@ -154,8 +162,8 @@ def paragraph_findings(text: Column, layout: Layout = Layout()) -> Column:
 
         return F.filter(F.transform(pack["opens"], one), lambda f: F.size(f["cves"]) > 0)
 
-    packed = F.struct(read_all.alias("all"), F.filter(read_all, lambda q: q["opens"]).alias("opens"))
-    return F.flatten(F.transform(F.array(packed), group))
+    packed = tx.let(read_all, lambda ps: F.struct(ps.alias("all"), F.filter(ps, lambda q: q["opens"]).alias("opens")))
+    return tx.let(packed, group)
 
 
 def heading_text(html: Column) -> Column:
