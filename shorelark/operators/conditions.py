@@ -307,7 +307,8 @@ def best_windows(scored: DataFrame, clock: Clock, p: RatingParams = RatingParams
     rad = F.radians(F.coalesce("wind_dir", F.lit(0.0)))
     best = F.max_by(
         F.struct("hour", "_w_score", "_blown", *[f"_w_{c}" for c in PARTS]),
-        F.when(startable, F.struct(F.col("_w_score"), -F.col("hour"))),
+        # equal means may differ in the last bit by the order of their terms; nine places make them tie
+        F.when(startable, F.struct(F.round("_w_score", 9), -F.col("hour"))),
     )
     swell = F.max_by(
         F.struct("swell_h", "swell_dir", "swell_per"), F.when(swell_known, F.struct(F.col("swell_h"), -F.col("hour")))
