@@ -28,9 +28,11 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), "text")
 
 
-def same_row(left: DataFrame, right: DataFrame):
-    """Join condition on (doc_id, rid); null ids meet by rid."""
-    return (left["rid"] == right["rid"]) & left["doc_id"].eqNullSafe(right["doc_id"])
+def beside(rows: DataFrame, more: DataFrame) -> DataFrame:
+    """Left join on (doc_id, rid) with a table that has each pair once; null ids meet by rid."""
+    right = more.withColumnRenamed("doc_id", "_id").withColumnRenamed("rid", "_rid")
+    same = (F.col("rid") == F.col("_rid")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    return rows.join(right, same, "left").drop("_id", "_rid")
 
 
 def looked_up(rows: DataFrame, table: DataFrame, key: str, spread_by: str, salts: int) -> DataFrame:

@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shorelark.llm.common import read
+from shorelark.llm.decontaminate import decontaminate
 from shorelark.llm.exact_dedup import exact_dedup
+from shorelark.llm.line_dedup import line_dedup
 from shorelark.llm.packing import pack
+from shorelark.llm.simhash import simhash_dedup
 from shorelark.llm.token_files import read_token_files, write_token_files
 from shorelark.session import scratch_path
 
@@ -26,6 +30,20 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_simhash_dedup")
+def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+@query("op4_decontaminate")
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 @query("op6_token_files")
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
@@ -42,6 +60,25 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
+@query("op8_line_dedup", r"""
+with lines as (
+  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos
+  from documents),
+keyed as (
+  select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+  from lines),
+held as (
+  select key, max(doc_id) as keeper from keyed where length(key) >= 40 group by key having count(distinct doc_id) >= 5)
+select k.doc_id, count(*) as n_lines, count(*) filter (where h.key is not null and k.doc_id <> h.keeper) as n_dropped,
+  sha256(coalesce(string_agg(k.line, chr(10) order by k.pos) filter (where h.key is null or k.doc_id = h.keeper), '')) as kept_sha256
+from keyed k left join held h on k.key = h.key group by k.doc_id""")
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query("op10_packing")
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
