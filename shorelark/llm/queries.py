@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shorelark.llm.common import read
 from shorelark.llm.decontaminate import decontaminate
 from shorelark.llm.exact_dedup import exact_dedup
+from shorelark.llm.language_id import held_out, label, train
 from shorelark.llm.line_dedup import line_dedup
 from shorelark.llm.packing import pack
 from shorelark.llm.simhash import simhash_dedup
@@ -44,6 +45,13 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op5_language_id")
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = label(docs, train(docs, ~held_out()))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 @query("op6_token_files")
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
