@@ -14,6 +14,7 @@ from shorelark.llm.language_id import held_out, label, train
 from shorelark.llm.line_dedup import line_dedup
 from shorelark.llm.packing import pack
 from shorelark.llm.simhash import simhash_dedup
+from shorelark.llm.suffix_dedup import suffix_dedup
 from shorelark.llm.token_files import read_token_files, write_token_files
 from shorelark.session import scratch_path
 
@@ -36,6 +37,14 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+@query("op2_suffix_dedup")
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["length"])
+    return suffix_dedup(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 @query("op4_decontaminate")
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
