@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shorelark.llm.common import beside, identified, mixed, runs, signed
+from shorelark.llm.common import beside, identified, mixed, powers, runs, signed
 from shorelark.session import cut_lineage
 
 GRAM = 5
@@ -56,8 +56,8 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         values = table[letters]
         hashes = []
         for seed in SEEDS:
-            powers = np.cumprod(np.concatenate([[1], np.full(int(sizes.max()) - 1, seed, np.uint64)]).astype(np.uint64), dtype=np.uint64)
-            hashes.append(mixed(np.add.reduceat(values * powers[place], first) + sizes.astype(np.uint64)))
+            weighted = values * powers(seed, int(sizes.max()))[place]
+            hashes.append(mixed(np.add.reduceat(weighted, first) + sizes.astype(np.uint64)))
         found.append(np.stack(hashes))
     for t in texts:
         counts.append(len(t.split()))
