@@ -11,11 +11,13 @@ from shorelark.llm.common import read
 from shorelark.llm.decontaminate import decontaminate
 from shorelark.llm.exact_dedup import exact_dedup
 from shorelark.llm.language_id import held_out, label, train
+from shorelark.llm.licenses import scan
 from shorelark.llm.line_dedup import line_dedup
 from shorelark.llm.packing import pack
 from shorelark.llm.simhash import simhash_dedup
 from shorelark.llm.suffix_dedup import suffix_dedup
 from shorelark.llm.token_files import read_token_files, write_token_files
+from shorelark.llm.warc_audit import audit, copy_archive, leaves, write_archive
 from shorelark.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +47,11 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op3_license_scan")
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(read(spark, sf_dir, "documents"))
+
+
 @query("op4_decontaminate")
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -96,6 +103,20 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query("op9_warc_audit", """
+select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_sha256,
+  substr(sha256(cast(page_id as varchar)), 1, 2) <> '00' as intact
+from pages""")
+def op9_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive of all pages is copied, a byte in one of 256 records being changed, and the copy is audited."""
+    primary, copy = scratch_path(spark, "warc"), scratch_path(spark, "warc-copy")
+    index = write_archive(read(spark, sf_dir, "pages"), primary)
+    copy_archive(index, primary, copy, spoil=F.sha2(F.col("page_id").cast("string"), 256).startswith("00"))
+    damaged = audit(index, leaves(index, copy)).withColumn("damaged", F.lit(True))
+    found = index.join(damaged, ["file", "record"], "left")
+    return found.select("page_id", "payload_bytes", "payload_sha256", F.col("damaged").isNull().alias("intact"))
+
+
 @query("op10_packing")
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
