@@ -16,44 +16,55 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shorelark.llm.common import byte_texts, components, identified, looked_up
+from shorelark.llm.common import byte_texts, components, identified, looked_up, mixed
 from shorelark.session import cut_lineage
 
 SALTS = 16
 MOST_BITS = 3
+#: For near copies: fingerprints of a text, and the bits in which one of them may differ.
+LANES = 6
+LANE_BITS = 8
 #: Anchors with more fingerprints are split by the bits of the other half before they are compared.
 CROWD = 2000
 VOTE_ROWS = 1 << 15
 
 
-def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
-    """Majority of the bits of the shingles' XXH64; 0 without words, the whole sequence if it is shorter."""
+def shingle_hashes(text: bytes, words: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of the word shingles; of the whole sequence if it is shorter, none without words."""
     parts = text.lower().split()  # of bytes: A-Z, and the six ASCII blanks
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(words, len(parts))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts[:len(parts) - k + 1].tolist(), ends[k - 1:].tolist(), strict=True)], np.uint64)
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts[:len(parts) - k + 1].tolist(), ends[k - 1:].tolist(), strict=True)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have; 0 without hashes."""
     votes = np.zeros(64, np.int64)
     for at in range(0, len(hashes), VOTE_ROWS):
         block = hashes[at:at + VOTE_ROWS].astype("<u8").view(np.uint8).reshape(-1, 8)
         votes += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(votes * 2 > len(hashes), bitorder="little")
-    return int(bits.view("<u8")[0])
+    return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, rid and fingerprint (as a signed 64-bit integer) of every row."""
+def fingerprints(docs: DataFrame, words: int, lanes: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, rid and fps, ``lanes`` fingerprints as signed 64-bit integers; those after the first are of remixed hashes."""
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t, words) for t in byte_texts(batch.column("text"))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(found.view(np.int64))], names=["doc_id", "rid", "fp"])
+            found = []
+            for text in byte_texts(batch.column("text")):
+                hashes = shingle_hashes(text, words)
+                found.append([majority(mixed(hashes + np.uint64(lane << 32)) if lane else hashes) for lane in range(lanes)])
+            flat = pa.array(np.array(found, np.uint64).ravel().view(np.int64))
+            fps = pa.FixedSizeListArray.from_arrays(flat, lanes).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), fps], names=["doc_id", "rid", "fps"])
 
     rows = identified(docs, id_col, text_col)
-    return rows.mapInArrow(hashed, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, rid long, fp long")
+    return rows.mapInArrow(hashed, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, rid long, fps array<long>")
 
 
 # ---- anchors ---------------------------------------------------------------
@@ -186,8 +197,12 @@ def _compared(keyed: DataFrame, most: int, crowd: int | None) -> DataFrame:
     return dealt.mapInArrow(lambda batches: links_of_runs(batches, most, crowd), "key long, a long, b long")
 
 
-def near_links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """Links (a, b) that connect all distinct fingerprints (column fp) within three bits of each other."""
+def near_links(distinct: DataFrame, most: int = MOST_BITS, crowd: int = CROWD) -> DataFrame:
+    """Links (a, b) that connect all distinct fingerprints (column fp) within three bits of each other.
+
+    With ``most`` over three, pairs of up to so many bits are linked where an anchor brings them together; there is no
+    guarantee for those.
+    """
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column("fp").to_numpy().view(np.uint64)
@@ -203,12 +218,23 @@ def near_links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(fp[i].view(np.int64)), pa.array(np.ones(len(i), bool))], names=["key", "fp", "near"])
 
     schema = "key long, fp long, near boolean"
-    first = cut_lineage(_compared(distinct.mapInArrow(anchored, schema), MOST_BITS, crowd))
+    first = cut_lineage(_compared(distinct.mapInArrow(anchored, schema), most, crowd))
     links = first.filter("b is not null").select("a", "b")
     crowded = first.filter("b is null").select("key", "a")
     if crowded.isEmpty():
         return links
-    return links.unionAll(_compared(crowded.mapInArrow(split, schema), MOST_BITS, None).select("a", "b"))
+    return links.unionAll(_compared(crowded.mapInArrow(split, schema), most, None).select("a", "b"))
+
+
+def component_ids(rows: DataFrame, node: str, links: DataFrame, salts: int) -> DataFrame:
+    """The rows with component_id, the smallest doc_id that the links reach from the row's node."""
+    nodes = cut_lineage(rows.groupBy(node).agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    roots = components(links)
+    linked = nodes.join(roots, nodes[node] == roots["node"], "left").select(nodes[node], "least", "n", "root")
+    reach = linked.filter("root is not null").groupBy("root").agg(F.min("least").alias("reached"))
+    answers = linked.filter("root is not null or n > 1").join(reach, "root", "left").select(node, F.coalesce("reached", "least").alias("component_id"), F.lit(True).alias("found"))
+    component = F.when(F.col("found"), F.col("component_id")).otherwise(F.col("doc_id"))
+    return looked_up(rows, answers, node, "rid", salts).withColumn("component_id", component).drop("found")
 
 
 def simhash_dedup(
@@ -221,12 +247,29 @@ def simhash_dedup(
     where all ids of a component are null. Rows that repeat an id or a text get equal answers. Texts are read whole;
     other columns are not read; an empty table gives an empty result.
     """
-    rows = cut_lineage(fingerprints(docs, words, id_col, text_col))
-    distinct = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
-    roots = components(near_links(distinct.select("fp"), crowd))
-    linked = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "n", "root")
-    reach = linked.filter("root is not null").groupBy("root").agg(F.min("least").alias("reached"))
-    answers = linked.filter("root is not null or n > 1").join(reach, "root", "left").select("fp", F.coalesce("reached", "least").alias("component_id"), F.lit(True).alias("found"))
-    out = looked_up(rows, answers, "fp", "rid", salts)
-    component = F.when(F.col("found"), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "rid", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component.alias("component_id"))
+    rows = cut_lineage(fingerprints(docs, words, 1, id_col, text_col).select("doc_id", "rid", F.col("fps")[0].alias("fp")))
+    found = component_ids(rows, "fp", near_links(rows.select("fp").distinct(), crowd=crowd), salts)
+    return found.select("doc_id", "rid", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, lanes: int = LANES, most: int = LANE_BITS,
+    salts: int = SALTS, crowd: int = CROWD,
+) -> DataFrame:
+    """One row per input row: doc_id, rid, component_id (smallest id reachable) over near copies.
+
+    One fingerprint tells apart texts whose shingle sets are 0.9 alike more often than not, so each text has several,
+    of independent hashes, and two texts are linked if the anchors bring any two of them within ``most`` bits. Nulls, repeats,
+    empty tables and other columns as in ``simhash_dedup``.
+    """
+    rows = cut_lineage(fingerprints(docs, words, lanes, id_col, text_col).withColumn("node", F.xxhash64("fps")))
+    each = rows.select("node", "fps").distinct().select("node", F.explode("fps").alias("fp")).distinct()
+    owners = cut_lineage(each.groupBy("fp").agg(F.min("node").alias("owner"), F.max("node").alias("last")))
+    shared = owners.filter("owner <> last").select(F.col("fp").alias("of"), "owner")
+    same = each.join(shared, F.col("fp") == F.col("of")).select(F.col("node").alias("a"), F.col("owner").alias("b"))
+    links = near_links(owners.select("fp"), most, crowd)
+    for end in ("a", "b"):
+        of = owners.select(F.col("fp").alias("of"), F.col("owner").alias(f"_{end}"))
+        links = links.join(of, F.col(end) == F.col("of")).drop("of")
+    links = links.select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    return component_ids(rows, "node", links.unionAll(same), salts).select("doc_id", "rid", "component_id")
