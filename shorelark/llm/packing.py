@@ -103,8 +103,7 @@ class _Packer:
         rows = self._pieces(ids, doc_ends, ends)
         upto = ends[-1] if ends else 0
         self.ids = ids[upto:]
-        left = [(d, n - int(e - upto), n) for (d, _, n), e in zip(self.docs, doc_ends.tolist(), strict=True) if e > upto]
-        self.docs = left
+        self.docs = [(d, max(done, n - (e - upto)), n) for (d, done, n), e in zip(self.docs, doc_ends.tolist(), strict=True) if e > upto]
         return rows
 
     def _pieces(self, ids: np.ndarray, doc_ends: np.ndarray, ends: list[int]) -> list[tuple]:
