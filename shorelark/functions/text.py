@@ -44,10 +44,16 @@ def clean_text(c: Column) -> Column:
 
 def _utf32(code_hex: Column) -> Column:
     code = F.lpad(F.upper(code_hex), 8, "0")
-    invalid = (code == "00000000") | (code > "0010FFFF") | code.between("0000D800", "0000DFFF")
+    invalid = (F.length(code_hex) > 8) | (code == "00000000") | (code > "0010FFFF") | code.between("0000D800", "0000DFFF")
     return F.when(invalid, F.lit("\ufffd")).otherwise(F.decode(F.unhex(code), "UTF-32"))
 
 
+def _no_character(n: Column) -> Column:
+    """Code points that stand for nothing: controls and non-characters."""
+    control = n.between(1, 8) | (n == 11) | n.between(14, 31) | n.between(127, 159)
+    return control | n.between(0xFDD0, 0xFDEF) | ((n > 0) & (n < 0x110000) & (n % 0x10000 >= 0xFFFE))
+
+
 def _literal_map(pairs: dict[str, str]) -> Column:
     # one JSON literal folds to one map literal, whatever the number of entries
     return F.from_json(F.lit(json.dumps(pairs)), "map<string,string>")
@@ -71,23 +77,24 @@ def _c1_controls() -> dict[str, str]:
         try:
             out[str(code)] = bytes([code]).decode("cp1252")
         except UnicodeDecodeError:
-            continue
-    return out
+            out[str(code)] = chr(code)
+    return out | {"13": "\r"}
 
 
 def decode_entities(c: Column) -> Column:
     """Named and numeric character references to text, inside the JVM."""
     named, c1 = _literal_map(_named_entities()), _literal_map(_c1_controls())
-    numeric = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6});?"
+    numeric = r"^(#[0-9]+|#[xX][0-9a-fA-F]+);?"
     closed = r"^([A-Za-z][A-Za-z0-9]*);"
     bare = f"^({_bare_names()})"
 
     def number(p: Column) -> Column:
         token = F.regexp_extract(p, numeric, 1)
-        decimal = F.substr(token, F.lit(2)).try_cast("int")
-        return F.when(token.rlike("^#[xX]"), _utf32(F.substr(token, F.lit(3)))).otherwise(
-            F.coalesce(F.try_element_at(c1, decimal.cast("string")), _utf32(F.hex(decimal)))
-        )
+        digits = F.regexp_replace(token, "^#[xX]?0*(?=.)", "")
+        code = F.when(F.length(digits) > 8, F.lit("-1")).when(token.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(digits)
+        return let(code.cast("bigint"), lambda n: F.coalesce(
+            F.try_element_at(c1, n.cast("string")), F.when(_no_character(n), F.lit("")), _utf32(F.hex(n))
+        ))
 
     def name(p: Column) -> Column:
         return F.try_element_at(named, F.regexp_extract(p, closed, 1))

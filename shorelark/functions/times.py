@@ -18,7 +18,9 @@ MONTHS = (
 
 
 def two(c: Column) -> Column:
-    return F.lpad(c.cast("string"), 2, "0")
+    """At least two digits; longer numbers stay whole."""
+    digits = c.cast("string")
+    return F.when(F.length(digits) < 2, F.concat(F.lit("0"), digits)).otherwise(digits)
 
 
 TWELVE_HOUR = r"(?U)^\s*(\d{1,2})[:.](\d{2})\s*([AaPp])\.?[Mm]\.?\s*$"

@@ -6,9 +6,10 @@ Entries: one row per event and day, with day, cont (not the first day) and span_
 
 from __future__ import annotations
 
-import re
+import warnings
 from collections.abc import Iterable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,13 +113,14 @@ def month_state(entries: DataFrame, shown: DataFrame, month: str) -> DataFrame:
 
 # ---- hides ----------------------------------------------------------------
 
-def valid_rules(rules: Iterable[tuple[str, str]]) -> list[tuple[str, str]]:
-    """Rules whose pattern compiles; the others are dropped before any job starts."""
-    kept = []
+def valid_rules(spark: SparkSession, rules: Iterable[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Rules whose pattern the engine that runs it accepts; the others are reported and dropped."""
+    kept, probe = [], spark.range(1)
     for source, pattern in rules:
         try:
-            re.compile(pattern)
-        except re.error:
+            probe.select(F.lit("x").rlike(f"(?i){pattern}")).collect()
+        except PySparkException as e:
+            warnings.warn(f"hide rule {pattern!r} of {source!r} is dropped: {str(e)[:80]}", stacklevel=2)
             continue
         kept.append((source, pattern))
     return kept
@@ -144,7 +146,7 @@ def hide_exact(events: DataFrame, pairs: Iterable[tuple[str, str]]) -> DataFrame
 
 def hide_by_rule(events: DataFrame, rules: Iterable[tuple[str, str]]) -> DataFrame:
     """Drop events that any rule matches: one predicate, no join."""
-    for source, pattern in valid_rules(rules):
+    for source, pattern in valid_rules(events.sparkSession, rules):
         events = events.filter(~F.coalesce(rule_hit(source, pattern), F.lit(False)))
     return events
 
@@ -168,7 +170,9 @@ def hidden_pair_counts(events: DataFrame, pairs: Iterable[tuple[str, str]]) -> D
 
 def hidden_rule_counts(events: DataFrame, rules: Iterable[tuple[str, str]]) -> DataFrame:
     """Events per rule, all rules in one pass over the events."""
-    kept = valid_rules(rules)
+    kept = valid_rules(events.sparkSession, rules)
+    if not kept:
+        return events.sparkSession.createDataFrame([], "source string, pattern string, n bigint")
     one = events.agg(*[F.count_if(rule_hit(s, p)).alias(f"_{i}") for i, (s, p) in enumerate(kept)])
     rows = F.array(*[
         F.struct(F.lit(s).alias("source"), F.lit(p).alias("pattern"), F.col(f"_{i}").alias("n"))

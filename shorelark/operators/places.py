@@ -241,12 +241,12 @@ def unplaced_summary(placed: DataFrame) -> DataFrame:
     )
 
 
-def lookup_queue(placed: DataFrame, ordinal: str, size: int = 40) -> DataFrame:
-    """First unknown locations in order of appearance, first spelling kept; the size is a courtesy limit."""
+def lookup_queue(placed: DataFrame, ordinal: str) -> DataFrame:
+    """All unknown locations in order of appearance, first spelling kept."""
     unknown = placed.filter(~F.col("placed")).select(
         tx.canonical(F.col("location")).alias("loc"), "location", ordinal
     )
-    return first_by(unknown, ["loc"], [ordinal]).orderBy(ordinal).limit(size)
+    return first_by(unknown, ["loc"], [ordinal]).orderBy(ordinal)
 
 
 def first_spelling(df: DataFrame, column: str, ordinal: str) -> DataFrame:
@@ -266,9 +266,13 @@ def class_order(classes: DataFrame) -> DataFrame:
 
 
 def natural_key(c: Column) -> Column:
-    """Sort key with digit runs padded, so 'Cave 2' precedes 'Cave 10'."""
+    """Sort key with the length in front of each digit run, so 'Cave 2' precedes 'Cave 10'."""
     pieces = F.regexp_extract_all(F.lower(c), F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
-    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, 12, "0")).otherwise(p)), "")
+
+    def key(p: Column) -> Column:
+        return F.concat(F.lpad(F.length(p).cast("string"), 6, "0"), p)
+
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike("^[0-9]"), key(F.regexp_replace(p, "^0+(?=.)", ""))).otherwise(p)), "")
 
 
 # ---- resolving locations --------------------------------------------------

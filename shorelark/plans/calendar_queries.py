@@ -12,13 +12,15 @@ from shorelark.plans.standins import standin, table
 from shorelark.plans.text_queries import EVENT_DAY_SQL
 
 PAIRS = [("1-URGENT", "Gear Hire 4"), ("2-HIGH", "Reef Dive 5"), ("5-LOW", "Wreck Dive 6"), ("5-LOW", "No Such Trip")]
-RULES = [("*", "hire 1[0-9]$"), ("3-MEDIUM", "^night"), ("4-NOT SPECIFIED", "([a-z"), ("2-HIGH", "cave|wreck")]
+RULES = [("*", "hire 1[0-9]$"), ("3-MEDIUM", "^night"), ("4-NOT SPECIFIED", "([a-z"), ("2-HIGH", "cave|wreck"), ("*", "(?<kind>reef) dive 2[0-9]$"), ("1-URGENT", r"\p{L}+ hire 2"), ("*", "(?P<x>a)")]
+#: The same for the SQL side's dialect; rules that the engine rejects are missing.
+SQL_RULES = {"(?<kind>reef) dive 2[0-9]$": "(reef) dive 2[0-9]$", "([a-z": None, "(?P<x>a)": None}
 MONTH = "1997-03"
 
 NORM = "trim(regexp_replace(title, '(?i)\\s*\\(sold out\\)\\s*$', ''))"
 PAIR_VALUES = ", ".join(f"('{s}', '{t}')" for s, t in PAIRS)
-VALID_RULES = [r for r in RULES if r[1] != "([a-z"]
-RULE_VALUES = ", ".join(f"({i}, '{s}', '{p}')" for i, (s, p) in enumerate(VALID_RULES))
+VALID_RULES = [(s, p, SQL_RULES.get(p, p)) for s, p in RULES if SQL_RULES.get(p, p)]
+RULE_VALUES = ", ".join(f"({i}, '{s}', '{p}', '{x}')" for i, (s, p, x) in enumerate(VALID_RULES))
 
 DAYS_SQL = f"""
 ev as (select *, {EVENT_DAY_SQL.format('start_at')} as s, {NORM} as nt from cal_events),
@@ -26,11 +28,11 @@ span as (select *, least(greatest(coalesce(cast(end_at as date), s), s), s + 30)
 entries as (select * exclude (e, i), s + cast(i as int) as day, i > 0 as cont, cast(e - s + 1 as bigint) as span_days
   from (select *, unnest(range(cast(e - s + 1 as bigint))) as i from span) x),
 hidden as (select * from (values {PAIR_VALUES}) v(hs, ht)),
-rules as (select * from (values {RULE_VALUES}) v(ri, rs, rp)),
+rules as (select * from (values {RULE_VALUES}) v(ri, rs, rp, rx)),
 shown_ev as (select * from ev where not exists (select 1 from hidden where hs = source and ht = nt)
-  and not exists (select 1 from rules where (rs = '*' or rs = source) and regexp_matches(nt, '(?i)' || rp))),
+  and not exists (select 1 from rules where (rs = '*' or rs = source) and regexp_matches(nt, '(?i)' || rx))),
 shown as (select * from entries where not exists (select 1 from hidden where hs = source and ht = nt)
-  and not exists (select 1 from rules where (rs = '*' or rs = source) and regexp_matches(nt, '(?i)' || rp)))
+  and not exists (select 1 from rules where (rs = '*' or rs = source) and regexp_matches(nt, '(?i)' || rx)))
 """
 
 
@@ -77,7 +79,7 @@ def ag02(spark, sf):
 
 @calendar(
     "ag03_hidden_rule_counts",
-    "select rs as source, rp as pattern, (select count(*) from ev where (rs = '*' or rs = source) and regexp_matches(nt, '(?i)' || rp)) as n from rules",
+    "select rs as source, rp as pattern, (select count(*) from ev where (rs = '*' or rs = source) and regexp_matches(nt, '(?i)' || rx)) as n from rules",
 )
 def ag03(spark, sf):
     return cal.hidden_rule_counts(events(spark, sf), RULES)
@@ -146,7 +148,7 @@ def jn03(spark, sf):
 
 @calendar(
     "jn04_pattern_hides",
-    "select ord, source, title from ev where not exists (select 1 from rules where (rs = '*' or rs = source) and regexp_matches(nt, '(?i)' || rp))",
+    "select ord, source, title from ev where not exists (select 1 from rules where (rs = '*' or rs = source) and regexp_matches(nt, '(?i)' || rx))",
 )
 def jn04(spark, sf):
     return cal.hide_by_rule(events(spark, sf), RULES).select("ord", "source", "title")

@@ -223,7 +223,7 @@ def ag13(spark, sf):
 
 @places(
     "ag13_lookup_queue",
-    "select loc, ord, location from (select cloc as loc, ord, location, row_number() over (partition by cloc order by ord) as rn from placed where not placed) x where rn = 1 order by ord limit 40",
+    "select loc, ord, location from (select cloc as loc, ord, location, row_number() over (partition by cloc order by ord) as rn from placed where not placed) x where rn = 1",
 )
 def ag13_queue(spark, sf):
     return pl.lookup_queue(all_classes(spark, sf), "ord").select("loc", "ord", "location")
@@ -244,7 +244,7 @@ def so03(spark, sf):
 
 @places(
     "so06_natural_order",
-    r"""select course, n, regexp_extract(c, '^[^0-9]*', 0) || case when regexp_matches(c, '[0-9]') then lpad(regexp_extract(c, '[0-9]+', 0), 12, '0') else '' end
+    r"""select course, n, regexp_extract(c, '^[^0-9]*', 0) || case when regexp_matches(c, '[0-9]') then lpad(cast(length(regexp_extract(c, '0*([0-9]+)', 1)) as varchar), 6, '0') || regexp_extract(c, '0*([0-9]+)', 1) else '' end
           || regexp_extract(c, '^[^0-9]*[0-9]+(.*)$', 1) as sort_key
         from (select course, lower(course) as c, count(*) as n from placed group by course) x""",
 )

@@ -6,10 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A driver-side parameter list up to this many rows is broadcast; beyond it Catalyst decides.
-BROADCAST_ROWS = 10_000
 
 
 def build_session(app: str = "shorelark", master: str | None = None, **conf: str) -> SparkSession:
@@ -60,9 +56,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def parameter_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """Driver-side parameters as a frame; the broadcast hint is set only below a known size."""
-    df = spark.createDataFrame(rows, schema)
-    return F.broadcast(df) if len(rows) <= BROADCAST_ROWS else df
+    """Driver-side parameters as a frame; Catalyst knows the size of a local relation and broadcasts by it."""
+    return spark.createDataFrame(rows, schema)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -179,9 +179,24 @@ def grid_listing(snippets: DataFrame, origin: Origin, ordinal: str = "ord") -> D
 
 # ---- paged listings -------------------------------------------------------
 
+def _element(html: Column, opening: str) -> Column:
+    """What is inside the div that the pattern opens, nested divs included; all that follows if it is never closed."""
+    pieces = F.split(F.regexp_extract(html, rf"(?is){opening}(.*)$", 1), r"(?i)(?=<div\b|</div\s*>)")
+    step = lambda p: F.when(p.rlike(r"(?i)^</div"), -1).when(p.rlike(r"(?i)^<div"), 1).otherwise(0)
+
+    def walk(acc: Column, p: Column) -> Column:
+        depth = acc["depth"] + F.when(acc["depth"] > 0, step(p)).otherwise(0)
+        return F.struct(depth.alias("depth"), (acc["n"] + (depth > 0).cast("int")).alias("n"))
+
+    def inside(all_: Column) -> Column:
+        start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n"))
+        return F.array_join(F.slice(all_, F.lit(1), F.aggregate(all_, start, walk)["n"]), "")
+
+    return tx.let(pieces, inside)
+
+
 def _inner(html: Column, css: str) -> Column:
-    """What follows the opening tag of a class up to its first closing div."""
-    return F.regexp_extract(html, rf"(?is)<div[^>]*class=[\"'][^\"']*\b{css}\b[^\"']*[\"'][^>]*>(.*?)</div>", 1)
+    return _element(html, rf"<div[^>]*class=[\"'][^\"']*\b{css}\b[^\"']*[\"'][^>]*>")
 
 
 def listing_items(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -244,7 +259,7 @@ def inventory_items(pages: DataFrame, html: str = "html") -> DataFrame:
     number = F.regexp_extract("_b", r"id=[\"']cf-item-data-(\d+)[\"']", 1).try_cast("bigint")
     name = _text(F.regexp_extract("_b", r"(?is)<h2[^>]*>(.*?)</h2>", 1))
     price = _text(F.regexp_extract("_b", r"(?is)class=[\"'][^\"']*cf-price[^\"']*[\"'].*?<strong[^>]*>.*?<span[^>]*>(.*?)</span>", 1))
-    summary = tx.summary_text(_text(F.regexp_extract("_b", r"(?is)id=[\"']cf-item-summary-\d+[\"'][^>]*>(.*?)</div>", 1)))
+    summary = tx.summary_text(_text(_element(F.col("_b"), r"id=[\"']cf-item-summary-\d+[\"'][^>]*>")))
     return items.select(
         *[c for c in items.columns if c != "_b"], number.alias("id"), name.alias("name"), price.alias("price"), summary.alias("summary")
     ).filter(F.col("id").isNotNull() & F.col("name").isNotNull() & ~F.lower("name").startswith("private"))

@@ -26,7 +26,8 @@ def values(spark, items, build, kind="string"):
 def test_entities_like_the_standard_library(spark):
     items = [
         "a &amp; b", "&lt;p&gt;", "&#8211; &#x2014;", "&nbsp;x", "&copy;2024 &middot;", "no entity", "&unknown; &", "&amp;lt;", "&#150;",
-        "&amp", "&ampx", "&eacute;t&eacute", "&#0;", "&#xD800;", "&#9999999;", "A&B", "&notit;", "", "&frac12;&hellip;",
+        "&amp", "&ampx", "&eacute;t&eacute", "&#0;", "&#xD800;", "&#9999999;", "&#0000000065;x", "&#x0000041;y", "&#99999999999999;z", "&#xFFFFFFFFFFFF;z", "&#x96;", "&#129;", "&#1;a", "&#xFFFE;b",
+        "&#65", "&#x41g", "&#;", "&#13;", "A&B", "&notit;", "", "&frac12;&hellip;",
     ]
     got = values(spark, items, tx.decode_entities)
     for item, out in zip(items, got):
@@ -144,6 +145,9 @@ def test_invalid_rules_are_dropped(spark):
     df = spark.createDataFrame([event(1, "2024-01-01", title="Gear Hire (Sold Out)"), event(2, "2024-01-01", title="Dive")], EVENTS)
     assert [r.ord for r in cal.hide(df, [], [("*", "(["), ("*", "hire$"), ("other", "dive")]).collect()] == [2]
     assert [r.ord for r in cal.hide(df, [("s", "Gear Hire")], []).collect()] == [2]
+    with pytest.warns(UserWarning, match="dropped"):
+        assert [r.ord for r in cal.hide_by_rule(df, [("*", "(?P<x>d)"), ("*", "(?<x>dive)"), ("*", r"\p{L}+ hire")]).collect()] == []
+        assert cal.hidden_rule_counts(df, [("*", "([")]).collect() == []
 
 
 def test_month_grid_starts_on_monday(spark):
@@ -212,6 +216,8 @@ def test_course_families_and_orders(spark):
     ]
     keys = values(spark, ["Cave 10", "Cave 2", "cave 2b"], pl.natural_key)
     assert keys[1] < keys[2] < keys[0]
+    runs = values(spark, ["c 1234567890123", "c 1234567890124", "c 0007", "c 8", "c 000", "c 1"], pl.natural_key)
+    assert runs[4] < runs[5] < runs[2] < runs[3] < runs[0] < runs[1]
     assert values(spark, ["a, b, Germany", "x, USA ", "one", ""], pl.country_of) == ["de", "us", None, None]
     assert values(spark, ["a,b, c", "a, c", "a", "a,, a"], pl.fallback_queries) == [
         ["a,b, c", "a, c", "b, c", "a", "c"], ["a, c", "a", "c"], ["a"], ["a,, a", "a"],
@@ -288,6 +294,18 @@ def test_availability_items(spark):
     assert [(r.title, r.start, r.end) for r in out.collect()] == [("Night (10pm-1am)", "2026-07-03T22:00+10:00", "2026-07-04T01:00+10:00")]
 
 
+def test_nested_elements_are_read_whole(spark):
+    block = '<div class="post-item"><div class="post-title"><a href="/x">T</a></div><div class="post-description">one <div>two <div>3</div></div> three</div><div>out</div></div>'
+    items = ls.listing_items(spark.createDataFrame([("s", 0, block), ("s", 1, '<div class="post-item"><div class="post-description">never closed')], "source string, page int, html string"))
+    assert [r.description for r in items.orderBy("page").collect()] == ["one two 3 three", "never closed"]
+    html_ = '<div id="cf-item-data-1"><h2>A</h2><div id="cf-item-summary-1">one <div>two</div> three</div> four</div>'
+    assert [r.summary for r in ls.inventory_items(spark.createDataFrame([(html_,)], "html string")).collect()] == ["one two three"]
+
+
+def test_long_days_stay_whole(spark):
+    assert values(spark, ["July 105, 2026", "July 5, 2026", "June 15 2026", "Smarch 3, 2026"], tm.long_date_iso) == ["2026-07-105", "2026-07-05", "2026-06-15", None]
+
+
 def test_failing_sources_do_not_sink_the_rest(spark):
     def good(s):
         return s.createDataFrame([event(1, "2024-01-01"), event(2, "2025-01-01")], EVENTS)
