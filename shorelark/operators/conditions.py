@@ -2,15 +2,16 @@
 
 Feeds are long tables: marine (zone, idx, ts, swell_h, swell_dir, swell_per, swell2_h, swell2_dir,
 swell2_per, chop_h, chop_dir, wave_h, sst, sea_level, current, current_dir) and weather (zone, idx,
-precip, wind, wind_dir, gust, temp, cloud). ``idx`` counts hours from the start of the feed, without
-gaps; ``ts`` is the local hour as text.
+precip, wind, wind_dir, gust, temp, cloud). ``idx`` counts hours from the start of the feed; hours may
+be missing. ``ts`` is the local hour as text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -22,7 +23,8 @@ from shorelark.session import shuffle_partitions
 PAST_DAYS = 3  # fixed value: days of history at the start of a feed
 FORECAST_DAYS = 7  # fixed value
 TTL_MINUTES = 30  # fixed value: age after which a feed is fetched again
-ROWS_PER_GROUP = 100_000  # site hours one salt of a zone combination may hold
+BLOCK_HOURS = 720  # hours of a zone's series that one task looks back over
+SITE_PARTS = 32  # parts that the sites of a zone combination are dealt to
 
 
 @dataclass(frozen=True)
@@ -54,23 +56,43 @@ def read_clock(axis: DataFrame, date: str, hour: int) -> Clock:
 
 # ---- zone series ----------------------------------------------------------
 
+def looking_back(series: DataFrame, back: int, **columns: Callable[[WindowSpec], Column]) -> DataFrame:
+    """Columns over the hours before each hour of a zone, by hour and not by row, so missing hours shift nothing.
+
+    A zone is split into blocks of BLOCK_HOURS; the last ``back`` hours of a block are context of the next one, so a long
+    series is never in one task. ``_block`` is there for the columns and dropped afterwards.
+    """
+    own, reach = (F.floor(h / BLOCK_HOURS) for h in (F.col("idx"), F.col("idx") + back))
+    blocks = series.withColumn("_block", F.explode(F.sequence(own, reach)))
+    hours = W.partitionBy("zone", "_block").orderBy("idx")
+    seen = blocks.withColumns({name: column(hours) for name, column in columns.items()})
+    return seen.filter(F.col("_block") == own).drop("_block")
+
+
+def _rain(p: RatingParams) -> Callable[[WindowSpec], Column]:
+    # weights relative to the block's start: one sum over the frame, whatever its length
+    since = (F.col("idx") - F.col("_block") * BLOCK_HOURS) / F.lit(p.rain_decay_h)
+    weighted = F.coalesce("precip", F.lit(0.0)) * F.exp(since)
+    return lambda hours: F.coalesce(F.sum(weighted).over(hours.rangeBetween(-p.rain_hours, -1)), F.lit(0.0)) * F.exp(1 / F.lit(p.rain_decay_h) - since)
+
+
+def _southerly(p: RatingParams) -> Callable[[WindowSpec], Column]:
+    southerly = (F.col("wind_dir") > 150) & (F.col("wind_dir") < 250) & (F.col("wind") > 12)
+    return lambda hours: F.count_if(southerly).over(hours.rangeBetween(-p.upwell_hours, -1))
+
+
 def rain_memory(weather: DataFrame, p: RatingParams = RatingParams()) -> DataFrame:
-    """Decayed rain of the hours before each hour. Zones are few and their series short."""
-    w = W.partitionBy("zone").orderBy("idx").rowsBetween(-p.rain_hours, -1)
-    past = F.collect_list(F.coalesce("precip", F.lit(0.0))).over(w)
-    weighted = F.transform(F.reverse(past), lambda v, a: v * F.exp(-a / F.lit(p.rain_decay_h)))
-    return weather.withColumn("rain_mm", F.aggregate(weighted, F.lit(0.0), lambda s, v: s + v))
+    """Decayed rain of the hours before each hour."""
+    return looking_back(weather, p.rain_hours, rain_mm=_rain(p))
 
 
 def upwelling(weather: DataFrame, p: RatingParams = RatingParams()) -> DataFrame:
     """Hours of sustained southerly wind in the look-back before each hour."""
-    w = W.partitionBy("zone").orderBy("idx").rowsBetween(-p.upwell_hours, -1)
-    southerly = (F.col("wind_dir") > 150) & (F.col("wind_dir") < 250) & (F.col("wind") > 12)
-    return weather.withColumn("upwell_h", F.count_if(southerly).over(w))
+    return looking_back(weather, p.upwell_hours, upwell_h=_southerly(p))
 
 
 def zone_features(weather: DataFrame, p: RatingParams = RatingParams()) -> DataFrame:
-    return upwelling(rain_memory(weather, p), p)
+    return looking_back(weather, max(p.rain_hours, p.upwell_hours), rain_mm=_rain(p), upwell_h=_southerly(p))
 
 
 def flood_ratios(discharge: DataFrame, affects: DataFrame, past: int = 31, ahead: int = FORECAST_DAYS) -> DataFrame:
@@ -143,7 +165,7 @@ def zone_feed(
 
 def site_hours(
     sites: DataFrame, marine: DataFrame, weather: DataFrame, flood: DataFrame | None, daily: DataFrame | None,
-    clock: Clock, lo: int, hi: int, p: RatingParams = RatingParams(), salts: int | None = None,
+    clock: Clock, lo: int, hi: int, p: RatingParams = RatingParams(), salts: int = SITE_PARTS,
 ) -> DataFrame:
     """Every site with the hours ``lo`` to ``hi`` of its marine and weather zone.
 
@@ -156,9 +178,6 @@ def site_hours(
     pairs = prepared.select("marine_zone", "weather_zone", "body").distinct()
     hours = (F.col("idx") >= lo) & (F.col("idx") < hi)
     feed = zone_feed(pairs, marine, weather, flood, daily, clock, hours, p)
-    if salts is None:
-        wanted = -(-sites.count() * (hi - lo) // ROWS_PER_GROUP)
-        salts = max(1, min(shuffle_partitions(sites.sparkSession), wanted))
     salted = prepared.withColumn("salt", F.pmod(F.xxhash64("site_id"), F.lit(salts)).cast("int"))
     spread = feed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     # a fixed number of partitions: adaptive coalescing would size them by the small inputs, not by the fan-out
@@ -170,9 +189,9 @@ def site_hours(
 SITE_KEY = ["site_id", "salt", "marine_zone", "weather_zone", "body"]
 
 
-def site_order():
-    """Hours of a site in order; led by the day, so the sort also serves the summary per day."""
-    return W.partitionBy(*SITE_KEY).orderBy("day", "idx")
+def site_order() -> WindowSpec:
+    """Hours of a site in order."""
+    return W.partitionBy(*SITE_KEY).orderBy("idx")
 
 
 def site_columns() -> SiteColumns:
@@ -194,24 +213,9 @@ def with_effects(hours: DataFrame, p: RatingParams = RatingParams()) -> DataFram
 
 
 def with_turbidity(hours: DataFrame, p: RatingParams = RatingParams()) -> DataFrame:
-    """Mean known sea state of the look-back hours; the hour itself, or calm, without any.
-
-    Running totals make the cost per row independent of the look-back length.
-    """
-    order = site_order()
-    upto = order.rowsBetween(W.unboundedPreceding, W.currentRow)
-    n = p.turbidity_hours
-    running = hours.withColumns({
-        "_s": F.coalesce(F.sum("eff_sea").over(upto), F.lit(0.0)), "_c": F.count("eff_sea").over(upto)
-    })
-
-    total = F.struct("_s", "_c")
-    running = running.withColumns({"_to": F.lag(total, 1).over(order), "_from": F.lag(total, n + 1).over(order)})
-    seen = F.coalesce("_to._c", F.lit(0)) - F.coalesce("_from._c", F.lit(0))
-    mean = F.try_divide(F.coalesce("_to._s", F.lit(0.0)) - F.coalesce("_from._s", F.lit(0.0)), seen)
-    return running.withColumn(
-        "turbidity", F.when(seen > 0, mean).otherwise(F.coalesce("eff_sea", F.lit(0.0)))
-    ).drop("_s", "_c", "_to", "_from")
+    """Mean known sea state of the look-back hours; the hour itself, or calm, without any."""
+    back = F.avg("eff_sea").over(site_order().rangeBetween(-p.turbidity_hours, -1))
+    return hours.withColumn("turbidity", F.coalesce(back, "eff_sea", F.lit(0.0)))
 
 
 def with_visibility(hours: DataFrame, p: RatingParams = RatingParams()) -> DataFrame:
@@ -243,7 +247,7 @@ def with_scores(hours: DataFrame, p: RatingParams = RatingParams()) -> DataFrame
 
 def score_site_hours(
     sites: DataFrame, marine: DataFrame, weather: DataFrame, flood: DataFrame | None, daily: DataFrame | None,
-    clock: Clock, p: RatingParams = RatingParams(), salts: int | None = None,
+    clock: Clock, p: RatingParams = RatingParams(), salts: int = SITE_PARTS,
 ) -> DataFrame:
     """The whole chain from feeds to scored hours, limited to the hours a rating reads."""
     hours = site_hours(
@@ -283,7 +287,12 @@ def best_windows(scored: DataFrame, clock: Clock, p: RatingParams = RatingParams
         "hour": (F.col("idx") - clock.today_idx) - F.col("day") * 24, "_0": pack,
     })
     # the hours of a window side by side: one look-ahead per hour for all figures at once
-    counted = hours.withColumns({f"_{k}": F.lead("_0", k).over(order) for k in range(1, n)})
+    ahead = hours.withColumns({f"_lead{k}": F.lead(F.struct("idx", "_0"), k).over(order) for k in range(1, n)})
+    # with missing hours the k-th hour ahead is among the next k rows, or nowhere
+    counted = ahead.withColumns({
+        f"_{k}": F.coalesce(*[F.when(F.col(f"_lead{j}.idx") == F.col("idx") + k, F.col(f"_lead{j}._0")) for j in range(1, k + 1)])
+        for k in range(1, n)
+    }).drop(*[f"_lead{k}" for k in range(1, n)])
 
     def over_window(c: str) -> Column:
         total = F.coalesce(F.col(f"_0.{c}"), F.lit(0.0))
@@ -307,8 +316,7 @@ def best_windows(scored: DataFrame, clock: Clock, p: RatingParams = RatingParams
     rad = F.radians(F.coalesce("wind_dir", F.lit(0.0)))
     best = F.max_by(
         F.struct("hour", "_w_score", "_blown", *[f"_w_{c}" for c in PARTS]),
-        # equal means may differ in the last bit by the order of their terms; nine places make them tie
-        F.when(startable, F.struct(F.round("_w_score", 9), -F.col("hour"))),
+        F.when(startable, F.struct(F.col("_w_score"), -F.col("hour"))),
     )
     swell = F.max_by(
         F.struct("swell_h", "swell_dir", "swell_per"), F.when(swell_known, F.struct(F.col("swell_h"), -F.col("hour")))
@@ -434,7 +442,9 @@ def tide_turns(marine: DataFrame, from_idx: int, hours: int) -> DataFrame:
     level = F.col("sea_level")
     near = marine.filter(F.col("idx").between(max(1, from_idx - 1) - 1, from_idx + hours)).select("zone", "idx", "ts", "sea_level")
     seen = (
-        near.withColumn("_prev", F.lag("sea_level").over(order)).withColumn("_next", F.lead("sea_level").over(order))
+        near.withColumns({"_p": F.lag(F.struct("idx", "sea_level")).over(order), "_n": F.lead(F.struct("idx", "sea_level")).over(order)})
+        .withColumn("_prev", F.when(F.col("_p.idx") == F.col("idx") - 1, F.col("_p.sea_level")))
+        .withColumn("_next", F.when(F.col("_n.idx") == F.col("idx") + 1, F.col("_n.sea_level")))
         .withColumn("_at", F.max(F.when(F.col("idx") == from_idx, level)).over(W.partitionBy("zone")))
     )
     kind = F.when((level >= F.col("_prev")) & (level > F.col("_next")), "High").when(

@@ -126,7 +126,7 @@ hours as (select s.*, m.idx, m.ts, m.swell_h, m.swell_dir, m.swell_per, m.swell2
 effects as (select *, case when swell_h is null then null else sqrt({energy('swell_h', 'swell_dir', 'swell_per')} + {energy('swell2_h', 'swell2_dir', 'swell2_per')}
       + {energy('chop_h', 'chop_dir', '5.0e0')}) end as eff_sea,
     wind * (0.35e0 + 0.65e0 * ({sec('wind_dir')})) as eff_wind, wind * ({sec('wind_dir')}) as onshore from hours),
-turbid as (select *, coalesce(avg(eff_sea) over (partition by site_id order by idx rows between 48 preceding and 1 preceding), eff_sea, 0) as turbidity from effects),
+turbid as (select *, coalesce(avg(eff_sea) over (partition by site_id order by idx range between 48 preceding and 1 preceding), eff_sea, 0) as turbidity from effects),
 seen as (select t.*, base_vis * ({MONTHLY}) * case when t.body = 'ocean' then 1 + 0.15e0 * greatest(0.0e0, least(1.0e0, upwell_h / 48.0e0)) else 1.0e0 end
       / (1 + turbidity_coef * turbidity) / (1 + 0.085e0 * runoff * greatest(0.0e0, rain_mm - rain_threshold))
       * case when ratio > 3 then 1 - 0.85e0 * greatest(0.0e0, least(1.0e0, (ratio - 3) / 12.0e0)) else 1.0e0 end as est_vis
@@ -535,7 +535,7 @@ def wn07(spark, sf):
 
 def _turns(lo: int, n: int) -> str:
     return f"""(select zone, idx, ts, sea_level as height, case when sea_level >= p and sea_level > q then 'High' when sea_level <= p and sea_level < q then 'Low' end as kind
-      from (select *, lag(sea_level) over (partition by zone order by idx) as p, lead(sea_level) over (partition by zone order by idx) as q,
+      from (select *, max(sea_level) over (partition by zone order by idx range between 1 preceding and 1 preceding) as p, max(sea_level) over (partition by zone order by idx range between 1 following and 1 following) as q,
         max(case when idx = {lo} then sea_level end) over (partition by zone) as at0 from zone_hours) x
       where at0 is not null and idx between {max(1, lo - 1)} and {lo + n - 1} and p is not null and q is not null and sea_level is not null
         and ((sea_level >= p and sea_level > q) or (sea_level <= p and sea_level < q)))"""
