@@ -33,20 +33,30 @@ def st02(spark, sf):
     return spark.read.parquet(path)
 
 
+@query("st02_first_seen_in_time", "select distinct event_type, user_id from events")
+def st02_in_time(spark, sf):
+    """Keys are remembered for a bounded time, here longer than the table's."""
+    path, state = st.stream_paths(spark, "seen")
+    keys = ["event_type", "user_id"]
+    polls = _landed(spark, sf, "events").select(*keys, F.col("ts").cast("timestamp").alias("ts"))
+    st.ingest(polls, lambda df: st.first_seen(df, keys, "ts", "60 days"), path, state)
+    return spark.read.parquet(path).select(*keys)
+
+
 @query(
     "st03_append_only_state",
     "select lower(p_name || ', ' || p_brand) as loc, max(case when p_partkey % 3 <> 0 then cast(p_partkey as double) end) as lat from part group by 1",
 )
 def st03(spark, sf):
     path, state = st.stream_paths(spark, "cache")
-    known = st.VersionedTable(spark, path, "loc string, lat double, lng double")
+    known = st.BatchTable(spark, path, "loc string, lat double, lng double")
     k = F.col("p_partkey")
     tries = _landed(spark, sf, "part").select(
         F.lower(F.concat("p_name", F.lit(", "), "p_brand")).alias("loc"),
         F.when(k % 3 != 0, k.cast("double")).alias("lat"), F.when(k % 3 != 0, k.cast("double")).alias("lng"),
     )
-    st.maintain(tries, known, st.append_only, state)
-    return known.read().select("loc", "lat")
+    st.maintain(tries, known, state)
+    return st.append_only(known.arrived()).select("loc", "lat")
 
 
 @query(
@@ -56,10 +66,11 @@ def st03(spark, sf):
 )
 def st04(spark, sf):
     path, state = st.stream_paths(spark, "latest")
-    latest = st.VersionedTable(spark, path, "feed string, fetched_s bigint, ts timestamp, event_id bigint")
+    latest = st.BatchTable(spark, path, "feed string, fetched_s bigint, ts timestamp, event_id bigint")
     polls = _landed(spark, sf, "events").select(
         F.col("event_type").alias("feed"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("fetched_s"),
         F.col("ts").cast("timestamp").alias("ts"), "event_id",
     )
-    st.maintain(polls, latest, st.latest_by_key(["feed"], ["ts", "event_id"]), state)
-    return st.with_staleness(latest.read(), "fetched_s", 1706659200, 1800).select("feed", "event_id", "stale")
+    st.maintain(polls, latest, state)
+    newest = st.latest_by_key(["feed"], ["ts", "event_id"])(latest.arrived())
+    return st.with_staleness(newest, "fetched_s", 1706659200, 1800).select("feed", "event_id", "stale")

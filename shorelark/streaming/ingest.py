@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import time
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from shorelark.operators.places import merge_cache
 from shorelark.operators.scale import first_by
 from shorelark.session import scratch_path
 
@@ -46,56 +48,67 @@ def first_seen(stream: DataFrame, keys: list[str], when: str | None = None, dela
     return stream.dropDuplicates(keys)
 
 
-class VersionedTable:
-    """A small table rewritten per batch: a new version is written whole, then becomes current.
+class BatchTable:
+    """A keyed table kept as what arrived: every batch adds its rows, and the winner of a key is chosen on reading.
 
-    A batch id names its version, so a batch replayed after a failure writes the same folder again.
+    A batch owns the folder named by its checkpoint and its number. Replayed, it writes that folder again; a new
+    checkpoint starts folders of its own, so nothing of an earlier run is overwritten or forgotten.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: str):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
 
-    def _versions(self) -> list[int]:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(hadoop):
-            return []
-        names = [s.getPath() for s in fs.listStatus(hadoop)]
-        done = [p for p in names if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted(int(p.getName().split("=")[1]) for p in done)
+    def arrived(self) -> DataFrame:
+        """All rows with arrival (milliseconds), run and batch."""
+        kept = f"{self.schema}, arrival bigint, run string, batch bigint"
+        try:
+            return self.spark.read.schema(kept).parquet(self.path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], kept)
+
+    def add(self, df: DataFrame, run: str, batch: int) -> None:
+        now = F.lit(int(time.time() * 1000)).alias("arrival")
+        columns = self.spark.createDataFrame([], self.schema).columns
+        df.select(*columns, now).write.mode("overwrite").parquet(f"{self.path}/run={run}/batch={batch}")
+
+    def compacted(self, path: str, winners: Callable[[DataFrame], DataFrame]) -> BatchTable:
+        """A new table that holds only the winners; they have arrived before anything that is added to it."""
+        small = BatchTable(self.spark, path, self.schema)
+        rows = winners(self.arrived()).withColumn("arrival", F.lit(0).cast("bigint"))
+        rows.write.mode("overwrite").parquet(f"{small.path}/run=compacted/batch=0")
+        return small
+
+
+def maintain(stream: DataFrame, table: BatchTable, state: str) -> None:
+    """Every new batch into the table."""
+    run = hashlib.sha256(state.encode()).hexdigest()[:16]
 
-    def read(self, before: int | None = None) -> DataFrame:
-        versions = [v for v in self._versions() if before is None or v < before]
-        if not versions:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={versions[-1]}")
-
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v={version}")
-
-
-def maintain(stream: DataFrame, table: VersionedTable, step: Callable[[DataFrame, DataFrame], DataFrame], state: str) -> None:
-    """Fold every batch into a table: new version = step(previous version, batch)."""
     def batch(df: DataFrame, batch_id: int) -> None:
-        table.write(step(table.read(before=batch_id), df), batch_id)
+        table.add(df, run, batch_id)
 
     run_to_end(
         stream.writeStream.foreachBatch(batch).option("checkpointLocation", state).trigger(availableNow=True).start()
     )
 
 
-def append_only(previous: DataFrame, batch: DataFrame) -> DataFrame:
-    """Located entries are never overwritten, failed ones retried, new ones added."""
-    fresh = batch.groupBy("loc").agg(F.max(F.struct("lat", "lng")).alias("_p")).select("loc", "_p.lat", "_p.lng")
-    return merge_cache(previous, fresh)
+def append_only(arrived: DataFrame) -> DataFrame:
+    """Located entries are never overwritten, failed ones retried: the first batch that located a place has it.
+
+    Of several answers in one batch the largest holds.
+    """
+    found = F.col("lat").isNotNull()
+    order = F.struct(-F.col("arrival"), "run", "batch", "lat", "lng")
+    return arrived.groupBy("loc").agg(F.max(F.when(found, order)).alias("_p")).select("loc", "_p.lat", "_p.lng")
 
 
-def latest_by_key(keys: list[str], order: list[str]) -> Callable[[DataFrame, DataFrame], DataFrame]:
-    """Newest snapshot per key over the table and the batch; keys without news keep what they had."""
-    def step(previous: DataFrame, batch: DataFrame) -> DataFrame:
-        return first_by(previous.unionByName(batch.select(*previous.columns)), keys, order, latest=True)
+def latest_by_key(keys: list[str], order: list[str]) -> Callable[[DataFrame], DataFrame]:
+    """Newest snapshot per key; keys without news keep what they had."""
+    def winners(arrived: DataFrame) -> DataFrame:
+        return first_by(arrived, keys, [*order, "arrival"], latest=True).drop("arrival", "run", "batch")
 
-    return step
+    return winners
 
 
 def with_staleness(latest: DataFrame, fetched: str, now_s: int, ttl_s: int) -> DataFrame:
