@@ -131,13 +131,14 @@ def fl03(spark, sf):
 @calendar(
     "fl11_month_state",
     f"""select m as month, exists (select 1 from entries where strftime(day, '%Y-%m') = m) as has_any,
-          exists (select 1 from shown where strftime(day, '%Y-%m') = m and source = '9-NONE') as has_shown,
-          case when not exists (select 1 from entries where strftime(day, '%Y-%m') = m) then 'none found' else 'none match' end as state
+          exists (select 1 from shown where strftime(day, '%Y-%m') = m and source = '1-URGENT') as has_shown,
+          case when not exists (select 1 from entries where strftime(day, '%Y-%m') = m) then 'none found'
+            when not exists (select 1 from shown where strftime(day, '%Y-%m') = m and source = '1-URGENT') then 'none match' else 'listed' end as state
         from (values ('{MONTH}'), ('2030-01')) v(m)""",
 )
 def fl11(spark, sf):
     all_entries = entries(spark, sf)
-    shown = all_entries.filter(F.col("source") == "9-NONE")
+    shown = all_entries.filter(F.col("source") == "1-URGENT")
     return cal.month_state(all_entries, shown, MONTH).unionByName(cal.month_state(all_entries, shown, "2030-01"))
 
 
@@ -217,11 +218,10 @@ def so01(spark, sf):
 
 @calendar(
     "so02_day_order",
-    f"select strftime(day, '%Y-%m-%d') as day, ord, {_TKEY} as time_key from entries where strftime(day, '%Y-%m') = '{MONTH}'",
+    f"select strftime(day, '%Y-%m-%d') as day, ord, {_TKEY} as time_key from entries",
 )
 def so02(spark, sf):
-    rows = entries(spark, sf).filter(tm.month_key(F.col("day")) == MONTH)
-    return cal.day_order(rows).select(day(), "ord", "time_key")
+    return cal.day_order(entries(spark, sf)).select(day(), "ord", "time_key")
 
 
 @calendar(
@@ -260,31 +260,31 @@ def dd03(spark, sf):
 @query("dd04_two_key_dedupe")
 def dd04(spark, sf):
     rows = table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("ord"), (F.col("o_custkey") % 700).alias("booking"),
-        F.concat_ws("|", (F.col("o_orderkey") % 610).cast("string"), F.col("o_orderpriority")).alias("shown"),
+        F.col("o_orderkey").alias("ord"), F.col("o_custkey").alias("booking"),
+        F.concat_ws("|", F.col("o_orderdate").cast("date").cast("string"), F.col("o_orderpriority")).alias("shown"),
     )
     return greedy_two_key_dedupe(rows, "booking", "shown", "ord")
 
 
 @query(
     "dd05_item_days",
-    "select distinct o_custkey % 200 as item, strftime(o_orderdate, '%Y-%m-%d') as day from orders",
+    "select distinct o_custkey as item, strftime(o_orderdate, '%Y-%m-%d') as day from orders",
 )
 def dd05(spark, sf):
     return table(spark, sf, "orders").select(
-        (F.col("o_custkey") % 200).alias("item"), F.col("o_orderdate").cast("date").cast("string").alias("day")
+        F.col("o_custkey").alias("item"), F.col("o_orderdate").cast("date").cast("string").alias("day")
     ).distinct()
 
 
 @query(
     "wn01_header_carry",
     """select conv_id, turn, last_value(own ignore nulls) over (partition by source order by conv_id, turn rows between unbounded preceding and current row) as header
-       from (select conv_id, turn, conv_id % 3 as source, case when role = 'user' and length(text) % 4 = 0 then substr(text, 1, 12) end as own from conversations) x""",
+       from (select conv_id, turn, conv_id % 3 as source, case when role = 'user' and length(text) % 4 = 0 then text end as own from conversations) x""",
 )
 def wn01(spark, sf):
     turns = table(spark, sf, "conversations").select(
         "conv_id", "turn", (F.col("conv_id") % 3).alias("source"),
-        F.when((F.col("role") == "user") & (F.length("text") % 4 == 0), F.substring("text", 1, 12)).alias("own"),
+        F.when((F.col("role") == "user") & (F.length("text") % 4 == 0), F.col("text")).alias("own"),
     )
     return forward_fill(turns, "source", "conv_id", "turn", "own", "header", pages_per_block=16).select("conv_id", "turn", "header")
 

@@ -320,11 +320,11 @@ def sc50(spark, sf):
 @query(
     "sc52_chart_extents",
     """select zone, round(greatest(5.0e0, ceil(coalesce(max(wind), 0) * 1.12e0 / 5) * 5), 6) as top, round(min(sea_level) - greatest(0.4e0, max(sea_level) - min(sea_level)) * 0.15e0, 6) as lo,
-         round(max(sea_level) + greatest(0.4e0, max(sea_level) - min(sea_level)) * 0.15e0, 6) as hi from zone_hours where idx between 249 and 296 group by zone""",
+         round(max(sea_level) + greatest(0.4e0, max(sea_level) - min(sea_level)) * 0.15e0, 6) as hi from zone_hours group by zone""",
     ["zone_hours"],
 )
 def sc52(spark, sf):
-    series = standin(spark, sf, "zone_hours").filter("idx between 249 and 296")
+    series = standin(spark, sf, "zone_hours")
     both = cd.chart_extents(series, ["zone"], "wind", 5.0).join(cd.tide_extents(series, ["zone"]), "zone")
     return rounded(both.select("zone", "top", "lo", "hi"))
 
@@ -595,11 +595,11 @@ def wn12(spark, sf):
 
 @query(
     "wn13_series_peak",
-    "select zone, peak, idx from (select zone, wind as peak, idx, row_number() over (partition by zone order by wind desc, idx) as rn from zone_hours where wind is not null and idx between 249 and 296) x where rn = 1",
+    "select zone, peak, idx from (select zone, wind as peak, idx, row_number() over (partition by zone order by wind desc, idx) as rn from zone_hours where wind is not null) x where rn = 1",
     ["zone_hours"],
 )
 def wn13(spark, sf):
-    return cd.series_peak(cd.series_slice(weather(spark, sf), 249, 48), ["zone"], "wind")
+    return cd.series_peak(weather(spark, sf), ["zone"], "wind")
 
 
 @query(

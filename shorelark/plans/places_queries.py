@@ -408,13 +408,13 @@ def ag14_unresolved(spark, sf):
 
 @places(
     "se01_changed_rows",
-    """select course, location, cast(sum(d) as bigint) as delta from (select course, location, 1 as d from placed where iso >= date '1996-01-01'
-       union all select course, location, -1 from placed where iso < date '1997-01-01') x group by all having sum(d) <> 0""",
+    """select course, location, cast(sum(d) as bigint) as delta from (select course, location, 1 as d from placed where iso >= date '1996-01-01' or iso is null
+       union all select course, location, -1 from placed where iso < date '1997-01-01' or iso is null) x group by all having sum(d) <> 0""",
 )
 def se01(spark, sf):
     rows = classes(spark, sf)
-    old = rows.filter("iso < date'1997-01-01'").select("course", "location")
-    return pl.changed_rows(old, rows.filter("iso >= date'1996-01-01'").select("course", "location"))
+    old = rows.filter("iso < date'1997-01-01' or iso is null").select("course", "location")
+    return pl.changed_rows(old, rows.filter("iso >= date'1996-01-01' or iso is null").select("course", "location"))
 
 
 @query(

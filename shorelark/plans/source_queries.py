@@ -256,11 +256,11 @@ def _token_minutes(pattern):
 
 @query(
     "io16_availability_events",
-    f"""with raw as (select cast(floor(ord / 10.0) as bigint) as id, *, row_number() over (partition by floor(ord / 10.0) order by ord) as rn from listing_text),
+    rf"""with raw as (select cast(floor(ord / 10.0) as bigint) as id, *, row_number() over (partition by floor(ord / 10.0) order by ord) as rn from listing_text),
         named as (select id, trim(regexp_replace(weekly || ' ' || item_name, ' +', ' ', 'g')) as name, nullif(price, '') as price from raw where rn = 1),
         items as (select id, coalesce(nullif(regexp_replace(trim(regexp_replace(name, '{_WEEKDAY}', ''), ' -–—/·'), '\s{{2,}}', ' ', 'g'), ''), name) as title,
           {_token_minutes(_TOKEN)} as sm, {_token_minutes(_RANGE)} as em, array_to_string(list_filter([price, 'Nice trip…'], lambda x: x is not null), ' · ') as description from named),
-        days as (select distinct cast(floor(o_orderkey / 10.0) as bigint) as id, cast(o_orderdate as date) as day from orders where o_orderkey % 5 <> 0 and strftime(o_orderdate, '%Y-%m') = '1996-05'),
+        days as (select distinct cast(floor(o_orderkey / 10.0) as bigint) as id, cast(o_orderdate as date) as day from orders where o_orderkey % 5 <> 0),
         timed as (select i.id, d.day, title, {ISO.format(m='sm', d='day')} as start_at,
           case when sm is not null and em is not null then {ISO.format(m='em', d='(day + case when em > sm then 0 else 1 end)')} end as end_at, sm is null as all_day,
           'https://p.example.org/?date=' || strftime(day, '%Y-%m-%d') || '#' || cast(i.id as varchar) || '@book@' as url, description from items i join days d using (id))
@@ -284,10 +284,8 @@ def io16(spark, sf):
     )
     items = ls.inventory_items(inventory)
     unique = last_by_id(items.select("id", F.col("category").alias("ord"), "name", "price", "summary"), "ord")
-    days = rd.available_days(
-        _availability(spark, sf).select("id", "payload", F.lit("1996-05").alias("month")), "payload", "month"
-    )
-    out = ls.availability_events(unique.withColumn("place", F.col("id")), days, "https://p.example.org/", 31)
+    days = rd.available_days(_availability(spark, sf), "payload")
+    out = ls.availability_events(unique.withColumn("place", F.col("id")), days, "https://p.example.org/", 2557)
     return out.select("id", "title", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "all_day", "url", "description")
 
 

@@ -94,7 +94,7 @@ where not (s.zone in (select min(event_type) from {events}) and s.idx % 29 in (4
 """
 
 STANDINS["sites"] = f"""
-select s_suppkey as site_id, s_suppkey as pos, s_name as name, 'A' || cast(s_nationkey % 6 as string) as area,
+select s_suppkey as site_id, s_suppkey as pos, s_name as name, 'A' || cast(s_nationkey as string) as area,
   case s_nationkey % 4 when 0 then 'Sydney Harbour' when 1 then 'Botany Bay' when 2 then 'Eastern Suburbs' else 'Elsewhere' end as region,
   -37 + cast((s_suppkey * 37) % 900 as double) / 100 as lat, 149 + cast((s_suppkey * 53) % 500 as double) / 100 as lng,
   case when s_suppkey % 3 = 0 then 'boat' else 'shore' end as type, s_suppkey % 6 = 0 as wreck,
@@ -117,22 +117,22 @@ from {{supplier}}
 STANDINS["areas"] = f"""
 select 'A' || cast(n_nationkey as string) as area, 'Area ' || n_name as label,
   case when n_nationkey = 4 then 'nowhere' else {ZONE.format('n_nationkey % 5')} end as tide_zone
-from {{nation}} where n_nationkey < 6
+from {{nation}}
 """
 
 STANDINS["daily"] = """
 select '2024-01-' || lpad(cast(d as string), 2, '0') as date,
-  '2024-01-' || lpad(cast(d as string), 2, '0') || 'T0' || cast(5 + n % 2 as string) || ':'
-    || lpad(cast(n % 3 * 20 as string), 2, '0') as sunrise,
-  '2024-01-' || lpad(cast(d as string), 2, '0') || 'T' || cast(18 + n % 3 as string) || ':25' as sunset
-from (select day(ts) as d, count(*) as n from {events} group by day(ts)) x where d % 9 <> 0
+  case when d % 9 = 0 then null else '2024-01-' || lpad(cast(d as string), 2, '0') || 'T0' || cast(5 + n % 2 as string) || ':'
+    || lpad(cast(n % 3 * 20 as string), 2, '0') end as sunrise,
+  case when d % 9 = 0 then null else '2024-01-' || lpad(cast(d as string), 2, '0') || 'T' || cast(18 + n % 3 as string) || ':25' end as sunset
+from (select day(ts) as d, count(*) as n from {events} group by day(ts)) x
 """
 
 STANDINS["discharge"] = """
 select 'river' || cast(river as string) as river, river as river_ord, day_idx,
   case when n % 10 = 0 then null else cast(c % 90000 as double) / 1000 end as q
 from (
-  select cast(o_custkey % 11 as int) as river, cast(datediff(@UNIT cast(o_orderdate as date)) % 38 as int) as day_idx,
+  select cast(o_custkey % 25 as int) as river, cast(datediff(@UNIT cast(o_orderdate as date)) % 38 as int) as day_idx,
     count(*) as n, cast(sum(cast(round(o_totalprice) as bigint)) as bigint) as c
   from {orders} group by 1, 2
 ) x
@@ -141,7 +141,7 @@ from (
 STANDINS["affects"] = """
 select 'river' || cast(n_nationkey as string) as river,
   case n_nationkey % 5 when 0 then 'ocean' when 1 then 'harbour' when 2 then 'botany' when 3 then 'elsewhere' else 'byron' end as body
-from {nation} where n_nationkey < 11
+from {nation}
 """
 
 STANDINS["classes"] = """
@@ -196,15 +196,8 @@ def _duck_text(sql: str) -> str:
     return re.sub(r"\{(\w+)\}", r"\1", sql)
 
 
-SPREAD = "shorelark.spread.single.split"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table. Its sample file is a single split, which a bench may ask to spread over all cores."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if spark.conf.get(SPREAD, "false") == "true" and name in ("orders", "lineitem", "documents", "pages", "part"):
-        return df.repartition(spark.sparkContext.defaultParallelism)
-    return df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def standin(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

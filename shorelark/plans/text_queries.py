@@ -440,18 +440,20 @@ _SKIP = (
 
 @query(
     "sc28_skip_names",
-    f"""select doc_id, name, {_SKIP} as skip from (select doc_id, case doc_id % 9 when 0 then 'Impact' when 1 then 'iOS ' || source when 2 then cast(doc_id as varchar) || ' x'
-          when 3 then 'About ' || lang when 4 then 'k' when 5 then text[:doc_id % 120] else source || ' ' || lang end as name from documents) x""",
+    f"""select doc_id, name, {_SKIP} as skip, {_SKIP.replace('name', 'text')} as skip_text from (select doc_id, text, case doc_id % 9 when 0 then 'Impact' when 1 then 'iOS ' || source when 2 then cast(doc_id as varchar) || ' x'
+          when 3 then 'About ' || lang when 4 then 'k' when 5 then source || '''s ' || lang else source || ' ' || lang end as name from documents) x""",
 )
 def sc28(spark, sf):
     k = F.col("doc_id")
     name = (
         F.when(k % 9 == 0, "Impact").when(k % 9 == 1, F.concat(F.lit("iOS "), "source"))
         .when(k % 9 == 2, F.concat(k.cast("string"), F.lit(" x"))).when(k % 9 == 3, F.concat(F.lit("About "), "lang"))
-        .when(k % 9 == 4, "k").when(k % 9 == 5, F.substr("text", F.lit(1), (k % 120).cast("int")))
+        .when(k % 9 == 4, "k").when(k % 9 == 5, F.concat("source", F.lit("'s "), "lang"))
         .otherwise(F.concat_ws(" ", "source", "lang"))
     )
-    return table(spark, sf, "documents").select("doc_id", name.alias("name")).withColumn("skip", tx.is_skip_name(F.col("name")))
+    return table(spark, sf, "documents").select("doc_id", name.alias("name"), tx.is_skip_name(F.col("text")).alias("skip_text")).withColumn(
+        "skip", tx.is_skip_name(F.col("name"))
+    )
 
 
 @query(
@@ -486,11 +488,11 @@ def _nodots_twice(c: str) -> str:
           {_nodots_twice("regexp_extract(b, 'Description:\\s*(.+?)(?:\\s*CVE-|\\s*Entry|\\s*$)', 1)")} as d,
           {_nodots("regexp_extract(b, '(?:^|[.] )([A-Z][^.]*(?:may|could|might|can|able to|addressed|issue|vulnerability|problem|flaw)[^.]*)', 1)")} as s
         from (select page_id, {sql_collapse(f"regexp_replace({_BLOCK}, '<[^>]+>', ' ', 'g')")} as b
-          from (select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as t, regexp_extract(html, '<p>([^<]+)</p>', 1) as u from pages) x) y) z""",
+          from (select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as t, array_to_string(regexp_extract_all(html, '<p>([^<]+)</p>', 1), ' ') as u from pages) x) y) z""",
 )
 def sc30(spark, sf):
     df = table(spark, sf, "pages").select(
-        "page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("t"), F.regexp_extract("html", "<p>([^<]+)</p>", 1).alias("u")
+        "page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("t"), F.array_join(F.regexp_extract_all("html", F.lit("<p>([^<]+)</p>"), F.lit(1)), " ").alias("u")
     )
     return df.select("page_id", tx.impact_and_description(F.expr(_BLOCK)).alias("description"))
 

@@ -147,16 +147,17 @@ def day_snippets(docs: DataFrame, payload: str) -> DataFrame:
     )
 
 
-def available_days(docs: DataFrame, payload: str, month: str) -> DataFrame:
-    """``{"YYYYMMDD": 0 or 1}`` to the available days of the asked month; the grid spills over its ends."""
+def available_days(docs: DataFrame, payload: str, month: str | None = None) -> DataFrame:
+    """``{"YYYYMMDD": 0 or 1}`` to the available days: all, or those of the asked month; its grid spills over its ends."""
     days = F.from_json(F.get_json_object(payload, "$.calendar_data"), "map<string,int>")
     keys = [c for c in docs.columns if c != payload]
     day = F.try_to_timestamp(F.col("_k"), F.lit("yyyyMMdd")).cast("date")
-    return (
+    found = (
         docs.select(*keys, F.explode_outer(days).alias("_k", "_v"))
         .filter((F.col("_v") != 0) & F.col("_k").rlike("^[0-9]{8}$"))
-        .select(*keys, day.alias("day")).filter(tm.month_key(F.col("day")) == F.col(month))
+        .select(*keys, day.alias("day"))
     )
+    return found if month is None else found.filter(tm.month_key(F.col("day")) == F.col(month))
 
 
 # ---- several sources as one -----------------------------------------------
