@@ -215,13 +215,13 @@ def append_to(df: DataFrame, path: str) -> bool:
     return True
 
 
-def serialised(parsed: DataFrame) -> DataFrame:
-    """One JSON text per release with its findings nested; whitespace collapsed, quotes escaped."""
+def serialised(parsed: DataFrame, key: str = "name") -> DataFrame:
+    """One JSON text per release, told by ``key``, with its findings nested; whitespace collapsed, quotes escaped."""
     flat = F.transform("findings", lambda f: F.struct(
         tx.collapse(f["component"]).alias("c"), tx.collapse(f["description"]).alias("desc"), f["cves"].alias("cve")
     ))
     body = F.struct(tx.collapse(F.col("name")).alias("r"), F.col("os"), F.col("date").alias("d"), flat.alias("v"))
-    return parsed.filter(F.size("findings") > 0).select("name", F.to_json(body).alias("block"))
+    return parsed.filter(F.size("findings") > 0).select(key, F.to_json(body).alias("block"))
 
 
 # ---- search ---------------------------------------------------------------

@@ -57,11 +57,11 @@ WORDING_FAMILY = (
 DEFAULT_FAMILY = "Specialty"
 
 
-def course_family(title: Column, brand: str = "") -> Column:
-    """Exact titles first, then the wording rules, then the default family."""
+def course_family(title: Column, brand: str) -> Column:
+    """Family of a title of the agency ``brand``: exact titles first, then the wording rules, then the default family."""
     by_title: dict[str, list[str]] = {}
     for name, family in TITLE_FAMILY.items():
-        by_title.setdefault(family, []).append(name.replace("{brand}", brand).strip() if brand else name)
+        by_title.setdefault(family, []).append(name.replace("{brand}", brand))
     out = F.lit(DEFAULT_FAMILY)
     lower = F.lower(title)
     for words, family in reversed(WORDING_FAMILY):

@@ -242,11 +242,4 @@ def io09(spark, sf):
         from findings group by page_id""",
 )
 def io10(spark, sf):
-    rows = parsed(spark, sf)
-    named = rows.withColumn("_key", F.col("page_id"))
-    blocks = fd.serialised(named.withColumn("name", F.concat_ws("\x01", F.col("page_id").cast("string"), "name")))
-    # the page number rides along in the name to identify the block, then leaves it
-    return blocks.select(
-        F.substring_index("name", "\x01", 1).cast("bigint").alias("page_id"),
-        F.regexp_replace("block", r'^\{"r":"[0-9]+(\\u0001|\x01)', '{"r":"').alias("block"),
-    )
+    return fd.serialised(parsed(spark, sf), "page_id")

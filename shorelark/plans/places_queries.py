@@ -13,7 +13,7 @@ from shorelark.plans.standins import standin, table
 TODAY = "1998-06-01"
 CANON = "lower(trim(regexp_replace({0}, '\\s+', ' ', 'g')))"
 
-FAMILY = """case when course = 'CCR Cave' then 'Cave' when course in ('Scientific Diver') then 'Specialty' when course = 'Open Water Diver' then 'Recreational'
+FAMILY = """case when course = 'CCR Cave' then 'Cave' when course in ('Scientific Diver') then 'Specialty' when course in ('Open Water Diver', 'Acme Performance Diver') then 'Recreational' when course = 'ITC Acme Fundamentals' then 'Instructor Training'
   when contains(lower(course), 'ccr') or contains(lower(course), 'pscr') then 'CCR' when contains(lower(course), 'cave') then 'Cave'
   when contains(lower(course), 'technical diver') or contains(lower(course), 'tech ') then 'Technical'
   when contains(lower(course), 'fundamentals') then 'Fundamentals' when contains(lower(course), 'primer') then 'Primers'
@@ -27,7 +27,7 @@ placed as (select c.*, {FAMILY} as family, {CANON.format('location')} as cloc, k
 
 
 def classes(spark, sf):
-    return standin(spark, sf, "classes").withColumn("family", pl.course_family(F.col("course")))
+    return standin(spark, sf, "classes").withColumn("family", pl.course_family(F.col("course"), "Acme"))
 
 
 def all_classes(spark, sf):

@@ -143,16 +143,7 @@ def io05(spark, sf):
     ["cal_events"],
 )
 def io07(spark, sf):
-    rows = events(spark, sf)
-    docs = sinks.event_documents(rows)
-    keys = rows.select("ord", tx_id(rows).alias("id"))
-    return docs.join(keys, "id").select("ord", "json").distinct()
-
-
-def tx_id(df):
-    from shorelark.functions import text as tx
-
-    return tx.event_id(df["source"], df["title"], df["start"], df["url"])
+    return sinks.event_documents(events(spark, sf), "ord").select("ord", "json")
 
 
 _STORE = f"""

@@ -149,10 +149,11 @@ select lpad(cast(l_orderkey as string), 14, '0') || '-' || cast(l_linenumber as
     || lpad(cast(l_partkey as string), 12, '0') || '-' || lpad(cast(l_suppkey as string), 12, '0') || '-'
     || cast(cast(l_quantity as int) as string) || '-' || cast(cast(floor(l_extendedprice) as bigint) as string) as ord,
   cast(l_orderkey as string) as cid,
-  case p_size % 12 when 0 then 'Cave Diver ' || cast(1 + p_size % 11 as string) when 1 then 'CCR Technical Diver 2'
+  case p_size % 14 when 0 then 'Cave Diver ' || cast(1 + p_size % 11 as string) when 1 then 'CCR Technical Diver 2'
     when 2 then 'Deep Primer' when 3 then 'Drysuit Primer ' || cast(p_size % 5 as string) when 4 then 'First Aid Instructor'
     when 5 then 'Technical Diver 3' when 6 then 'Scientific Diver' when 7 then 'Open Water Diver' when 8 then 'Tech Clinic'
-    when 9 then 'Oxygen Refresher' when 10 then 'CCR Cave' else 'Basic Fundamentals' end as course,
+    when 9 then 'Oxygen Refresher' when 10 then 'CCR Cave' when 11 then 'Acme Performance Diver' when 12 then 'ITC Acme Fundamentals'
+    else 'Basic Fundamentals' end as course,
   case when l_linenumber = 7 then null else cast(l_shipdate as date) end as iso,
   case when l_linenumber % 3 = 0 then upper(p_name) || ',   ' || p_brand else p_name || ', ' || p_brand end as location,
   case when l_linenumber = 5 then null else s_name end as instructor

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,7 @@ EVENT_SCHEMA = (
 CLASS_SCHEMA = (
     "cid string, course string, date string, iso string, location string, instructor string, instructor_id string"
 )
+GATHERING = 8  # sources computed side by side
 EVENT_COLUMNS = [part.split()[0] for part in EVENT_SCHEMA.split(", ")]
 
 
@@ -176,20 +180,25 @@ class Source:
 def gather(spark: SparkSession, sources: list[Source]) -> tuple[DataFrame, list[tuple]]:
     """Union of all sources in registry order. A source that fails adds no rows, only its error.
 
-    Each source is computed on its own into a checkpoint, so a failure at run time stays with it.
+    Each source is computed on its own into a checkpoint, so a failure at run time stays with it; the sources' jobs run
+    side by side.
     """
-    union = spark.createDataFrame([], EVENT_SCHEMA)
-    status = []
-    for place, source in enumerate(sources):
+    def computed(source: Source) -> DataFrame | PySparkException | Py4JError:
         try:
             events = source.fetch(spark)
             missing = [F.lit(None).cast("string").alias(c) for c in EVENT_COLUMNS if c not in events.columns]
-            events = cut_lineage(events.withColumn("source", F.lit(source.id)).select("*", *missing).select(*EVENT_COLUMNS))
-        except Exception as failure:  # one broken source must not sink the rest
-            status.append((place, source.id, source.name, source.short, source.url, "error", _reason(failure)))
-            continue
-        union = union.unionByName(events)
-        status.append((place, source.id, source.name, source.short, source.url, "ok", None))
+            return cut_lineage(events.withColumn("source", F.lit(source.id)).select("*", *missing).select(*EVENT_COLUMNS))
+        except (PySparkException, Py4JError) as failure:  # one broken source must not sink the rest
+            return failure
+
+    union = spark.createDataFrame([], EVENT_SCHEMA)
+    status = []
+    with ThreadPoolExecutor(max_workers=GATHERING) as pool:
+        found = list(pool.map(computed, sources))
+    for place, (source, events) in enumerate(zip(sources, found, strict=True)):
+        failed = isinstance(events, Exception)
+        status.append((place, source.id, source.name, source.short, source.url, "error" if failed else "ok", _reason(events) if failed else None))
+        union = union if failed else union.unionByName(events)
     return union, status
 
 

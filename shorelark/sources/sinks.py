@@ -10,14 +10,14 @@ from shorelark.functions import text as tx
 OPTIONAL = ("end", "url", "location", "description")
 
 
-def event_documents(events: DataFrame) -> DataFrame:
-    """Events as JSON objects with their id; empty optional fields are left out."""
+def event_documents(events: DataFrame, *carried: str) -> DataFrame:
+    """Events as JSON objects with their id and the carried columns beside; empty optional fields are left out."""
     ident = tx.event_id(F.col("source"), F.col("title"), F.col("start"), F.col("url"))
     body = F.struct(
         ident.alias("id"), "source", "title", "start", "all_day",
         *[tx.none_if_empty(F.col(c)).alias(c) for c in OPTIONAL if c in events.columns],
     )
-    return events.select("source", F.substring("start", 1, 7).alias("month"), ident.alias("id"), F.to_json(body).alias("json"))
+    return events.select("source", F.substring("start", 1, 7).alias("month"), ident.alias("id"), F.to_json(body).alias("json"), *carried)
 
 
 def write_calendar(events: DataFrame, sources: DataFrame, lo: str, hi: str, stamp: str, zone: str, path: str) -> None:
