@@ -96,18 +96,17 @@ def section_findings(text: Column, heading: str, identifier: str) -> Column:
 
 def _sections(text: Column, heading: str, identifier: str) -> Column:
     heads = F.transform(F.regexp_extract_all(text, F.lit(heading), F.lit(1)), lambda h: tx.strip(h))
-    valid = F.transform(heads, lambda h, i: F.struct((i + 1).alias("pos"), h.alias("name"), tx.is_skip_name(h).alias("skip")))
-    valid = F.filter(valid, lambda h: ~h["skip"])
+    heads = F.transform(heads, lambda h: F.struct(h.alias("name"), tx.is_skip_name(h).alias("skip")))
     blocks = F.transform(F.split(text, heading), lambda b, i: F.struct(i.alias("pos"), b.alias("body")))
     blocks = F.filter(blocks, lambda b: (b["pos"] > 0) & b["body"].rlike(identifier))
-    packed = F.struct(valid.alias("heads"), blocks.alias("blocks"))  # bound once, not re-derived per block
+    packed = F.struct(heads.alias("heads"), blocks.alias("blocks"))  # bound once, not re-derived per block
 
     def build(pack: Column) -> Column:
         def one(b: Column, i: Column) -> Column:
             before = F.when(i > 0, F.get(pack["blocks"], i - 1)["pos"]).otherwise(F.lit(0))
-            name = F.try_element_at(
-                F.filter(pack["heads"], lambda h: (h["pos"] <= b["pos"]) & (h["pos"] > before)), F.lit(-1)
-            )["name"]
+            # only the headings since the block before: all blocks together look at each heading once
+            since = F.slice(pack["heads"], before + 1, b["pos"] - before)
+            name = F.try_element_at(F.filter(since, lambda h: ~h["skip"]), F.lit(-1))["name"]
             return F.struct(
                 name.alias("component"), tx.impact_and_description(b["body"]).alias("description"),
                 tx.ids_in(b["body"], identifier).alias("cves"),
@@ -148,8 +147,8 @@ def _paragraph_groups(paragraphs: Column, layout: Layout) -> Column:
 
     def group(pack: Column) -> Column:
         def one(o: Column, i: Column) -> Column:
-            until = F.coalesce(F.get(pack["opens"], i + 1)["pos"], F.lit(2**31 - 1))
-            mine = F.filter(pack["all"], lambda q: (q["pos"] > o["pos"]) & (q["pos"] < until) & ~q["bold"])
+            until = F.coalesce(F.get(pack["opens"], i + 1)["pos"], F.size(pack["all"]))
+            mine = F.filter(F.slice(pack["all"], o["pos"] + 2, until - o["pos"] - 1), lambda q: ~q["bold"])
             bare = F.filter(mine, lambda q: ~q["plain"].rlike(is_impact) & ~q["plain"].rlike(is_description))
             ids = F.flatten(F.transform(
                 bare, lambda q: F.regexp_extract_all(q["plain"], F.lit(layout.identifier), F.lit(0))

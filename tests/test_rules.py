@@ -2,6 +2,7 @@
 
 import datetime as dt
 import html
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -294,6 +295,16 @@ def test_availability_items(spark):
     assert [(r.title, r.start, r.end) for r in out.collect()] == [("Night (10pm-1am)", "2026-07-03T22:00+10:00", "2026-07-04T01:00+10:00")]
 
 
+def test_long_pages_parse_in_linear_time(spark):
+    n = 20_000
+    sections = "".join(f"<h3>Part {i}</h3><p>Impact: bad {i}</p><p>CVE-2020-{1000 + i}</p>" for i in range(n))
+    groups = "".join(f"<p><b>Part {i}</b></p><p>Impact: bad {i}</p><p>CVE-2020-{1000 + i}</p>" for i in range(n))
+    pages = spark.createDataFrame([(1, sections), (2, groups)], "page_id int, html string")
+    start = time.time()
+    got = {(r.page_id, r.layout): r.n for r in fd.flat_findings(fd.parse_pages(pages)).groupBy("page_id", "layout").agg(F.count("*").alias("n")).collect()}
+    assert got == {(1, "heading"): n, (2, "paragraph"): n} and time.time() - start < 120  # quadratic scans took many times that
+
+
 def test_nested_elements_are_read_whole(spark):
     block = '<div class="post-item"><div class="post-title"><a href="/x">T</a></div><div class="post-description">one <div>two <div>3</div></div> three</div><div>out</div></div>'
     items = ls.listing_items(spark.createDataFrame([("s", 0, block), ("s", 1, '<div class="post-item"><div class="post-description">never closed')], "source string, page int, html string"))
