@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ UNKNOWN = "und"
 #: The classifier is fitted on at most so many labelled rows per language, those with the smallest hash of their id.
 TRAIN_ROWS = 2000
 BUCKETS = 1 << 17
+SLOTS = 1 << 16
 SIZES = (2, 3, 4)
 SWITCH = 12.0
 #: A language is a candidate for a script if at least this share of its training letters is of it.
@@ -136,14 +138,21 @@ def best_path(scores: np.ndarray, begins: np.ndarray, sizes: np.ndarray, switch:
 def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_rows: int = TRAIN_ROWS) -> Model:
     """A model of the labelled rows for which ``usable`` holds: whole texts of at most ``most_rows`` rows a language.
 
-    The rows of a language are those with the smallest hash of their id. Counting is distributed; what reaches the
+    The rows of a language are those with the smallest hash of their id (by slot, then whole). Counting is distributed; what reaches the
     driver is a count for each n-gram bucket and script of a language.
     """
     rows = docs.filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")
     )
-    by_hash = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    sample = rows.withColumn("_n", F.row_number().over(by_hash)).filter(F.col("_n") <= most_rows).select("lang", "text")
+    # where a language's smallest hashes end is found in a histogram, so that only about the rows wanted are ranked
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
+    upto = F.sum("n").over(W.partitionBy("lang").orderBy("slot"))
+    full = rows.groupBy("lang", slot.alias("slot")).agg(F.count("*").alias("n")).withColumn("upto", upto)
+    last = full.groupBy("lang").agg(F.coalesce(F.min(F.when(F.col("upto") >= most_rows, F.col("slot"))), F.lit(SLOTS)).alias("slot"))
+    ends = [(F.col("lang") == r.lang) & (slot <= r.slot) for r in last.collect()]  # one a language
+    by_hash = W.partitionBy("lang").orderBy(slot, F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    near = rows.filter(reduce(lambda x, y: x | y, ends, F.lit(False)))
+    sample = near.withColumn("_n", F.row_number().over(by_hash)).filter(F.col("_n") <= most_rows).select("lang", "text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in runs(batches):

@@ -8,6 +8,7 @@ import numpy as np
 
 #: Unicode white space, and the bytes that byte-level vocabularies write as themselves.
 SPACE = "\t-\r \x85\xa0  -     　"
+LAST_PLAIN = "\u052f"  # up to here (Latin, Greek, Cyrillic) all tables agree on what is a letter
 SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 #: Pieces remembered by a Python worker, some 200 bytes each.
@@ -37,6 +38,7 @@ class Encoder:
         self.pieces = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
         hidden = iter(range(256, 512))
         self.letters = {b: chr(b if b in SHOWN else next(hidden)) for b in range(256)}
+        self.tokens = [int(i).to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.cache: dict[str, bytes] = {}
 
     @classmethod
@@ -48,16 +50,19 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         """Ids of letters with at most one space before them: nothing to split."""
-        shown = "".join(self.letters[b] for b in word.encode())
-        return np.array([t.id for t in self.tokenizer.model.tokenize(shown)], "<u4").tobytes()
+        shown = word.encode().decode("latin-1").translate(self.letters)
+        return b"".join([self.tokens[t.id] for t in self.tokenizer.model.tokenize(shown)])
 
     def _piece(self, piece: str) -> bytes:
-        if (piece[1:] if piece[0] == " " else piece).isascii() and piece.strip(" ").isalpha():
+        word = piece.rstrip(".,;:!?")
+        letters = word[1:] if word[:1] == " " else word
+        if not letters.isalpha() or max(letters) > LAST_PLAIN:
+            ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        elif word == piece:
             ids = self._word(piece)
-        elif (word := piece.rstrip(".,;:!?")) != piece and word.strip(" ").isalpha():
-            ids = self.encode(word) + self.encode(piece[len(word):])
         else:
-            ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+            end = piece[len(word):]
+            ids = (self.cache.get(word) or self._piece(word)) + (self.cache.get(end) or self._piece(end))
         if len(self.cache) < REMEMBERED:
             self.cache[piece] = ids
         return ids

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shorelark.functions import text as tx
-from shorelark.operators.scale import deletion_variants, first_by
+from shorelark.operators.scale import first_by
 from shorelark.session import cut_lineage, parameter_frame
 
 # fixed values: country names an address may end in, with their ISO codes
@@ -289,18 +289,37 @@ def _city_and_tail(df: DataFrame) -> DataFrame:
     ).filter(F.size("_parts") >= 2).drop("_parts")
 
 
+PIECES = 3  # one more than the edits a match may have
+EDITS = 2
+
+
+def _piece(length: Column, number: Column) -> tuple[Column, Column]:
+    """Start (from 0) and size of a piece of a word of the given length."""
+    start = F.floor(length * number / PIECES).cast("int")
+    return start, F.floor(length * (number + 1) / PIECES).cast("int") - start
+
+
 def typo_edges(todo: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs of a location and a known one with the same tail and a city one or two edits away."""
-    left = _city_and_tail(todo.select("loc").distinct()).filter(F.length("city") >= 5)
-    left = left.withColumn("_maxd", F.when(F.length("city") <= 8, 1).otherwise(2))
-    right = _city_and_tail(known.select("loc").distinct())
-    left = left.withColumn("_v", F.explode_outer(deletion_variants(F.col("city"), F.col("_maxd") == 2)))
-    right = right.withColumn("_v", F.explode_outer(deletion_variants(F.col("city"), F.length("city") >= 7)))
-    right = right.select(F.col("loc").alias("known_loc"), F.col("city").alias("known_city"), "tail", "_v")
-    near = left.join(right, ["tail", "_v"]).filter(F.col("city") != F.col("known_city"))
+    """Pairs of a location and a known one with the same tail and a city one or two edits away.
+
+    Of three pieces of the known city two edits leave one whole, moved by at most two places. So cities meet on
+    a piece of an assumed length of the known one: a fixed number of keys for each, however long they are.
+    """
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1)))
+    left = _city_and_tail(todo.select("loc").distinct()).withColumn("_len", F.length("city")).filter(F.col("_len") >= 5)
+    left = left.withColumn("_maxd", F.when(F.col("_len") <= 8, 1).otherwise(EDITS))
+    left = left.withColumn("_known", F.explode(F.sequence(F.col("_len") - EDITS, F.col("_len") + EDITS)))
+    left = left.withColumn("_j", numbers).withColumn("_shift", F.explode(F.sequence(F.lit(-EDITS), F.lit(EDITS))))
+    start, size = _piece(F.col("_known"), F.col("_j"))
+    left = left.withColumns({"_at": start + F.col("_shift"), "_size": size}).filter("_at >= 0 and _at + _size <= _len")
+    left = left.select("loc", "city", "tail", "_maxd", "_known", "_j", F.substr("city", F.col("_at") + 1, F.col("_size")).alias("_v")).distinct()
+    right = _city_and_tail(known.select("loc").distinct()).withColumn("_known", F.length("city")).withColumn("_j", numbers)
+    start, size = _piece(F.col("_known"), F.col("_j"))
+    right = right.select(F.col("loc").alias("known_loc"), F.col("city").alias("known_city"), "tail", "_known", "_j", F.substr("city", start + 1, size).alias("_v"))
+    near = left.join(right, ["tail", "_known", "_j", "_v"]).filter(F.col("city") != F.col("known_city"))
     distance = F.when(
         F.col("_maxd") == 1, F.levenshtein("city", "known_city", 1)
-    ).otherwise(F.levenshtein("city", "known_city", 2))
+    ).otherwise(F.levenshtein("city", "known_city", EDITS))
     return near.select("loc", "known_loc", distance.alias("d")).filter(F.col("d") > 0).distinct()
 
 

@@ -186,26 +186,3 @@ def nearest_within(
         .groupBy(site_id).agg(F.min(F.struct(F.col("_d"), F.col(f"_f.{ordinal}"), F.col(f"_f.{feature_id}"))).alias("_w"))
     )
     return best.select(site_id, F.col(f"_w.{feature_id}").alias(feature_id), F.col("_w._d").alias("distance_km"))
-
-
-# ---- edit distance --------------------------------------------------------
-
-def _one_deleted(words: Column) -> Column:
-    """Every word with every single character left out, and the words themselves."""
-    def shorter(w: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))),
-            lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)),
-        )
-
-    return F.array_distinct(F.concat(words, F.flatten(F.transform(words, shorter))))
-
-
-def deletion_variants(word: Column, two: Column) -> Column:
-    """Strings reached by up to one deletion, or up to two where ``two`` holds.
-
-    Two words within edit distance k share a string both reach by at most k deletions, which turns
-    a fuzzy match into an equi-join.
-    """
-    once = _one_deleted(F.array(word))
-    return F.when(two, _one_deleted(once)).otherwise(once)
