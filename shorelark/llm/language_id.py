@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shorelark.llm.common import mixed, runs
+from shorelark.llm.common import identified, mixed, runs
 
 UNKNOWN = "und"
 #: The classifier is fitted on at most so many labelled rows per language, those with the smallest hash of their id.
@@ -187,14 +187,14 @@ def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
 
 
 def label(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", switch: float = SWITCH) -> DataFrame:
-    """One row per input row: doc_id, lang_pred, score, spans (start and length in code points of the lower-cased text, lang).
+    """One row per input row: doc_id, rid, lang_pred, score, spans (start and length in code points of the lower-cased text, lang).
 
     lang_pred is the language with most letters (the first by name of equal ones), score the share of letters in its spans. A null
     text, a text without letters, or a model without languages gives ``und``, score 0 and no spans. Texts are read
     whole; null and repeated ids are carried along; other columns are not read; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages numbers, whatever the input
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = identified(docs, id_col, text_col)
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -221,11 +221,11 @@ def label(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             ], names=["start", "length", "lang"])
             offsets = np.searchsorted(words.text[at], np.arange(n + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array(names[pred].tolist(), pa.string()), pa.array(score), pa.ListArray.from_arrays(pa.array(offsets), span),
-            ], names=["doc_id", "lang_pred", "score", "spans"])
+                batch.column("doc_id"), batch.column("rid"), pa.array(names[pred].tolist(), pa.string()), pa.array(score), pa.ListArray.from_arrays(pa.array(offsets), span),
+            ], names=["doc_id", "rid", "lang_pred", "score", "spans"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(labelled, f"doc_id {kind}, lang_pred string, score double, spans array<struct<start: long, length: long, lang: string>>")
+    return rows.mapInArrow(labelled, f"doc_id {kind}, rid long, lang_pred string, score double, spans array<struct<start: long, length: long, lang: string>>")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -81,7 +81,7 @@ select doc_id, max(doc_id) over (partition by coalesce(text, '')) as keep_id,
   doc_id = max(doc_id) over (partition by coalesce(text, '')) as kept, sha256(coalesce(text, '')) as text_sha256
 from documents""")
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(read(spark, sf_dir, "documents"))
+    return exact_dedup(read(spark, sf_dir, "documents")).drop("rid")
 
 
 @query("op8_line_dedup", r"""

@@ -38,7 +38,7 @@ def corpus(spark):
         stay.add(200 + 10 * i)
     rows += [(300, f"{h.prose(700, 50)} {' '.join(item.split()[4:16])} {h.prose(701, 50)}", "en"), (301, item, "en"), (302, f"{h.prose(702, 50)} {' '.join(item.split()[:9])}", "en")]
     stay.add(302)
-    rows += [(400, None, "en"), (401, "", None), (402, "123 456 !!", "en"), (None, "A text that has no id at all.", "en")]
+    rows += [(400, None, "en"), (401, "", None), (402, "123 456 !!", "en"), (None, "A text that has no id at all.", "en"), (None, h.prose(500, 80), "en")]
     stay.add(None)
     path = scratch_path(spark, "corpus")
     spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{path}/documents.parquet")
@@ -57,7 +57,7 @@ def test_stages_keep_what_they_should(spark, corpus):
         docs = spark.read.parquet(out)
         assert docs.columns == columns
         counts.append(docs.count())
-    assert counts == [92, 89, 79, 74, 72]
+    assert counts == [93, 90, 79, 74, 72]
     assert {r.doc_id for r in docs.select("doc_id").collect()} == stay
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, path).collect()
     assert Counter(r.doc_id for r in pieces).keys() == stay
