@@ -13,6 +13,8 @@ from shorelark.session import cut_lineage
 
 #: Documents are cut into runs of about this many bytes before numpy looks at them.
 RUN_BYTES = 4 << 20
+#: Links that one task reduces to a forest, and the least number of such tasks.
+LINKS_PER_TASK, LEAST_TASKS = 2_000_000, 8
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -85,15 +87,38 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links (u, v) of a task as stars: each node with the smallest one that it reaches here."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = x
+        while root.get(top, top) != top:
+            top = root[top]
+        while root.get(x, x) != top:
+            root[x], x = top, root[x]
+        return top
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            a, b = find(u), find(v)
+            root[max(a, b)] = root[min(a, b)] = min(a, b)
+    nodes = [x for x in root if find(x) != x]
+    for at in range(0, len(nodes), 50_000):
+        part = nodes[at:at + 50_000]
+        yield pa.RecordBatch.from_pydict({"u": pa.array(part, pa.int64()), "v": pa.array([find(x) for x in part], pa.int64())})
+
+
 def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """(node, root) of every node of the links (a, b): the smallest node that it reaches.
+    """(node, root) of every node of the links (a, b): the smallest node that it reaches. Nodes are 64-bit integers.
 
-    Alternating stars: neighbours above a node move to the smallest neighbour, then those below it do. Each round
+    First about LINKS_PER_TASK links at a time are reduced to a forest, so that a crowded group enters with few links for each
+    of its nodes, however many it has. Then alternating stars: neighbours above a node move to the smallest neighbour, then those below it do. Each round
     ends in a reliable checkpoint; only a count and a checksum reach the driver.
     """
-    edges = cut_lineage(
-        links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    )
+    given = cut_lineage(links.filter("a <> b").select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v")))
+    parts = max(LEAST_TASKS, -(-given.count() // LINKS_PER_TASK))
+    edges = cut_lineage(given.repartition(parts).mapInArrow(_forest, "u long, v long").distinct())
     seen = None
     for _ in range(most_rounds):
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -22,7 +22,7 @@ from shorelark.session import cut_lineage
 SALTS = 16
 MOST_BITS = 3
 #: For near copies: fingerprints of a text, and the bits in which one of them may differ.
-LANES = 6
+LANES = 8
 LANE_BITS = 8
 #: Anchors with more fingerprints are split by the bits of the other half before they are compared.
 CROWD = 2000
