@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from shorelark.llm.common import runs
 from shorelark.llm.token_files import store
-from shorelark.session import scratch_path
+from shorelark.session import cut_lineage, scratch_path
 
 FAN = 16
 #: A task's files are numbered from task * FILES on.
@@ -174,43 +174,50 @@ def leaves(index: DataFrame, path: str) -> DataFrame:
 # ---- trees -----------------------------------------------------------------
 
 def tree(leaf: DataFrame, most_records: int, most_file: int) -> list[DataFrame]:
-    """Nodes (file, node, hash) by level, from the records to one root; parents are told by ``up_file`` and ``up_node``."""
+    """Nodes (replica, file, node, hash, up_file, up_node) by level, from the records to the roots.
+
+    Every level is made from the stored one below it, so plans stay small and a lost executor costs one level.
+    """
     zero = F.lit(0).cast("long")
-    level = leaf.select("file", F.col("record").alias("node"), F.sha2(F.concat_ws(":", "offset", "length", F.hex("hash")), 256).alias("hash"))
+    level = leaf.select("replica", "file", F.col("record").alias("node"), F.sha2(F.concat_ws(":", "offset", "length", F.hex("hash")), 256).alias("hash"))
     ups: list[tuple[Column, Column]] = []
     span = 1
     while span <= most_records:
         ups.append((F.col("file"), F.floor(F.col("node") / FAN)))
         span *= FAN
-    files = FILES
-    ups.append((F.floor(F.col("file") / files), zero))  # the files of a task
-    most = most_file // files
+    ups.append((F.floor(F.col("file") / FILES), zero))  # the files of a task
+    most = most_file // FILES
     while most:
         ups.append((F.floor(F.col("file") / FAN), zero))
         most //= FAN
     levels = []
     for up_file, up_node in ups:
-        level = level.withColumn("up_file", up_file.cast("long")).withColumn("up_node", up_node.cast("long"))
+        level = cut_lineage(level.withColumn("up_file", up_file.cast("long")).withColumn("up_node", up_node.cast("long")))
         levels.append(level)
         children = F.array_sort(F.collect_list(F.struct("file", "node", "hash")))
-        level = level.groupBy("up_file", "up_node").agg(children.alias("c")).select(
-            F.col("up_file").alias("file"), F.col("up_node").alias("node"), F.sha2(F.to_json("c"), 256).alias("hash")
+        level = level.groupBy("replica", "up_file", "up_node").agg(children.alias("c")).select(
+            "replica", F.col("up_file").alias("file"), F.col("up_node").alias("node"), F.sha2(F.to_json("c"), 256).alias("hash"), zero.alias("up_file"), zero.alias("up_node")
         )
-    return [*levels, level]
+    return [*levels, cut_lineage(level)]
 
 
 def audit(index: DataFrame, replica: DataFrame) -> DataFrame:
     """file and record of every indexed record whose bytes differ in the replica, missing ones included.
 
-    ``index`` and ``replica`` have file, record, offset, length and hash; the index tells which records there are.
+    ``index`` and ``replica`` have file, record, offset, length and hash; the index tells which records there are. Equal roots end
+    the audit; otherwise only the children of nodes that differ are compared.
     """
     top = index.agg(F.coalesce(F.max("record"), F.lit(0)), F.coalesce(F.max("file"), F.lit(0))).first()
-    mine, other = tree(index, *top), tree(replica, *top)
+    columns = ("file", "record", "offset", "length", "hash")
+    both = index.select(F.lit(0).alias("replica"), *columns).unionAll(replica.select(F.lit(1).alias("replica"), *columns))
     open_ = None
-    for a, b in zip(reversed(mine), reversed(other), strict=True):
+    for level in reversed(tree(both, *top)):
         if open_ is not None:
-            a, b = (x.join(open_, (x["up_file"] == open_["of_file"]) & (x["up_node"] == open_["of_node"]), "left_semi") for x in (a, b))
-        theirs = b.select(F.col("file").alias("b_file"), F.col("node").alias("b_node"), F.col("hash").alias("b_hash"))
-        differing = a.join(theirs, (F.col("file") == F.col("b_file")) & (F.col("node") == F.col("b_node")), "left").filter(~F.col("hash").eqNullSafe(F.col("b_hash")))
-        open_ = differing.select(F.col("file").alias("of_file"), F.col("node").alias("of_node"))
+            level = level.join(open_, (level["up_file"] == open_["of_file"]) & (level["up_node"] == open_["of_node"]), "left_semi")
+        mine = level.filter("replica = 0").select("file", "node", "hash")
+        theirs = level.filter("replica = 1").select(F.col("file").alias("b_file"), F.col("node").alias("b_node"), F.col("hash").alias("b_hash"))
+        differing = mine.join(theirs, (F.col("file") == F.col("b_file")) & (F.col("node") == F.col("b_node")), "left").filter(~F.col("hash").eqNullSafe(F.col("b_hash")))
+        open_ = cut_lineage(differing.select(F.col("file").alias("of_file"), F.col("node").alias("of_node")))
+        if open_.isEmpty():
+            break
     return open_.select(F.col("of_file").alias("file"), F.col("of_node").alias("record"))
