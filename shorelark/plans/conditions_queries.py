@@ -624,7 +624,7 @@ def wn14(spark, sf):
 def wn15(spark, sf):
     axis = marine(spark, sf).select("idx", "ts").distinct()
     found = cd.clock_frame(axis, "2024-01-11", 9)
-    return found.unionByName(cd.clock_frame(axis, "2031-01-01", 9)).unionByName(cd.clock_frame(axis, "2024-01-30", 20))
+    return found.unionByName(cd.clock_frame(axis, "2031-01-01", 9)).unionByName(cd.clock_frame(axis, "2024-01-31", 20))
 
 
 @chain(
