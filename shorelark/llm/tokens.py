@@ -12,7 +12,7 @@ LAST_PLAIN = "\u052f"  # up to here (Latin, Greek, Cyrillic) all tables agree on
 SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 #: Pieces remembered by a Python worker, some 200 bytes each.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
