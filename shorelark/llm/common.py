@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from shorelark.session import cut_lineage
 
 #: Documents are cut into runs of about this many bytes before numpy looks at them.
-RUN_BYTES = 4 << 20
+RUN_BYTES = 1 << 20
 #: Links that one task reduces to a forest, and the least number of such tasks.
 LINKS_PER_TASK, LEAST_TASKS = 2_000_000, 8
 

@@ -24,6 +24,8 @@ UNKNOWN = "und"
 TRAIN_ROWS = 2000
 BUCKETS = 1 << 17
 SLOTS = 1 << 16
+#: Bytes of text scored at a time: some hundred bytes of arrays for each.
+RUN = 1 << 19
 SIZES = (2, 3, 4)
 SWITCH = 12.0
 #: A language is a candidate for a script if at least this share of its training letters is of it.
@@ -155,22 +157,21 @@ def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
     sample = near.withColumn("_n", F.row_number().over(by_hash)).filter(F.col("_n") <= most_rows).select("lang", "text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in runs(batches):
+        for batch, texts in runs(batches, most=RUN):
             labels = batch.column("lang").to_pylist()
             words = Words(texts)
             names = sorted(set(labels))
             number = np.array([names.index(x) for x in labels])[words.text] if len(words.text) else np.zeros(0, int)
-            kinds = []
-            for k, size in enumerate(SIZES):
-                word, bucket = words.buckets(size)
-                kinds.append((k, number[word], bucket, np.ones(len(word))))
-            kinds.append((len(SIZES), number, words.script, words.letters))
-            for k, lang, bucket, weight in kinds:
-                if len(lang):
-                    at, where = np.unique(lang * BUCKETS + bucket, return_inverse=True)
+            for k in range(len(SIZES) + 1):
+                if k < len(SIZES):
+                    word, bucket = words.buckets(SIZES[k])
+                    at, n = np.unique(number[word] * BUCKETS + bucket, return_counts=True)
+                else:
+                    at, where = np.unique(number * BUCKETS + words.script, return_inverse=True)
+                    n = np.bincount(where, words.letters, len(at)).astype(np.int64)
+                if len(at):
                     yield pa.RecordBatch.from_arrays([
-                        pa.array([names[i] for i in at // BUCKETS]), pa.array(np.full(len(at), k)), pa.array(at % BUCKETS),
-                        pa.array(np.bincount(where, weight).astype(np.int64)),
+                        pa.array([names[i] for i in at // BUCKETS]), pa.array(np.full(len(at), k)), pa.array(at % BUCKETS), pa.array(n),
                     ], names=["lang", "kind", "bucket", "n"])
 
     counts = sample.mapInArrow(counted, "lang string, kind long, bucket long, n long").groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
@@ -199,7 +200,7 @@ def label(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         names = np.array([*model.languages, UNKNOWN])
-        for batch, texts in runs(batches, most=1 << 20):
+        for batch, texts in runs(batches, most=2 * RUN):
             words = Words(texts)
             n = len(texts)
             sizes = np.bincount(words.text, minlength=n)
