@@ -59,6 +59,14 @@ def write_archive(
     A null page is an empty payload, a null url leaves its header out; pages with equal ids are ordered by url and text. An empty
     table gives no files and an empty index. Other columns are not read. Files are renamed when they are whole.
     """
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in runs(batches, "html"):
+            found = [record(url, html, date) for url, html in zip(batch.column("url").to_pylist(), texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([
+                batch.column("page_id"), batch.column("tie"), pa.array([d for d, _ in found], pa.binary()), pa.array([len(t) for t in texts], pa.int64()),
+                pa.array([x for _, x in found], pa.string()),
+            ], names=["page_id", "tie", "data", "payload_bytes", "payload_sha256"])
+
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -72,10 +80,10 @@ def write_archive(
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in INDEX.split(", ")])
 
         id_arrow = None
-        for batch, texts in runs(batches, "html"):
+        for batch in batches:
             id_arrow = batch.column("page_id").type
-            for page, url, html in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), texts, strict=True):
-                data, digest = record(url, html, date)
+            columns = (batch.column(c).to_pylist() for c in ("page_id", "data", "payload_bytes", "payload_sha256"))
+            for page, data, size, digest in zip(*columns, strict=True):
                 if out is not None and offset + len(data) > FILE_BYTES:
                     out.close()
                     file, out, offset, n = file + 1, None, 0, 0
@@ -83,7 +91,7 @@ def write_archive(
                     names.append((f"{warc_name(root, file)}.{context.taskAttemptId()}", warc_name(root, file)))
                     out = files.open_output_stream(names[-1][0], compression=None)
                 out.write(data)
-                rows.append((file, n, offset, len(data), page, len(html), digest, hashlib.sha256(data).digest()))
+                rows.append((file, n, offset, len(data), page, size, digest, hashlib.sha256(data).digest()))
                 offset, n = offset + len(data), n + 1
             if len(rows) >= RECORDS_PER_BATCH:
                 yield index()
@@ -96,9 +104,11 @@ def write_archive(
             yield index()
 
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    order = ["page_id", F.xxhash64("url", "html")]
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    return _saved(ordered.mapInArrow(written, INDEX.format(rows.schema["page_id"].dataType.simpleString())), "warc-index")
+    kind = rows.schema["page_id"].dataType.simpleString()
+    # records are made before they are dealt out, so that they are shuffled compressed
+    made = rows.withColumn("tie", F.xxhash64("url", "html")).mapInArrow(packed, f"page_id {kind}, tie long, data binary, payload_bytes long, payload_sha256 string")
+    ordered = made.repartitionByRange("page_id", "tie").sortWithinPartitions("page_id", "tie")
+    return _saved(ordered.mapInArrow(written, INDEX.format(kind)), "warc-index")
 
 
 def _ranges(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
