@@ -4,6 +4,8 @@ Of two fingerprints with at most three differing bits, one of the two 32-bit hal
 the anchors are the words of a covering code: a Hamming code on 31 bits (every word is within one bit of a code word)
 times the free last bit, so the covering radius is one. A fingerprint goes to every anchor within radius plus one of
 its half; the partner's nearest anchor is among them. Fingerprints are compared per anchor only.
+
+``near_copies`` needs no fingerprints: it compares sets of shingles exactly, of candidates found by prefixes.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shorelark.llm.common import byte_texts, components, identified, looked_up, mixed
@@ -21,9 +23,12 @@ from shorelark.session import cut_lineage
 
 SALTS = 16
 MOST_BITS = 3
-#: For near copies: fingerprints of a text, and the bits in which one of them may differ.
-LANES = 8
-LANE_BITS = 8
+#: Near copies have at least so many hundredths of their shingles in common.
+LEAST_ALIKE = 80
+#: Rows in which frequent shingles are counted, about, and how many of these are told apart. Neither changes a result.
+SAMPLE, FREQUENT = 8000, 100_000
+#: Bits of a sketch of a set of shingles: of each, whether an odd number of them have it as remainder.
+SKETCH = 512
 #: Anchors with more fingerprints are split by the bits of the other half before they are compared.
 CROWD = 2000
 VOTE_ROWS = 1 << 15
@@ -252,24 +257,122 @@ def simhash_dedup(
     return found.select("doc_id", "rid", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# ---- near copies -----------------------------------------------------------
+
+def shingle_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[int]]]:
+    """Each batch with the distinct shingles of its texts, ascending, and a hash of each such set."""
+    for batch in batches:
+        sets = [np.unique(shingle_hashes(text, words)) for text in byte_texts(batch.column("text"))]
+        yield batch, sets, [xxhash.xxh64_intdigest(s.tobytes()) for s in sets]
+
+
+def lists(found: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, found)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)))
+
+
+def frequent(given: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are frequent in a bounded sample of the rows, ascending, and how often they are."""
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets, _ in shingle_sets(batches, words):
+            for s in sets:
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], names=["key"])
+
+    sample = given.filter(F.pmod("rid", F.lit(max(1, given.count() // SAMPLE))) == 0)
+    counts = sample.select("text").mapInArrow(exploded, "key long").groupBy("key").count().filter("count > 1")
+    top = counts.orderBy(F.desc("count"), "key").limit(FREQUENT).collect()
+    keys, n = np.array([r["key"] for r in top], np.int64).view(np.uint64), np.array([r["count"] for r in top], np.int64)
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
+def prefixes(given: DataFrame, words: int, least: int) -> DataFrame:
+    """doc_id, rid, node (hash of the set of shingles), n (its size), bits (its sketch) and keys, the set's first shingles in the order
+    from rare to frequent: two sets that are ``least`` hundredths alike have one of these in common."""
+    hot, often = frequent(given, words)
+
+    def cut(s: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(hot, s), max(0, len(hot) - 1))
+        rank = np.where(hot[at] == s, often[at], 0) if len(hot) else np.zeros(len(s), np.int64)
+        return s[np.lexsort((s, rank))[:len(s) + least * len(s) // -100 + 1]]
+
+    def sketch(s: np.ndarray) -> np.ndarray:
+        odd = np.bincount((s % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+        return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sets, nodes in shingle_sets(batches, words):
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id"), batch.column("rid"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array([len(s) for s in sets], pa.int64()),
+                lists([sketch(s) for s in sets]), lists([cut(s) if len(s) else s for s in sets]),
+            ], names=["doc_id", "rid", "node", "n", "bits", "keys"])
+
+    return given.mapInArrow(keyed, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, rid long, node long, n long, bits array<long>, keys array<long>")
+
+
+def pairs(members: DataFrame, sweep: int | None, least: int) -> DataFrame:
+    """Distinct pairs (a, b) of a key's members (key, node, n, pos, root, bits) that have different roots and that sizes,
+    places of the key and sketches don't prove less than ``least`` hundredths alike: of neighbours in a random order,
+    or all without ``sweep``. A bit that differs between sketches is an element, at least, that the sets don't share."""
+    row = F.struct("node", "n", "pos", "root", "bits")
+    if sweep is not None:
+        along = Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(sweep)), "node")
+        beside = F.array(*(F.lead(row, k).over(along) for k in range(1, 9)))
+        met = members.select(row.alias("x"), beside.alias("all")).select("x", F.explode("all").alias("y"))
+    else:
+        met = members.select("key", row.alias("x")).join(members.select("key", row.alias("y")), "key").filter("x.root < y.root")
+    n, m = F.col("x.n"), F.col("y.n")
+    odd = sum((F.bit_count(F.col("x.bits")[i].bitwiseXOR(F.col("y.bits")[i])) for i in range(SKETCH // 64)), F.lit(0))
+    common = F.least(F.least("x.pos", "y.pos") + F.least(n - F.col("x.pos"), m - F.col("y.pos")), F.floor((n + m - odd) / 2))
+    fits = (F.col("x.root") != F.col("y.root")) & (F.least(n, m) * 100 >= F.greatest(n, m) * least) & alike(common, n, m, least)
+    return met.filter(fits).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def alike(common: Column, n: Column, m: Column, least: int) -> Column:
+    """Whether sets of n and m with so many common elements are at least ``least`` hundredths alike."""
+    return common * 100 >= (n + m - common) * least
+
+
 def near_copies(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, lanes: int = LANES, most: int = LANE_BITS,
-    salts: int = SALTS, crowd: int = CROWD,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: int = LEAST_ALIKE, sweeps: int = 1, salts: int = SALTS,
 ) -> DataFrame:
     """One row per input row: doc_id, rid, component_id (smallest id reachable) over near copies.
 
-    One fingerprint tells apart texts whose shingle sets are 0.9 alike more often than not, so each text has several,
-    of independent hashes, and two texts are linked if the anchors bring any two of them within ``most`` bits. Nulls, repeats,
-    empty tables and other columns as in ``simhash_dedup``.
+    Two texts are linked if, and only if, the Jaccard similarity of their sets of word shingles is ``least`` hundredths
+    or more; shingles are compared by 64-bit hashes. Candidates are the sets that share a shingle of their prefixes,
+    whatever the number of sets that do, and each is checked on the whole sets. Pairs whose ends are already connected
+    are passed over: ``sweeps`` check neighbours in a random order, then every pair is checked that is still unconnected.
+    Texts without words are copies of each other. Nulls, repeats, empty tables and other columns as in ``simhash_dedup``.
     """
-    rows = cut_lineage(fingerprints(docs, words, lanes, id_col, text_col).withColumn("node", F.xxhash64("fps")))
-    each = rows.select("node", "fps").distinct().select("node", F.explode("fps").alias("fp")).distinct()
-    owners = cut_lineage(each.groupBy("fp").agg(F.min("node").alias("owner"), F.max("node").alias("last")))
-    shared = owners.filter("owner <> last").select(F.col("fp").alias("of"), "owner")
-    same = each.join(shared, F.col("fp") == F.col("of")).select(F.col("node").alias("a"), F.col("owner").alias("b"))
-    links = near_links(owners.select("fp"), most, crowd)
-    for end in ("a", "b"):
-        of = owners.select(F.col("fp").alias("of"), F.col("owner").alias(f"_{end}"))
-        links = links.join(of, F.col(end) == F.col("of")).drop("of")
-    links = links.select(F.col("_a").alias("a"), F.col("_b").alias("b"))
-    return component_ids(rows, "node", links.unionAll(same), salts).select("doc_id", "rid", "component_id")
+    given = identified(docs, id_col, text_col)
+    rows = cut_lineage(prefixes(given, words, least))
+    once = rows.groupBy("node").agg(F.min("rid").alias("rid"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("keys").alias("keys"))
+    by_key = Window.partitionBy("key").orderBy("node")
+    keyed = once.select("node", "rid", "n", "bits", F.posexplode("keys").alias("pos", "key"))
+    keyed = keyed.withColumn("beside", F.coalesce(F.lead("node").over(by_key), F.lag("node").over(by_key)))
+    shared = cut_lineage(keyed.filter("beside is not null").drop("beside"))
+
+    def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, found, nodes in shingle_sets(batches, words):
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(nodes, np.uint64).view(np.int64)), lists(found)], names=["node", "of"])
+
+    texts = given.join(shared.select("rid").distinct(), "rid", "left_semi").select("text")
+    sets = cut_lineage(texts.mapInArrow(whole_sets, "node long, of array<long>").groupBy("node").agg(F.first("of").alias("of")))
+
+    members, links, checked = shared.withColumn("root", F.col("node")), None, None
+    for sweep in [*range(sweeps), None]:
+        todo = pairs(members, sweep, least)
+        if checked is not None:
+            todo = todo.join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        ends = todo.join(sets.select(F.col("node").alias("a"), F.col("of").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("of").alias("y")), "b")
+        common = F.size(F.array_intersect("x", "y"))
+        now = cut_lineage(ends.select("a", "b", alike(common, F.size("x"), F.size("y"), least).alias("linked")))
+        checked = now if checked is None else checked.unionAll(now)
+        links = checked.filter("linked").select("a", "b")
+        if sweep is None:
+            break
+        roots = components(links)
+        found = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        several = found.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+        members = cut_lineage(found.join(several, "key", "left_semi"))
+    return component_ids(rows, "node", links, salts).select("doc_id", "rid", "component_id")
