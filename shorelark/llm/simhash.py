@@ -232,12 +232,12 @@ def near_links(distinct: DataFrame, most: int = MOST_BITS, crowd: int = CROWD) -
 
 
 def component_ids(rows: DataFrame, node: str, links: DataFrame, salts: int) -> DataFrame:
-    """The rows with component_id, the smallest doc_id that the links reach from the row's node."""
+    """The rows with component_id, the smallest doc_id that the links reach from the row's node, and root, null without links."""
     nodes = cut_lineage(rows.groupBy(node).agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     roots = components(links)
     linked = nodes.join(roots, nodes[node] == roots["node"], "left").select(nodes[node], "least", "n", "root")
     reach = linked.filter("root is not null").groupBy("root").agg(F.min("least").alias("reached"))
-    answers = linked.filter("root is not null or n > 1").join(reach, "root", "left").select(node, F.coalesce("reached", "least").alias("component_id"), F.lit(True).alias("found"))
+    answers = linked.filter("root is not null or n > 1").join(reach, "root", "left").select(node, "root", F.coalesce("reached", "least").alias("component_id"), F.lit(True).alias("found"))
     component = F.when(F.col("found"), F.col("component_id")).otherwise(F.col("doc_id"))
     return looked_up(rows, answers, node, "rid", salts).withColumn("component_id", component).drop("found")
 
@@ -336,7 +336,9 @@ def alike(common: Column, n: Column, m: Column, least: int) -> Column:
 def near_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: int = LEAST_ALIKE, sweeps: int = 1, salts: int = SALTS,
 ) -> DataFrame:
-    """One row per input row: doc_id, rid, component_id (smallest id reachable) over near copies.
+    """One row per input row: doc_id, rid, component_id (smallest id reachable) and group over near copies.
+
+    Rows have the same group if, and only if, they are connected; ids that are null or repeated don't tell that.
 
     Two texts are linked if, and only if, the Jaccard similarity of their sets of word shingles is ``least`` hundredths
     or more; shingles are compared by 64-bit hashes. Candidates are the sets that share a shingle of their prefixes,
@@ -375,4 +377,4 @@ def near_copies(
         found = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         several = found.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
         members = cut_lineage(found.join(several, "key", "left_semi"))
-    return component_ids(rows, "node", links, salts).select("doc_id", "rid", "component_id")
+    return component_ids(rows, "node", links, salts).select("doc_id", "rid", "component_id", F.coalesce("root", "node").alias("group"))

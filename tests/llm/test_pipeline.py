@@ -153,3 +153,14 @@ def test_op6_and_op10(spark, name, end):
     assert done == {i: len(x) for i, x in ids.items()} and max(fill.values()) <= 2048
     padding = sum(2048 - n for n in fill.values() if n.bit_count() > 1)
     assert padding < 0.03 * sum(fill.values())
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Null and repeated ids, and rows that are repeated whole."""
+    a, b, c = (h.prose(800 + k, 300) for k in range(3))
+    rows = [(1, a), (None, a + " end"), (1, a + " fin"), (1, b), (None, b + " end"), (None, c), (None, c), (None, c + " end"), (2, h.prose(810, 90)), (2, h.prose(810, 90))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    once = corpus_pipeline.exact(spark, docs, "")
+    assert Counter(r.text for r in once.collect()) == Counter({t: 1 for _, t in rows})
+    kept = Counter((r.doc_id, r.text[:200]) for r in corpus_pipeline.near(spark, docs, "").collect())
+    assert kept == Counter([(1, a[:200]), (1, b[:200]), (None, c[:200]), (2, h.prose(810, 90)[:200])])
