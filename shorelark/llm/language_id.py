@@ -39,7 +39,7 @@ SCRIPTS = (
     (0x0F00, "Tibetan"), (0x1000, "Myanmar"), (0x10A0, "Georgian"), (0x1100, "Hangul"), (0x1200, "Other"), (0x1E00, "Latin"),
     (0x1F00, "Greek"), (0x2000, "Other"), (0x2E80, "Han"), (0x3040, "Kana"), (0x3100, "Han"), (0x3130, "Hangul"), (0x3190, "Han"),
     (0xAC00, "Hangul"), (0xD7B0, "Other"), (0xF900, "Han"), (0xFB00, "Latin"), (0xFB1D, "Hebrew"), (0xFB50, "Arabic"), (0xFF00, "Latin"),
-    (0xFFA0, "Hangul"), (0xFFE0, "Other"), (0x20000, "Han"), (0x30000, "Other"),
+    (0xFFA0, "Hangul"), (0xFFE0, "Other"), (0x20000, "Han"), (0x323B0, "Other"),
 )
 SCRIPT_NAMES = sorted({name for _, name in SCRIPTS})
 _FIRST = np.array([a for a, _ in SCRIPTS])
@@ -48,7 +48,7 @@ _NUMBER = np.array([SCRIPT_NAMES.index(name) for _, name in SCRIPTS], np.int8)
 
 def _letter_table() -> np.ndarray:
     """By code point: its script's number if it is a letter, or -1."""
-    points = np.arange(0x30000)
+    points = np.arange(0x323B0)
     letters = np.fromiter((unicodedata.category(chr(p))[0] in "LM" if not 0xD800 <= p < 0xE000 else False for p in points), bool, len(points))
     return np.where(letters, _NUMBER[np.searchsorted(_FIRST, points, "right") - 1], -1).astype(np.int8)
 

@@ -275,6 +275,11 @@ def test_words_and_held_out(spark):
     assert got == {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in range(50)} | {None: False}
 
 
+def test_letters_of_the_tertiary_plane():
+    words = Words(["\U00030000\U0003134a \U000323af a".encode()])
+    assert words.letters.tolist() == [2, 1, 1] and words.script[0] == words.script[1] == Words(["漢".encode()]).script[0]
+
+
 def test_held_out_accuracy(spark):
     documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = label(documents, train(documents, ~held_out())).join(documents.select("doc_id", "lang"), "doc_id").filter(held_out())
