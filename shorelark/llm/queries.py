@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shorelark.llm.centroids import CENTROIDS, COMPONENTS, ROUNDS, STEPS_PER_UNIT, cluster
 from shorelark.llm.common import read
 from shorelark.llm.decontaminate import decontaminate
 from shorelark.llm.exact_dedup import exact_dedup
@@ -120,3 +121,40 @@ def op9_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_packing")
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
+
+
+def _clusters_sql() -> str:
+    """Rounds of one common table expression each; the first centroids are the vectors of the smallest hashes."""
+    parts = [
+        f"kept as materialized (select vec_id, [cast(floor({STEPS_PER_UNIT} * cast(x as double)) as bigint) for x in embedding] as v from embeddings "
+        f"where len(embedding) = {COMPONENTS} and len([x for x in embedding if x is not null and isfinite(x)]) = {COMPONENTS})",
+        "c0 as materialized (select cast(row_number() over (order by h) - 1 as int) as cluster, v from "
+        f"(select sha256('2:' || cast(vec_id as varchar)) as h, v from kept order by h limit {CENTROIDS}) x)",
+    ]
+    gap = "list_sum(list_transform(list_zip(k.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    for i in range(ROUNDS + 1):
+        parts.append(
+            f"a{i} as materialized (select vec_id, v, m.cluster as cluster, m.d as distance from (select k.vec_id, k.v, "
+            f"min({{'d': cast({gap} as bigint), 'cluster': c.cluster}}) as m from kept k cross join c{i} c group by k.vec_id, k.v) x)"
+        )
+        if i < ROUNDS:
+            parts.append(
+                f"m{i} as (select cluster, list(cast(floor_mean as bigint) order by j) as v from (select cluster, j, "
+                "(sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) as floor_mean from "
+                f"(select cluster, unnest(v) as x, generate_subscripts(v, 1) as j from a{i}) y group by cluster, j) z group by cluster)"
+            )
+            parts.append(f"c{i + 1} as materialized (select c.cluster, coalesce(m.v, c.v) as v from c{i} c left join m{i} m on c.cluster = m.cluster)")
+    return f"""with {", ".join(parts)}
+select a.vec_id, a.cluster, a.distance, cast(sum(a.distance) over (partition by a.cluster) as bigint) as cluster_inertia,
+  cast(sum(a.distance) over () as bigint) as inertia, sha256(array_to_string(c.v, ',')) as centroid_sha256
+from a{ROUNDS} a join c{ROUNDS} c on a.cluster = c.cluster"""
+
+
+@query("op11_centroid_clusters", _clusters_sql())
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cluster(read(spark, sf_dir, "embeddings"))
+    digest = F.sha2(F.array_join(F.col("components").cast("array<string>"), ","), 256)
+    centroids = found.centroids.select("cluster", F.col("inertia").alias("cluster_inertia"), digest.alias("centroid_sha256"))
+    return found.rows.join(centroids, "cluster").select(
+        "vec_id", "cluster", "distance", "cluster_inertia", F.lit(found.inertia).cast("bigint").alias("inertia"), "centroid_sha256"
+    )
