@@ -6,7 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shorelark.session import cut_lineage
+from shorelark.session import cut_lineage, parameter_frame, shuffle_partitions
+
+
+def global_position(df: DataFrame, order: list[Column], out: str = "position", parts: int | None = None) -> DataFrame:
+    """Rows with their place (from 1) in an order over the whole table; no task sees more than its range of it.
+
+    Rows are dealt by ranges of the order, sorted within a range and counted; a place is the count of all ranges before
+    plus the place inside. Rows that tie in the whole order come in any order, so end it with something unique; that also
+    lets a value that many rows share be split. One reliable checkpoint keeps places fixed if a task runs again; only
+    a count per range reaches the driver.
+    """
+    dealt = df.repartitionByRange(parts or shuffle_partitions(df.sparkSession), *order).sortWithinPartitions(*order)
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = cut_lineage(dealt.withColumns({"_range": F.spark_partition_id(), "_inside": inside}))
+    sizes = {r["_range"]: r["n"] for r in placed.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect()}
+    bases, before = [], 1
+    for number in sorted(sizes):
+        bases.append((number, before))
+        before += sizes[number]
+    base = parameter_frame(df.sparkSession, bases, "_range int, _base bigint")
+    return placed.join(base, "_range").withColumn(out, F.col("_base") + F.col("_inside")).drop("_range", "_inside", "_base")
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[str], latest: bool = False) -> DataFrame:
