@@ -14,6 +14,7 @@ from shorelark.llm.exact_dedup import exact_dedup
 from shorelark.llm.language_id import held_out, label, train
 from shorelark.llm.licenses import scan
 from shorelark.llm.line_dedup import line_dedup
+from shorelark.llm.manifest import build, checked, leaf_digest
 from shorelark.llm.packing import pack
 from shorelark.llm.simhash import simhash_dedup
 from shorelark.llm.suffix_dedup import suffix_dedup
@@ -158,3 +159,65 @@ def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.rows.join(centroids, "cluster").select(
         "vec_id", "cluster", "distance", "cluster_inertia", F.lit(found.inertia).cast("bigint").alias("inertia"), "centroid_sha256"
     )
+
+
+def _leaf_sql(n_chars: str = "n_chars") -> str:
+    def part(c: str) -> str:
+        value = f"cast({c} as varchar)"
+        return f"coalesce(cast(octet_length(encode({value})) as varchar) || ':' || {value}, '-')"
+
+    return f"sha256({part('doc_id')} || {part('source')} || {part('lang')} || {part(n_chars)} || {part('text')})"
+
+
+_CRC_STEP = "xor(x >> 1, (x & 1) * 3988292384)"  # fixed value: the reflected polynomial of CRC-32
+
+
+@query("op12_merkle_manifest", f"""
+with recursive crc(b, x, k) as (
+  select cast(range as bigint), cast(range as bigint), 0 from range(256)
+  union all select b, {_CRC_STEP}, k + 1 from crc where k < 8),
+crcs as (select list(x order by b) as t from crc where k = 8),
+named as (
+  select *, coalesce(':' || lang, '-') as grp,
+    xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(cast(doc_id as varchar), ''), lambda c: cast(ascii(c) as bigint))),
+      lambda c, d: xor(c >> 8, t[(xor(c, d) & 255) + 1]))) % 7 = 0 as touched
+  from documents cross join crcs),
+leaves as (
+  select doc_id, grp, {_leaf_sql()} as leaf, case when touched then {_leaf_sql("(n_chars + 1)")} else {_leaf_sql()} end as other from named),
+slots as (select *, row_number() over (partition by grp order by doc_id nulls first, leaf) - 1 as slot, count(*) over (partition by grp) as n from leaves),
+tree(grp, lev, i, h, n) as (
+  select grp, 0, slot, leaf, n from slots
+  union all
+  select grp, lev + 1, i // 2, sha256(string_agg(h, '' order by i)), (n + 1) // 2 from tree where n > 1 group by grp, lev, i // 2, n),
+subs as (select grp, h as subroot, row_number() over (order by grp) - 1 as gslot, count(*) over () as gn from tree where n = 1),
+crown(lev, i, h, n) as (
+  select 0, gslot, subroot, gn from subs
+  union all
+  select lev + 1, i // 2, sha256(string_agg(h, '' order by i)), (n + 1) // 2 from crown where n > 1 group by lev, i // 2, n),
+steps as (
+  select s.doc_id, s.grp, s.slot, t.lev as step, (s.slot >> t.lev) & 1 as odd, o.h as sib
+  from slots s join (select distinct grp, lev from tree where n > 1) t on s.grp = t.grp
+    left join tree o on o.grp = s.grp and o.lev = t.lev and o.i = xor(s.slot >> t.lev, 1)
+  union all
+  select s.doc_id, s.grp, s.slot, 1000 + t.lev, (b.gslot >> t.lev) & 1, o.h
+  from slots s join subs b on s.grp = b.grp join (select distinct lev from crown where n > 1) t on true
+    left join crown o on o.lev = t.lev and o.i = xor(b.gslot >> t.lev, 1)),
+paths as (
+  select grp, slot, list({{'odd': odd, 'sib': sib}} order by step) as path, coalesce(string_agg(sib, '' order by step), '') as sibs from steps group by grp, slot),
+climb(grp, slot, k, h, path) as (
+  select s.grp, s.slot, 1, s.other, p.path from slots s left join paths p on s.grp = p.grp and s.slot = p.slot
+  union all
+  select grp, slot, k + 1, sha256(case when path[k].sib is null then h when path[k].odd = 1 then path[k].sib || h else h || path[k].sib end), path
+  from climb where k <= len(path)),
+ends as (select grp, slot, arg_max(h, k) as folded_root from climb group by grp, slot)
+select s.doc_id, s.leaf, b.subroot, r.h as root, sha256(coalesce(p.sibs, '')) as proof_sha256, e.folded_root, e.folded_root = r.h as verified
+from slots s join subs b on s.grp = b.grp join crown r on r.n = 1 join ends e on e.grp = s.grp and e.slot = s.slot
+  left join paths p on p.grp = s.grp and p.slot = s.slot""")
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where 7 divides the CRC-32 of the id, the row that is checked has one more in n_chars than the one in the manifest."""
+    touched = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    changed = leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars") + touched.cast("int"), F.col("text"))
+    found = build(read(spark, sf_dir, "documents"), carry={"other": F.when(touched, changed)})
+    rows = checked(found.rows.withColumn("other", F.coalesce("other", "leaf")), "other")
+    text = {c: F.lower(F.hex(c)).alias(n) for c, n in (("leaf", "leaf"), ("subroot", "subroot"), ("root", "root"), ("siblings", "proof_sha256"), ("folded", "folded_root"))}
+    return rows.select("doc_id", *text.values(), (F.col("folded") == F.col("root")).alias("verified"))
