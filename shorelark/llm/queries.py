@@ -20,6 +20,7 @@ from shorelark.llm.simhash import simhash_dedup
 from shorelark.llm.suffix_dedup import suffix_dedup
 from shorelark.llm.token_files import read_token_files, write_token_files
 from shorelark.llm.warc_audit import audit, copy_archive, leaves, write_archive
+from shorelark.llm.wrappers import extract
 from shorelark.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -221,3 +222,8 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = checked(found.rows.withColumn("other", F.coalesce("other", "leaf")), "other")
     text = {c: F.lower(F.hex(c)).alias(n) for c, n in (("leaf", "leaf"), ("subroot", "subroot"), ("root", "root"), ("siblings", "proof_sha256"), ("folded", "folded_root"))}
     return rows.select("doc_id", *text.values(), (F.col("folded") == F.col("root")).alias("verified"))
+
+
+@query("op13_html_text")
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
