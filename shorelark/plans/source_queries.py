@@ -52,27 +52,18 @@ def io02(spark, sf):
     # documents of two hundred classes each
     docs = table(spark, sf, "part").groupBy(F.floor(k / 200).alias("doc")).agg(F.collect_list(item).alias("classes"))
     path = scratch_path(spark, "schedule")
-    docs.select(F.lit("2024-01-01T00:00:00Z").alias("updated"), "classes").write.option("maxRecordsPerFile", 1).json(path)
-    return rd.read_document(spark, path, "classes", rd.CLASS_SCHEMA, "updated string").select("cid", "course", "location", "instructor")
+    docs.select(F.lit("2024-01-01T00:00:00Z").alias("updated"), "classes").write.json(path)
+    return rd.read_document(spark, path, "classes", rd.CLASS_SCHEMA, "updated string", lines=True).select("cid", "course", "location", "instructor")
 
 
-def _payload(rows, variables, extra_hours=0):
-    """One JSON answer per zone with parallel arrays in hour order."""
+def _answers(rows, variables, payload, before):
+    """What the poll of each day lands: one JSON answer per zone, with parallel arrays in hour order, up to the day after it."""
+    day = F.floor(F.col("idx") / 24).cast("int")
+    polls = rows.withColumn("poll_id", F.explode(F.sequence(day - 1, day + before)))
     cols = [F.col(c).alias(v) for v, c in variables.items()]
-    per_zone = rows.groupBy("zone").agg(F.array_sort(F.collect_list(F.struct("idx", F.col("ts").alias("time"), *cols))).alias("h"))
+    per_zone = polls.groupBy("poll_id", "zone").agg(F.array_sort(F.collect_list(F.struct("idx", F.col("ts").alias("time"), *cols))).alias("h"))
     hourly = F.struct(*[F.col(f"h.{n}").alias(n) for n in ["time", *variables]])
-    return per_zone.select("zone", F.struct(hourly.alias("hourly")).alias("z"))
-
-
-def _poll(spark, sf):
-    """A poll as it lands: the marine answer starts a day after the weather answer."""
-    m = _payload(marine(spark, sf).filter("idx >= 24"), rd.MARINE_VARIABLES)
-    w = _payload(weather(spark, sf), rd.WEATHER_VARIABLES)
-
-    def answer(df, name):
-        return df.agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("zone", "z"))), lambda s: s["z"])).alias(name)).withColumn("poll_id", F.lit(1))
-
-    return answer(m, "marine").join(answer(w, "weather"), "poll_id")
+    return per_zone.select("poll_id", "zone", F.to_json(F.struct(hourly.alias("hourly"))).alias(payload))
 
 
 def _zones(spark):
@@ -83,12 +74,19 @@ def _zones(spark):
 
 @query(
     "io03_hourly_feed",
-    """select zone, cast(idx - 24 as int) as idx, ts, swell_h, sea_level, current, precip, wind_dir, temp from zone_hours where idx >= 24""", ["zone_hours"],
+    """with day as (select zone, idx, unnest(generate_series(idx // 24 - 1, idx // 24)) as poll, ts, swell_h, sea_level, current, precip, wind_dir, temp from zone_hours where idx % 17 <> 3),
+         starts as (select poll, min(idx) as first from day group by poll)
+       select cast(poll as int) as poll_id, zone, cast(idx - first as int) as idx, ts, swell_h, sea_level, current,
+         case when idx % 19 <> 7 then precip end as precip, case when idx % 19 <> 7 then wind_dir end as wind_dir, case when idx % 19 <> 7 then temp end as temp
+       from day join starts using (poll)""", ["zone_hours"],
 )
 def io03(spark, sf):
-    polls, zones = _poll(spark, sf), _zones(spark)
-    m, w = rd.marine_feed(polls, zones), rd.weather_feed(polls, zones)
-    return m.join(w, ["poll_id", "zone", "idx"]).select("zone", "idx", "ts", "swell_h", "sea_level", "current", "precip", "wind_dir", "temp")
+    """Polls of every day; the marine answer starts a day after the weather answer, and each lacks hours that the other has."""
+    zones = _zones(spark)
+    m = _answers(marine(spark, sf).filter("idx % 17 <> 3"), rd.MARINE_VARIABLES, "marine", 0).join(zones, "zone").drop("zone")
+    w = _answers(weather(spark, sf).filter("idx % 19 <> 7"), rd.WEATHER_VARIABLES, "weather", 1).join(zones, "zone").drop("zone")
+    found = rd.zone_hours(rd.marine_feed(m, zones), rd.weather_feed(w, m, zones))
+    return found.select("poll_id", "zone", "idx", "ts", "swell_h", "sea_level", "current", "precip", "wind_dir", "temp")
 
 
 def _snippet_docs(spark, sf):

@@ -29,10 +29,10 @@ class EmptyDocument(ValueError):
     """A document without the part it must have."""
 
 
-def read_document(spark: SparkSession, path: str, required: str, item_schema: str, extra: str = "") -> DataFrame:
-    """One whole-file JSON document; its required array as rows. A missing or empty array is an error."""
+def read_document(spark: SparkSession, path: str, required: str, item_schema: str, extra: str = "", lines: bool = False) -> DataFrame:
+    """JSON documents, one to a file or one to a line; their required arrays as rows. No row at all is an error."""
     schema = f"{required} array<struct<{_colons(item_schema)}>>" + (f", {extra}" if extra else "")
-    doc = spark.read.schema(schema).option("multiLine", True).json(path)
+    doc = spark.read.schema(schema).option("multiLine", not lines).json(path)
     rows = doc.select(F.inline(required))
     if rows.isEmpty():
         raise EmptyDocument(f"{path}: no {required}")
@@ -59,70 +59,77 @@ WEATHER_VARIABLES = {
 }
 
 
-def _feed_schema(variables: dict[str, str], daily: bool) -> str:
-    hourly = ", ".join(["time: array<string>", *[f"{v}: array<double>" for v in variables]])
-    tail = (
-        ", daily: struct<time: array<string>, sunrise: array<string>, sunset: array<string>, "
-        "precipitation_sum: array<double>>" if daily else ""
-    )
-    return f"array<struct<hourly: struct<{hourly}>{tail}>>"
+def zone_answers(polls: DataFrame, payload: str, ordinal: str = "zone_ord") -> DataFrame:
+    """An answer that holds the zones of a request (one zone may come bare) to one row per poll and zone."""
+    listed = F.when(F.col(payload).rlike(r"^\s*\{"), F.concat(F.lit("["), F.col(payload), F.lit("]"))).otherwise(F.col(payload))
+    return polls.select("poll_id", F.posexplode(F.from_json(listed, "array<string>")).alias(ordinal, payload))
+
+
+def _hour_number(text: Column) -> Column:
+    """Hours of a wall time since 1970; null if it isn't one."""
+    day, hour = F.substring(text, 1, 10).try_cast("date"), F.substring(text, 12, 2).try_cast("int")
+    return F.unix_date(day) * 24 + hour
 
 
-def _as_list(payload: Column) -> Column:
-    """A single-zone answer is a bare object."""
-    return F.when(payload.rlike(r"^\s*\{"), F.concat(F.lit("["), payload, F.lit("]"))).otherwise(payload)
+def first_hours(answers: DataFrame, payload: str) -> DataFrame:
+    """(poll_id, first): the earliest hour that any zone of a poll reports."""
+    times = F.from_json(payload, "struct<hourly: struct<time: array<string>>>")["hourly"]["time"]
+    return answers.groupBy("poll_id").agg(F.min(F.array_min(times)).alias("first"))
 
 
-def _exploded(polls: DataFrame, variables: dict[str, str], start: Column) -> DataFrame:
-    """Zone arrays of a poll to one row per hour, positions counted from ``start``."""
-    names = ["time", *variables]
+def hourly_feed(answers: DataFrame, payload: str, variables: dict[str, str], first: DataFrame, zones: DataFrame) -> DataFrame:
+    """One row per poll, zone and hour. ``answers``: poll_id, zone_ord and the JSON of that zone; ``zones``: zone_ord, zone.
+
+    ``idx`` is the number of hours since ``first`` (poll_id, first), told from the time and not from the place in the arrays:
+    a missing hour shifts nothing. Earlier hours and times that are none are left out; a time that occurs twice counts once,
+    the first one. A variable that is absent is null throughout.
+    """
+    fields = ", ".join(["time: array<string>", *[f"{v}: array<double>" for v in variables]])
+    hourly = F.from_json(payload, f"struct<hourly: struct<{fields}>>")["hourly"]
     # an absent variable is padded with nulls, it must not empty the zone
     empty = {"time": F.array().cast("array<string>")}
-    arrays = [F.coalesce(F.col(f"_h.{n}"), empty.get(n, F.array().cast("array<double>"))).alias(n) for n in names]
-    hours = polls.select("poll_id", "zone_ord", start.alias("_start"), F.posexplode(F.arrays_zip(*arrays)).alias("_i", "_v"))
-    idx = F.col("_i") - F.greatest(F.col("_start"), F.lit(0))
-    return hours.select(
-        "poll_id", "zone_ord", idx.cast("int").alias("idx"), F.col("_v.time").alias("ts"),
-        *[F.col(f"_v.{v}").alias(c) for v, c in variables.items()],
-    ).filter(F.col("idx") >= 0)
-
-
-def marine_feed(polls: DataFrame, zones: DataFrame) -> DataFrame:
-    """``polls``: poll_id, marine (JSON); zone *i* of the answer is zone *i* of ``zones`` (zone_ord, zone)."""
-    parsed = F.from_json(_as_list(F.col("marine")), _feed_schema(MARINE_VARIABLES, False))
-    rows = polls.select("poll_id", F.posexplode(parsed).alias("zone_ord", "_z")).withColumn("_h", F.col("_z.hourly"))
-    return _exploded(rows, MARINE_VARIABLES, F.lit(0)).join(zones, "zone_ord").drop("zone_ord")
-
-
-def weather_feed(polls: DataFrame, zones: DataFrame) -> DataFrame:
-    """Weather hours aligned to the first hour of the marine answer of the same poll."""
-    first = F.get_json_object(_as_list(F.col("marine")), "$[0].hourly.time[0]")
-    parsed = F.from_json(_as_list(F.col("weather")), _feed_schema(WEATHER_VARIABLES, True))
-    rows = polls.select("poll_id", first.alias("_first"), F.posexplode(parsed).alias("zone_ord", "_z")).withColumn(
-        "_h", F.col("_z.hourly")
+    arrays = [F.coalesce(F.col("_h")[n], empty.get(n, F.array().cast("array<double>"))).alias(n) for n in ["time", *variables]]
+    times = F.col("_h.time")
+    once = F.filter(F.arrays_zip(*arrays), lambda v, i: F.array_position(times, v["time"]) == i + 1)
+    rows = answers.select("poll_id", "zone_ord", hourly.alias("_h")).select("poll_id", "zone_ord", F.explode(once).alias("_v"))
+    idx = (_hour_number(F.col("_v.time")) - _hour_number(F.col("first"))).cast("int").alias("idx")
+    numbered = rows.join(first, "poll_id").select(
+        "poll_id", "zone_ord", idx, F.col("_v.time").alias("ts"), *[F.col(f"_v.{v}").alias(c) for v, c in variables.items()]
     )
-    start = F.array_position(F.col("_h.time"), F.col("_first")).cast("int") - 1
-    return _exploded(rows, WEATHER_VARIABLES, start).drop("ts").join(zones, "zone_ord").drop("zone_ord")
+    return numbered.filter(F.col("idx") >= 0).join(zones, "zone_ord").drop("zone_ord")
+
+
+def marine_feed(marine: DataFrame, zones: DataFrame) -> DataFrame:
+    """``marine``: poll_id, zone_ord, marine (JSON of one zone)."""
+    return hourly_feed(marine, "marine", MARINE_VARIABLES, first_hours(marine, "marine"), zones)
+
+
+def weather_feed(weather: DataFrame, marine: DataFrame, zones: DataFrame) -> DataFrame:
+    """Weather hours numbered from the first hour of the marine answers of the same poll."""
+    return hourly_feed(weather, "weather", WEATHER_VARIABLES, first_hours(marine, "marine"), zones).drop("ts")
+
+
+def zone_hours(marine: DataFrame, weather: DataFrame) -> DataFrame:
+    """Both feeds side by side: the hours of the marine feed, with nulls where the weather feed lacks the hour."""
+    return marine.join(weather, ["poll_id", "zone", "idx"], "left")
 
 
-def daily_feed(polls: DataFrame) -> DataFrame:
+def daily_feed(weather: DataFrame) -> DataFrame:
     """Sun times and rain per date, as the first zone reports them."""
-    parsed = F.from_json(_as_list(F.col("weather")), _feed_schema(WEATHER_VARIABLES, True))
-    d = F.get(parsed, 0)["daily"]
+    schema = "struct<daily: struct<time: array<string>, sunrise: array<string>, sunset: array<string>, precipitation_sum: array<double>>>"
+    d = F.from_json("weather", schema)["daily"]
     texts, figures = F.array().cast("array<string>"), F.array().cast("array<double>")
     zipped = F.arrays_zip(
         d["time"].alias("date"), F.coalesce(d["sunrise"], texts).alias("sunrise"), F.coalesce(d["sunset"], texts).alias("sunset"),
         F.coalesce(d["precipitation_sum"], figures).alias("precip_sum"),
     )
-    return polls.select("poll_id", F.inline(zipped))
+    return weather.filter("zone_ord = 0").select("poll_id", F.inline(zipped))
 
 
-def river_feed(polls: DataFrame, rivers: DataFrame) -> DataFrame:
-    """Daily discharge per river; ``rivers``: river_ord, river."""
-    schema = "array<struct<daily: struct<river_discharge: array<double>>>>"
-    parsed = F.from_json(_as_list(F.col("flood")), schema)
-    rows = polls.select("poll_id", F.posexplode(parsed).alias("river_ord", "_r"))
-    return rows.select("poll_id", "river_ord", F.posexplode("_r.daily.river_discharge").alias("day_idx", "q")).join(rivers, "river_ord")
+def river_feed(flood: DataFrame, rivers: DataFrame) -> DataFrame:
+    """Daily discharge per river. ``flood``: poll_id, river_ord, flood (JSON of one river); ``rivers``: river_ord, river."""
+    q = F.from_json("flood", "struct<daily: struct<river_discharge: array<double>>>")["daily"]["river_discharge"]
+    return flood.select("poll_id", "river_ord", F.posexplode(q).alias("day_idx", "q")).join(rivers, "river_ord")
 
 
 def monitor_features(docs: DataFrame, payload: str = "payload") -> DataFrame:

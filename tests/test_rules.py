@@ -2,6 +2,7 @@
 
 import datetime as dt
 import html
+import json
 import time
 
 import pytest
@@ -334,6 +335,8 @@ def test_documents(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"updated": "x", "classes": [{"course": "C", "iso": "2024-01-01"}]}')
     (tmp_path / "b.json").write_text('{"updated": "x", "classes": []}')
     assert rd.read_document(spark, str(tmp_path / "a.json"), "classes", rd.CLASS_SCHEMA, "updated string").first().course == "C"
+    (tmp_path / "c.jsonl").write_text('{"classes": [{"course": "C"}, {"course": "D"}]}\n{"classes": []}\n{"classes": [{"course": "E"}]}\n')
+    assert sorted(r.course for r in rd.read_document(spark, str(tmp_path / "c.jsonl"), "classes", rd.CLASS_SCHEMA, lines=True).collect()) == ["C", "D", "E"]
     with pytest.raises(rd.EmptyDocument):
         rd.read_document(spark, str(tmp_path / "b.json"), "classes", rd.CLASS_SCHEMA)
 
@@ -347,15 +350,49 @@ def test_calendar_folder(spark, tmp_path):
     assert docs.count() == 2 and "end" not in docs.columns and set(docs.columns) >= {"id", "location", "all_day"}
 
 
+def feed(times, **variables):
+    return json.dumps({"hourly": {"time": times, **variables}})
+
+
 def test_single_zone_answers_and_alignment(spark):
     marine = '{"hourly": {"time": ["2024-01-02T00:00", "2024-01-02T01:00"], "swell_wave_height": [1.0, null]}}'
     weather = '[{"hourly": {"time": ["2024-01-01T23:00", "2024-01-02T00:00", "2024-01-02T01:00"], "precipitation": [9.0, 1.0, 2.0]}, "daily": {"time": ["2024-01-02"], "sunrise": ["2024-01-02T05:30"], "sunset": ["2024-01-02T20:00"]}}]'
     polls = spark.createDataFrame([(1, marine, weather)], "poll_id int, marine string, weather string")
     zones = spark.createDataFrame([(0, "z")], "zone_ord int, zone string")
-    m = rd.marine_feed(polls, zones).orderBy("idx").collect()
-    assert [(r.zone, r.idx, r.swell_h, r.swell2_h) for r in m] == [("z", 0, 1.0, None), ("z", 1, None, None)]
-    assert [(r.idx, r.precip) for r in rd.weather_feed(polls, zones).orderBy("idx").collect()] == [(0, 1.0), (1, 2.0)]
-    assert rd.daily_feed(polls).first().sunrise == "2024-01-02T05:30"
+    m, w = rd.zone_answers(polls, "marine"), rd.zone_answers(polls, "weather")
+    rows = rd.marine_feed(m, zones).orderBy("idx").collect()
+    assert [(r.zone, r.idx, r.swell_h, r.swell2_h) for r in rows] == [("z", 0, 1.0, None), ("z", 1, None, None)]
+    assert [(r.idx, r.precip) for r in rd.weather_feed(w, m, zones).orderBy("idx").collect()] == [(0, 1.0), (1, 2.0)]
+    assert rd.daily_feed(w).first().sunrise == "2024-01-02T05:30"
+
+
+def test_missing_hours_shift_nothing(spark):
+    def hours(*which):
+        return [f"2024-01-{1 + h // 24:02d}T{h % 24:02d}:00" for h in which]
+
+    # poll 1: zone b's marine answer starts first, zone a lacks hour 25, the weather lacks 26 and repeats 27; poll 2 has no marine hour of zone b
+    marine = [
+        (1, 0, feed(hours(24, 26, 27), swell_wave_height=[1.0, 3.0, 4.0])), (1, 1, feed(hours(23, 24), swell_wave_height=[8.0, 9.0])),
+        (2, 0, feed(["bad", None, *hours(30)], swell_wave_height=[0.0, 0.0, 5.0])), (2, 1, feed([])),
+    ]
+    weather = [
+        (1, 0, feed(hours(22, 24, 25, 27, 27), precipitation=[0.0, 1.5, 2.5, 4.5, 9.9])), (1, 1, feed(hours(23), precipitation=[7.5])),
+        (2, 0, feed(hours(31), precipitation=[6.5])), (2, 1, feed(hours(30), precipitation=[5.5])),
+    ]
+    m = spark.createDataFrame(marine, "poll_id int, zone_ord int, marine string")
+    w = spark.createDataFrame(weather, "poll_id int, zone_ord int, weather string")
+    zones = spark.createDataFrame([(0, "a"), (1, "b")], "zone_ord int, zone string")
+    found = rd.zone_hours(rd.marine_feed(m, zones), rd.weather_feed(w, m, zones)).orderBy("poll_id", "zone", "idx").collect()
+    assert [(r.poll_id, r.zone, r.idx, r.swell_h, r.precip) for r in found] == [
+        (1, "a", 1, 1.0, 1.5), (1, "a", 3, 3.0, None), (1, "a", 4, 4.0, 4.5), (1, "b", 0, 8.0, 7.5), (1, "b", 1, 9.0, None), (2, "a", 0, 5.0, None),
+    ]
+
+
+def test_river_answers(spark):
+    polls = spark.createDataFrame([(1, '[{"daily": {"river_discharge": [1.5, null]}}, {"daily": {}}]')], "poll_id int, flood string")
+    rivers = spark.createDataFrame([(0, "r"), (1, "s")], "river_ord int, river string")
+    found = rd.river_feed(rd.zone_answers(polls, "flood", "river_ord"), rivers).orderBy("day_idx").collect()
+    assert [(r.river, r.day_idx, r.q) for r in found] == [("r", 0, 1.5), ("r", 1, None)]
 
 
 def test_monitors(spark):
