@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from itertools import chain
+from collections.abc import Iterator
+from functools import reduce
+from itertools import chain, groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shorelark.functions import text as tx
-from shorelark.operators.scale import first_by
+from shorelark.operators.scale import COMPONENT_ROWS, components_of, first_by, settled_in_order
 from shorelark.session import cut_lineage, parameter_frame
 
 # fixed values: country names an address may end in, with their ISO codes
@@ -373,43 +375,102 @@ def check_country(found: DataFrame, reverse: DataFrame) -> DataFrame:
     )
 
 
-def resolve_locations(todo: DataFrame, cache: DataFrame, gazetteer: DataFrame, reverse: DataFrame) -> DataFrame:
+def _repaired_in_order(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Locations of one component in the order of their keys: (loc, known_loc, d, lo_lat, lo_lng, hi_lat, hi_lng, new, lat, lng, approx).
+
+    Of each location come its direct answer (no known_loc), the summary of its old neighbours per distance (lo and hi are the
+    least and the greatest of their coordinates), and its new neighbours, which sort before it. Yields the repaired ones.
+    """
+    facts: dict[str, tuple | None] = {}
+    for loc, own in groupby(rows, key=lambda r: r[0]):
+        direct, near = None, []
+        for _, known, d, lo_lat, lo_lng, hi_lat, hi_lng, new, lat, lng, approx in own:
+            if known is None:
+                direct = None if lat is None or approx else (lat, lng)
+            elif not new:
+                near.append((d, known, (lo_lat, lo_lng), (hi_lat, hi_lng)))
+            elif facts.get(known):
+                near.append((d, known, facts[known], facts[known]))
+        least = min((d for d, *_ in near), default=None)
+        near = [n for n in near if n[0] == least]
+        facts[loc] = direct
+        if near and min(n[2] for n in near) == max(n[3] for n in near):
+            facts[loc] = near[0][2]
+            yield loc, min(n[1] for n in near), *near[0][2]
+
+
+def resolve_locations(
+    todo: DataFrame, cache: DataFrame, gazetteer: DataFrame, reverse: DataFrame, most: int = COMPONENT_ROWS
+) -> DataFrame:
     """Coordinates for new locations: typo repair first, gazetteer otherwise, failures as null rows.
 
-    A location may be repaired from one that sorts before it and was itself just resolved. The pairs
-    are found once; rounds then re-derive every repair from the previous state until nothing changes.
-    The result for a location only depends on smaller keys, so the loop ends with the sequential answer.
+    A location may be repaired from one that sorts before it and was itself just resolved, so the answer is that of a run in
+    the order of keys. New locations that are near each other form components; those of at most ``most`` rows are settled in
+    order by one task each. In larger ones a location is settled once all those before it are: each round touches only what
+    is still open.
     """
     todo = cut_lineage(todo.select("loc").distinct())
     good = cache.filter(F.col("lat").isNotNull()).select("loc", "lat", "lng", "approx")
     checked = check_country(geocode(todo, gazetteer), reverse).filter(~F.col("rejected"))
     direct = cut_lineage(checked.select("loc", "lat", "lng", "approx", "verified", "matched_query", "display", "country"))
-    old_edges = typo_edges(todo, good)
-    new_edges = typo_edges(todo, todo).filter(F.col("known_loc") < F.col("loc"))
-    edges = cut_lineage(old_edges.unionByName(new_edges).distinct())
-    blank = todo.select("loc").withColumn("alias_of", F.lit(None).cast("string"))
-
-    def state_from(aliases: DataFrame) -> DataFrame:
-        return direct.select("loc", "lat", "lng", "approx").join(aliases.select("loc"), "loc", "left_anti").unionByName(
-            aliases.select("loc", "lat", "lng", F.lit(False).alias("approx"))
-        )
-
-    aliases = cut_lineage(pick_typo(edges, good))
-    while True:
-        after = cut_lineage(pick_typo(edges, good.unionByName(state_from(aliases))))
-        changed = after.select("loc", "alias_of").exceptAll(aliases.select("loc", "alias_of")).isEmpty() and aliases.select(
-            "loc", "alias_of").exceptAll(after.select("loc", "alias_of")).isEmpty()
-        aliases = after
-        if changed:
-            break
-    repaired = aliases.select("loc", "lat", "lng", "alias_of")
-    rest = blank.join(repaired.select("loc"), "loc", "left_anti").drop("alias_of").join(direct, "loc", "left")
-    return repaired.withColumn("approx", F.lit(False)).unionByName(rest, allowMissingColumns=True).withColumn(
+    found = direct.select("loc", "lat", "lng", F.coalesce("approx", F.lit(False)).alias("approx"))
+    fresh = cut_lineage(typo_edges(todo, todo).filter(F.col("known_loc") < F.col("loc")))
+    facts = good.filter(~F.coalesce(F.col("approx"), F.lit(False))).select(F.col("loc").alias("known_loc"), "lat", "lng")
+    old = cut_lineage(
+        typo_edges(todo, good).join(facts, "known_loc").groupBy("loc", "d").agg(
+            F.min("known_loc").alias("known_loc"), F.min(F.struct("lat", "lng")).alias("lo"), F.max(F.struct("lat", "lng")).alias("hi"))
+    )
+    names = {n: F.col(c) for n, c in (("lo_lat", "lo.lat"), ("lo_lng", "lo.lng"), ("hi_lat", "hi.lat"), ("hi_lng", "hi.lng"))}
+    parts = [
+        old.select("loc", "known_loc", "d", *[c.alias(n) for n, c in names.items()], F.lit(False).alias("new")), fresh.withColumn("new", F.lit(True)),
+        found.select("loc", "lat", "lng", "approx"),
+    ]
+    rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+    # only locations with a neighbour can be repaired or repair another
+    rows = rows.join(old.select("loc").union(fresh.select("loc")).union(fresh.select("known_loc")).distinct(), "loc", "left_semi")
+    rows = rows.select("loc", "known_loc", "d", *names, "new", "lat", "lng", "approx")
+    roots = components_of(fresh.select(F.col("loc").alias("u"), F.col("known_loc").alias("v")))
+    small, giant = settled_in_order(
+        rows, roots, "loc", ["loc", "known_loc", "new"], _repaired_in_order, "loc string, alias_of string, lat double, lng double", most
+    )
+    repaired = cut_lineage(small)
+    giant = cut_lineage(giant)
+    if not giant.isEmpty():
+        repaired = repaired.unionAll(_repaired_by_rounds(giant))
+    alone = todo.join(repaired.select("loc"), "loc", "left_anti").join(direct, "loc", "left")
+    return repaired.withColumn("approx", F.lit(False)).unionByName(alone, allowMissingColumns=True).withColumn(
         "status",
         F.when(F.col("alias_of").isNotNull(), "alias").when(F.col("lat").isNotNull(), "located").otherwise("failed"),
     )
 
 
+def _repaired_by_rounds(rows: DataFrame) -> DataFrame:
+    """Repairs of rows as ``_repaired_in_order`` takes them: a location is settled when no location before it is open."""
+    direct = rows.filter("known_loc is null").select("loc", "lat", "lng", "approx")
+    near = rows.filter("known_loc is not null")
+    open_ = cut_lineage(rows.select("loc").distinct())
+    settled: list[DataFrame] = []
+    repaired: list[DataFrame] = []
+    while not open_.isEmpty():
+        waiting = near.filter("new").join(open_.withColumnRenamed("loc", "known_loc"), "known_loc", "left_semi").select("loc").distinct()
+        now = cut_lineage(open_.join(waiting, "loc", "left_anti"))
+        ask = near.join(now, "loc", "left_semi")
+        known = ask.filter("not new").select("loc", "known_loc", "d", F.struct("lo_lat", "lo_lng").alias("lo"), F.struct("hi_lat", "hi_lng").alias("hi"))
+        if settled:
+            state = reduce(DataFrame.unionAll, settled).select(F.col("loc").alias("known_loc"), F.struct(F.col("lat").alias("lo_lat"), F.col("lng").alias("lo_lng")).alias("lo"))
+            state = state.withColumn("hi", F.struct(F.col("lo.lo_lat").alias("hi_lat"), F.col("lo.lo_lng").alias("hi_lng")))
+            known = known.unionByName(ask.filter("new").select("loc", "known_loc", "d").join(state, "known_loc"))
+        by_distance = known.groupBy("loc", "d").agg(F.min("known_loc").alias("alias_of"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        nearest = by_distance.groupBy("loc").agg(F.min_by(F.struct("alias_of", "lo", "hi"), "d").alias("n"))
+        same = (F.col("n.lo.lo_lat") == F.col("n.hi.hi_lat")) & (F.col("n.lo.lo_lng") == F.col("n.hi.hi_lng"))
+        done = cut_lineage(nearest.filter(same).select("loc", "n.alias_of", F.col("n.lo.lo_lat").alias("lat"), F.col("n.lo.lo_lng").alias("lng")))
+        repaired.append(done)
+        plain = direct.join(now, "loc", "left_semi").join(done.select("loc"), "loc", "left_anti").filter("lat is not null and not approx")
+        settled.append(cut_lineage(done.select("loc", "lat", "lng").unionAll(plain.select("loc", "lat", "lng"))))
+        open_ = cut_lineage(open_.join(now, "loc", "left_anti"))
+    return reduce(DataFrame.unionAll, repaired)
+
+
 def merge_cache(cache: DataFrame, fresh: DataFrame) -> DataFrame:
     """Append-only merge: located entries stay as they are, failed ones take the new try, new ones are added."""
     good = cache.filter(F.col("lat").isNotNull())

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from shorelark.session import cut_lineage, parameter_frame, shuffle_partitions
 
@@ -113,32 +120,136 @@ def forward_fill(
     return rows.join(carry, [source, page]).withColumn(out, F.coalesce("_own", "_before")).drop("_own", "_before")
 
 
-def greedy_two_key_dedupe(df: DataFrame, key_a: str, key_b: str, ordinal: str) -> DataFrame:
-    """Keep a row unless an earlier *kept* row has the same first or the same second key.
+# ---- sequential rules on a graph ------------------------------------------
+
+#: Rows of a component that one task may settle in order; larger components go by rounds.
+COMPONENT_ROWS = 200_000
+
+
+def components_of(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+    """(node, root) of every node of the edges (u, v): the smallest node that it reaches.
 
-    Rows that agree in both keys are first reduced to the earliest one. Then rounds settle rows:
-    an open row that is the earliest live one under both its keys is kept, a row behind a kept one
-    is dropped. Every round settles at least the earliest open row, so the loop ends on its own.
+    Every round a node takes the smallest grandparent among its neighbours, its parent takes it too, and it moves to its own
+    grandparent: chains halve, so rounds grow with the logarithm of a component. Each round ends in a reliable checkpoint.
     """
-    pairs = cut_lineage(
-        df.groupBy(F.col(key_a).alias("_a"), F.col(key_b).alias("_b")).agg(F.min(ordinal).alias("_o"))
-    )
-    kept = None
-    live = pairs
+    both = cut_lineage(edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    state = cut_lineage(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("root")))
+    for _ in range(most_rounds):
+        up = state.select(F.col("node").alias("root"), F.col("root").alias("high"))
+        high = cut_lineage(state.join(up, "root"))  # node, root, high (the parent's parent)
+        near = both.join(high.select(F.col("node").alias("v"), "high"), "v").groupBy("u").agg(F.min("high").alias("low"))
+        known = high.join(near.withColumnRenamed("u", "node"), "node").withColumn("low", F.least("low", "high"))
+        told = known.select("node", "low").unionAll(known.select(F.col("root").alias("node"), "low"))
+        best = told.groupBy("node").agg(F.min("low").alias("low"))
+        after = cut_lineage(state.join(best, "node").select("node", F.least("root", "low").alias("root"), (F.col("low") < F.col("root")).alias("moved")))
+        state = after.drop("moved")
+        if after.filter("moved").isEmpty():
+            return state
+    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+def settled_in_order(
+    rows: DataFrame, roots: DataFrame, node: str, order: list[str], settle: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str, most: int
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of components of at most ``most`` rows, each component in order through ``settle``; and the rows of larger ones.
+
+    ``settle`` gets the rows of one component as tuples and yields tuples of ``schema``; a task holds what it remembers of one
+    component at a time. ``roots`` (node, root) may lack nodes that are alone.
+    """
+    found = rows.join(roots.withColumnRenamed("node", node), node, "left").withColumn("_root", F.coalesce("root", node)).drop("root")
+    found = cut_lineage(found)
+    sizes = found.groupBy("_root").agg(F.count(F.lit(1)).alias("_n"))
+    giants = sizes.filter(F.col("_n") > most).select("_root")
+    names = [n for n in found.columns if n != "_root"]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def stream() -> Iterator[tuple]:
+            for batch in batches:
+                yield from zip(*[batch.column(c).to_pylist() for c in ("_root", *names)], strict=True)
+
+        out = []
+        for _, group in groupby(stream(), key=lambda r: r[0]):
+            out += settle(r[1:] for r in group)
+            if len(out) >= 20_000:
+                yield to_batch(out)
+                out = []
+        if out:
+            yield to_batch(out)
+
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def to_batch(tuples: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*tuples, strict=True), arrow.types, strict=True)], schema=arrow)
+
+    small = found.join(giants, "_root", "left_anti")
+    dealt = small.repartition(shuffle_partitions(rows.sparkSession), "_root").sortWithinPartitions("_root", *order)
+    return dealt.mapInArrow(walk, schema), found.join(giants, "_root", "left_semi").drop("_root")
+
+
+def _greedy(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Rows (ordinal, first key, second key) in order: those whose keys no earlier kept row has."""
+    first, second = set(), set()
+    for o, a, b in rows:
+        if a not in first and b not in second:
+            first.add(a)
+            second.add(b)
+            yield (o,)
+
+
+def _greedy_round(live: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kept rows, rows that stay open) of one round.
+
+    A row that is the first under both keys is kept. A row behind exactly one open row under one key, and the first under the
+    other, is kept if that one isn't: such rows form chains, which are followed by doubling up to a row of the first kind.
+    """
+    def second(key: str, first: str) -> DataFrame:
+        return marked.filter(F.col("_o") > F.col(first)).groupBy(key).agg(F.min("_o").alias("_next" + key))
+
+    first_a, first_b = live.groupBy("_a").agg(F.min("_o").alias("_fa")), live.groupBy("_b").agg(F.min("_o").alias("_fb"))
+    marked = cut_lineage(live.join(first_a, "_a").join(first_b, "_b"))
+    both = marked.join(second("_a", "_fa"), "_a", "left").join(second("_b", "_fb"), "_b", "left")
+    o = F.col("_o")
+    ahead = F.when((o == F.col("_fb")) & (o == F.col("_next_a")), F.col("_fa")).when((o == F.col("_fa")) & (o == F.col("_next_b")), F.col("_fb"))
+    heads = marked.filter((o == F.col("_fa")) & (o == F.col("_fb")))
+    chain = cut_lineage(both.select("_o", ahead.alias("_up"), F.lit(1).alias("_steps")).filter("_up is not null"))
     while True:
-        first_a = live.groupBy("_a").agg(F.min("_o").alias("_fa"))
-        first_b = live.groupBy("_b").agg(F.min("_o").alias("_fb"))
-        marked = cut_lineage(live.join(first_a, "_a").join(first_b, "_b"))
-        winners = marked.filter((F.col("_o") == F.col("_fa")) & (F.col("_o") == F.col("_fb"))).select("_a", "_b", "_o")
-        kept = winners if kept is None else kept.union(winners)
-        live = cut_lineage(
-            marked.select("_a", "_b", "_o")
-            .join(winners.select("_a"), "_a", "left_anti")
-            .join(winners.select("_b"), "_b", "left_anti")
-        )
-        if live.isEmpty():
+        higher = chain.select(F.col("_o").alias("_up"), F.col("_up").alias("_higher"), F.col("_steps").alias("_more"))
+        after = cut_lineage(chain.join(higher, "_up", "left"))
+        if after.filter("_higher is not null").isEmpty():
             break
-    return df.join(kept.select(F.col("_o").alias(ordinal)), ordinal, "left_semi")
+        chain = after.select("_o", F.coalesce("_higher", "_up").alias("_up"), ((F.col("_steps") + F.coalesce("_more", F.lit(0))) % 2).alias("_steps"))
+    told = chain.join(heads.select(F.col("_o").alias("_up")), "_up", "left_semi")
+    kept = heads.select("_o").unionAll(told.filter("_steps % 2 = 0").select("_o"))
+    winners = cut_lineage(marked.join(kept, "_o", "left_semi").select("_o", "_a", "_b"))
+    rest = live.join(winners.select("_a"), "_a", "left_anti").join(winners.select("_b"), "_b", "left_anti")
+    return winners, cut_lineage(rest)
+
+
+def greedy_two_key_dedupe(df: DataFrame, key_a: str, key_b: str, ordinal: str, most: int = COMPONENT_ROWS) -> DataFrame:
+    """Keep a row unless an earlier *kept* row has the same first or the same second key; null is a key like any other.
+
+    Rows that agree in both keys are first reduced to the earliest one. Rounds settle rows that depend on one chain of open
+    rows at most, as long as each settles half of what is open. Then the open rows are split into the components of the
+    graph of their keys: a component of at most ``most`` rows is settled in order by one task, larger ones go on by rounds.
+    """
+    keys = [F.to_json(F.struct(F.col(k).alias("k"))).alias(n) for k, n in ((key_a, "_a"), (key_b, "_b"))]
+    live = cut_lineage(df.select(*keys, F.col(ordinal).alias("_o")).groupBy("_a", "_b").agg(F.min("_o").alias("_o")).select("_o", "_a", "_b"))
+    kind = df.schema[ordinal].dataType.simpleString()
+    kept, n, split = [], live.count(), False
+    while n:
+        winners, live = _greedy_round(live)
+        kept.append(winners.select("_o"))
+        before, n = n, live.count()
+        if n > before / 2 and not split:
+            first_a, first_b = live.groupBy("_a").agg(F.min("_o").alias("v")), live.groupBy("_b").agg(F.min("_o").alias("v"))
+            edges = live.join(first_a, "_a").unionByName(live.join(first_b, "_b")).select(F.col("_o").alias("u"), "v").filter("u <> v")
+            small, live = settled_in_order(live, components_of(edges), "_o", ["_o"], _greedy, f"_o {kind}", most)
+            kept.append(cut_lineage(small))
+            live, split = cut_lineage(live), True
+            n = live.count()
+    if not kept:
+        return df
+    return df.join(reduce(DataFrame.unionAll, kept).withColumnRenamed("_o", ordinal), ordinal, "left_semi")
 
 
 # ---- nearest feature ------------------------------------------------------

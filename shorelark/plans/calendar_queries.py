@@ -257,7 +257,19 @@ def dd03(spark, sf):
     return cal.last_by_id(items, "ord").select("id", "status", "place")
 
 
-@query("dd04_two_key_dedupe")
+@query(
+    "dd04_two_key_dedupe",
+    """with recursive rows as (
+         select min(o_orderkey) as ord, o_custkey as booking, strftime(o_orderdate, '%Y-%m-%d') || '|' || o_orderpriority as shown from orders group by 2, 3),
+       rounds(ord, booking, shown, kept) as (
+         select *, null::boolean from rows
+         union all
+         select ord, booking, shown, case when head then true end from (
+           select *, bool_or(head) over (partition by booking) or bool_or(head) over (partition by shown) as taken from (
+             select *, ord = min(ord) over (partition by booking) and ord = min(ord) over (partition by shown) as head from rounds where kept is null) x) y
+         where head or not taken)
+       select ord, booking, shown from rounds where kept""",
+)
 def dd04(spark, sf):
     rows = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("ord"), F.col("o_custkey").alias("booking"),

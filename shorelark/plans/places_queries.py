@@ -367,7 +367,37 @@ def jn11(spark, sf):
     return pl.check_country(found, reverse_cache(spark, sf)).select("loc", "expected", "got", "rejected", "verified")
 
 
-@query("jn09_resolve_locations")
+_ROUNDS = 12  # of the SQL, which derives every repair again from the round before; more than any chain of repairs here has
+
+RESOLVE_SQL = f"""
+with recursive {CACHE_SQL}, {GAZ_SQL}, {GEOCODE_SQL}, {REVERSE_SQL},
+  direct as (select f.loc, f.lat, f.lng, f.approx from found f left join reverse r on r.key = cast(f.lat as varchar) || ',' || cast(f.lng as varchar)
+    where not coalesce(expected is not null and r.country is not null and not (r.country = expected or (expected in ('bq', 'nl') and r.country in ('bq', 'nl'))), false)),
+  t as (select loc, {CITY.format('loc')} as city, {TAIL.format('loc')} as tail from todo where length({CITY.format('loc')}) >= 5 and contains(loc, ',')),
+  k as (select loc, lat, lng, false as new, {CITY.format('loc')} as city, {TAIL.format('loc')} as tail from cache where lat is not null and not approx and contains(loc, ',')
+    union all select loc, null, null, true, {CITY.format('loc')}, {TAIL.format('loc')} from todo where contains(loc, ',')),
+  edges as (select * from (select t.loc, k.loc as known, k.lat, k.lng, k.new, levenshtein(t.city, k.city) as d, case when length(t.city) <= 8 then 1 else 2 end as most
+    from t join k on t.tail = k.tail and t.city <> k.city and (not k.new or k.loc < t.loc)) x where d <= most),
+  asks as (
+    select loc, case when new then known else loc end as via, known as alias_of, d, lat, lng, new, false as own, false as approx from edges
+    union all select t.loc, t.loc, null, 99, d.lat, d.lng, false, true, d.approx from todo t left join direct d on t.loc = d.loc),
+  state(k, loc, alias_of, lat, lng, approx) as (
+    select 0, loc, null::varchar, lat, lng, approx from asks where own
+    union all
+    select any_value(k) + 1, loc, case when count(distinct (lat, lng)) filter (where near) = 1 then min(alias_of) filter (where near) end,
+      case when count(distinct (lat, lng)) filter (where near) = 1 then min(lat) filter (where near) else min(lat) filter (where own) end,
+      case when count(distinct (lat, lng)) filter (where near) = 1 then min(lng) filter (where near) else min(lng) filter (where own) end,
+      case when count(distinct (lat, lng)) filter (where near) = 1 then false else bool_or(approx) filter (where own) end
+    from (select *, not own and d = min(d) filter (where not own) over (partition by loc) as near from (
+      select s.k, a.loc, a.alias_of, a.d, case when a.new then s.lat else a.lat end as lat, case when a.new then s.lng else a.lng end as lng, a.own, a.approx
+      from asks a join state s on s.loc = a.via where s.k < {_ROUNDS} and (not a.new or (s.lat is not null and not s.approx))) x) y
+    group by loc)
+select loc, case when alias_of is not null then 'alias' when lat is not null then 'located' else 'failed' end as status, alias_of, lat, lng, approx
+from state where k = {_ROUNDS}
+"""
+
+
+@query("jn09_resolve_locations", RESOLVE_SQL, ["geo_cache"])
 def resolve(spark, sf):
     return pl.resolve_locations(todo(spark, sf), cache(spark, sf), gazetteer(spark, sf), reverse_cache(spark, sf)).select(
         "loc", "status", "alias_of", "lat", "lng", "approx"

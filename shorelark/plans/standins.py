@@ -210,4 +210,7 @@ def standin(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def sql_with(names: list[str], body: str) -> str:
     """A DuckDB query over the named stand-ins."""
     ctes = ", ".join(f"{n} as ({_duck_text(STANDINS[n]).strip()})" for n in names)
-    return f"with {ctes} {body.strip()}" if not body.strip().startswith("with ") else f"with {ctes}, {body.strip()[5:]}"
+    body = body.strip()
+    if body.startswith("with recursive "):
+        return f"with recursive {ctes}, {body[15:]}"
+    return f"with {ctes}, {body[5:]}" if body.startswith("with ") else f"with {ctes} {body}"

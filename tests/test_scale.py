@@ -34,6 +34,53 @@ def test_greedy_dedupe_needs_the_kept_rows_only(spark):
     assert sorted(r.o for r in sc.greedy_two_key_dedupe(df, "a", "b", "o").collect()) == [0, 2]
 
 
+def greedy(rows):
+    kept, seen_a, seen_b = [], set(), set()
+    for i, a, b in sorted(rows, key=lambda r: r[0]):
+        if a not in seen_a and b not in seen_b:
+            kept.append(i)
+            seen_a.add(a)
+            seen_b.add(b)
+    return kept
+
+
+def test_greedy_dedupe_of_a_long_chain_needs_few_rounds(spark, monkeypatch):
+    rounds, rows = [], [(i, i // 2, (i + 1) // 2) for i in range(100_000)]  # every row hangs on the one before it
+    plain = sc._greedy_round
+    monkeypatch.setattr(sc, "_greedy_round", lambda live: rounds.append(1) or plain(live))
+    df = spark.createDataFrame(rows, "o int, a int, b int").repartition(8)
+    assert sorted(r.o for r in sc.greedy_two_key_dedupe(df, "a", "b", "o").collect()) == greedy(rows)
+    assert len(rounds) <= 20
+
+
+@pytest.mark.parametrize("most", [0, 30, 10_000])
+def test_greedy_dedupe_by_components_and_by_rounds(spark, most):
+    rng = random.Random(most)
+    # crowded keys in rising order keep many rows open; null is a key as well
+    rows = [(i, rng.choice([None, 1, i // 3, i // 7]), f"{rng.choice([i // 2, i // 5, 0])}") for i in range(400)]
+    df = spark.createDataFrame(rows, "o int, a int, b string").repartition(4)
+    assert sorted(r.o for r in sc.greedy_two_key_dedupe(df, "a", "b", "o", most).collect()) == greedy(rows)
+    assert sc.greedy_two_key_dedupe(df.limit(0), "a", "b", "o").count() == 0
+
+
+def test_components(spark):
+    rng = random.Random(9)
+    pairs = [(i, i + 1) for i in range(3000)] + [(rng.randrange(4000, 5000), rng.randrange(4000, 5000)) for _ in range(600)] + [(7000, 7000)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for u, v in pairs:
+        a, b = find(u), find(v)
+        root[max(a, b)] = min(a, b)
+    rng.shuffle(pairs)
+    got = {r.node: r.root for r in sc.components_of(spark.createDataFrame(pairs, "u int, v int"), 20).collect()}
+    assert got == {x: find(x) for x in root}
+
+
 def test_forward_fill_crosses_pages_and_blocks(spark):
     rng = random.Random(5)
     rows = [(s, p, i, rng.choice([None, None, None, f"{s}-{p}-{i}"])) for s in "ab" for p in range(23) for i in range(4)]
@@ -147,7 +194,8 @@ def test_a_repaired_location_repairs_a_later_one(spark):
     assert got["nowhere else, mars"][0] == "failed"
 
 
-def test_repairs_equal_a_sequential_run(spark):
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_repairs_equal_a_sequential_run(spark, most):
     rng = random.Random(17)
     cache = {"".join(rng.choice("ab") for _ in range(7)) + ", us": (float(rng.randrange(3)), 0.0) for _ in range(6)}
     todo = sorted({"".join(rng.choice("ab") for _ in range(7)) + ", us" for _ in range(50)} - set(cache))
@@ -162,7 +210,7 @@ def test_repairs_equal_a_sequential_run(spark):
     gaz = spark.createDataFrame([("none", 0.0, 0.0, "", "de")], "query string, lat double, lng double, display string, country string")
     rev = spark.createDataFrame([("0,0", "de")], "key string, country string")
     out = pl.resolve_locations(
-        spark.createDataFrame([(x,) for x in todo], "loc string"), cache_frame(spark, [(k, *v, False) for k, v in cache.items()]), gaz, rev
+        spark.createDataFrame([(x,) for x in todo], "loc string"), cache_frame(spark, [(k, *v, False) for k, v in cache.items()]), gaz, rev, most
     )
     assert {r.loc: r.alias_of for r in out.collect() if r.alias_of} == want
 
