@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from shorelark.functions import text as tx
 from shorelark.functions import times as tm
-from shorelark.operators.scale import first_by, top_per_key
+from shorelark.operators.scale import first_by, global_position, top_per_key
 from shorelark.session import parameter_frame
 
 MAX_SPAN_DAYS = 30  # fixed value: days shown after the first one
@@ -214,9 +214,18 @@ def clamp_month(month: Column, lo: Column, hi: Column) -> Column:
     return F.least(F.greatest(month, lo), hi)
 
 
-def event_order(events: DataFrame) -> DataFrame:
+def event_order_keys() -> list[Column]:
     """Day, all-day events first, then the start text."""
-    return events.orderBy(F.substring("start", 1, 10), ~F.col("all_day"), "start")
+    return [F.substring("start", 1, 10).asc(), (~F.col("all_day")).asc(), F.col("start").asc()]
+
+
+def event_order(events: DataFrame) -> DataFrame:
+    return events.orderBy(*event_order_keys())
+
+
+def event_places(events: DataFrame, tie: str, out: str = "place") -> DataFrame:
+    """Events with their place in the calendar's order, from 1; ``tie`` orders events that are equal in it."""
+    return global_position(events, [*event_order_keys(), F.col(tie).asc()], out)
 
 
 def day_order_keys() -> list[Column]:

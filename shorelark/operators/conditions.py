@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from shorelark.functions import conditions as fx
 from shorelark.functions.conditions import RatingParams, SiteColumns
-from shorelark.operators.scale import mean_of_top, nearest_within, top_per_key
+from shorelark.operators.scale import global_position, mean_of_top, nearest_within, top_per_key
 from shorelark.session import shuffle_partitions
 
 PAST_DAYS = 3  # fixed value: days of history at the start of a feed
@@ -602,3 +602,29 @@ def order_sites(
     order = [c.asc() if up != reverse else c.desc() for c, up in keys]
     lead = [F.desc(F.coalesce(favourite, F.lit(False)))] if favourite is not None else []
     return rated.orderBy(*lead, *order)
+
+
+def site_places(
+    rated: DataFrame, orders: list[tuple[str, bool]], site_id: str, ordinal: str, area_order: list[str] | None = None, out: str = "place"
+) -> DataFrame:
+    """(order, reverse, site_id, place) of every site in every asked order (key, reverse), from 1; one sort serves all of them.
+
+    Sort keys travel as figures that rise in the wanted direction; only the name, which is compared by its collation, comes
+    as text, in a column for each direction.
+    """
+    rows = None
+    for key, reverse in orders:
+        keys = [*site_sort_keys(key, area_order), (F.col(ordinal), True)]
+        text = keys.pop(0)[0] if key == "name" else F.lit(None).cast("string")
+        figures = [F.coalesce(c.cast("double") if up != reverse else -c.cast("double"), F.lit(float("inf"))) for c, up in keys]
+        blank = F.lit(None).cast("string")
+        part = rated.select(
+            F.lit(key).alias("order"), F.lit(reverse).alias("reverse"), site_id, F.collate(blank if reverse else text, "UNICODE").alias("_up"),
+            F.collate(text if reverse else blank, "UNICODE").alias("_down"),
+            *[(figures[i] if i < len(figures) else F.lit(0.0)).alias(f"_n{i}") for i in range(4)],
+        )
+        rows = part if rows is None else rows.unionByName(part)
+    group = [F.col("order"), F.col("reverse")]
+    placed = global_position(rows, [*group, F.col("_up").asc(), F.col("_down").desc(), *[F.col(f"_n{i}").asc() for i in range(4)]], "_at")
+    first = placed.groupBy("order", "reverse").agg((F.min("_at") - 1).alias("_before"))
+    return placed.join(first, ["order", "reverse"]).select("order", "reverse", site_id, (F.col("_at") - F.col("_before")).alias(out))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from shorelark.functions import text as tx
 from shorelark.functions import times as tm
-from shorelark.operators.scale import first_by
+from shorelark.operators.scale import first_by, global_position
 
 ROW = r"(?is)<tr[^>]*>(.*?)</tr>"
 CELL = r"(?is)<td[^>]*>(.*?)</td>"
@@ -251,9 +251,18 @@ def search(
     return out
 
 
-def finding_order(findings: DataFrame, column: str, descending: bool = False) -> DataFrame:
+def finding_order_keys(column: str, descending: bool = False) -> list[Column]:
     c = F.col(column)
-    return findings.orderBy(c.desc() if descending else c.asc(), "name", "pos")
+    return [c.desc() if descending else c.asc(), F.col("name").asc(), F.col("pos").asc()]
+
+
+def finding_order(findings: DataFrame, column: str, descending: bool = False) -> DataFrame:
+    return findings.orderBy(*finding_order_keys(column, descending))
+
+
+def finding_places(findings: DataFrame, column: str, tie: str, descending: bool = False, out: str = "place") -> DataFrame:
+    """Findings with their place in the order by any column, from 1; ``tie`` orders those that are equal in it."""
+    return global_position(findings, [*finding_order_keys(column, descending), F.col(tie).asc()], out)
 
 
 def top_components(findings: DataFrame, k: int) -> DataFrame:

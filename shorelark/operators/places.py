@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shorelark.functions import text as tx
-from shorelark.operators.scale import COMPONENT_ROWS, components_of, first_by, settled_in_order
+from shorelark.operators.scale import COMPONENT_ROWS, components_of, first_by, global_position, settled_in_order
 from shorelark.session import cut_lineage, parameter_frame
 
 # fixed values: country names an address may end in, with their ISO codes
@@ -263,8 +263,18 @@ def world_copies(points: DataFrame, centre_lng: float = 0.0) -> DataFrame:
     return points.withColumn("offset", F.explode(offsets)).withColumn("copy_lng", F.col("lng") + F.col("offset"))
 
 
+def class_order_keys() -> list[Column]:
+    """Date (undated last), course, location, instructor."""
+    return [F.col("iso").asc_nulls_last(), *[F.col(c).asc() for c in ("course", "location", "instructor")]]
+
+
 def class_order(classes: DataFrame) -> DataFrame:
-    return classes.orderBy(F.col("iso").asc_nulls_last(), "course", "location", "instructor")
+    return classes.orderBy(*class_order_keys())
+
+
+def class_places(classes: DataFrame, tie: str, out: str = "place") -> DataFrame:
+    """Classes with their place in the list, from 1; ``tie`` orders classes that are equal in it."""
+    return global_position(classes, [*class_order_keys(), F.col(tie).asc()], out)
 
 
 def natural_key(c: Column) -> Column:

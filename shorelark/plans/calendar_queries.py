@@ -208,12 +208,10 @@ def wn11(spark, sf):
 
 @calendar(
     "so01_event_order",
-    "select ord, start_at[:10] as first_key, not all_day as second_key, start_at as third_key from cal_events",
+    "select ord, start_at, row_number() over (order by start_at[:10], not all_day, start_at, ord) as place from cal_events",
 )
 def so01(spark, sf):
-    return cal.event_order(events(spark, sf)).select(
-        "ord", F.substring("start", 1, 10).alias("first_key"), (~F.col("all_day")).alias("second_key"), F.col("start").alias("third_key")
-    )
+    return cal.event_places(events(spark, sf), "ord").select("ord", F.col("start").alias("start_at"), "place")
 
 
 @calendar(

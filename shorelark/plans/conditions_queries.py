@@ -647,24 +647,25 @@ with r as (select *, case when site_id % 13 <> 0 then cast(site_id * 31 % 97 as
 """
 
 
-@query(
-    "so04_site_sorts",
-    _LIST + """select 'score' as key, site_id, coalesce(score, -1) as first_key from r union all select 'sea', site_id, coalesce(eff_sea, 99) from r
-       union all select 'wind', site_id, eff_wind from r union all select 'vis', site_id, est_vis from r
-       union all select 'level', site_id, cast(case level_name when 'Open Water' then 0 when 'Advanced' then 1 else 2 end as double) from r
-       union all select 'region', site_id, cast(case area when 'A0' then 0 when 'A1' then 1 when 'A2' then 2 when 'A3' then 3 else 99 end as double) from r""",
-    ["sites"],
-)
+_SORTS = {
+    "score": "coalesce(score, -1) {down}, pos {up}", "sea": "coalesce(eff_sea, 99) {up}, pos {up}", "wind": "coalesce(eff_wind, 999) {up}, pos {up}",
+    "vis": "coalesce(est_vis, -1) {down}, pos {up}", "name": "name {up}, pos {up}",
+    "level": "case level_name when 'Open Water' then 0 when 'Advanced' then 1 else 2 end {up}, coalesce(score, -1) {down}, pos {up}",
+    "region": "coalesce(list_position(['A0', 'A1', 'A2', 'A3'], area) - 1, 99) {up}, @REGION {up}, lat {down}, pos {up}",
+}
+_REGION = "coalesce(list_position([" + ", ".join(f"'{r}'" for r in cd.REGION_ORDER) + "], region) - 1, -1)"
+
+
+def _sorted(key: str, reverse: bool) -> str:
+    up, down = ("desc", "asc") if reverse else ("asc", "desc")
+    order = _SORTS[key].format(up=up, down=down).replace("@REGION", _REGION)
+    return f"""select '{key}' as "order", {str(reverse).lower()} as reverse, site_id, row_number() over (order by {order}) as place from r"""
+
+
+@query("so04_site_sorts", _LIST + " union all ".join(_sorted(key, reverse) for key in _SORTS for reverse in (False, True)), ["sites"])
 def so04(spark, sf):
-    order = ["A0", "A1", "A2", "A3"]
-    out = None
-    for key in ("score", "sea", "wind", "vis", "level", "region"):
-        first = cd.site_sort_keys(key, order)[0][0].cast("double")
-        rows = cd.order_sites(list_rows(spark, sf), key, "pos", area_order=order).select(
-            F.lit(key).alias("key"), "site_id", first.alias("first_key")
-        )
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    orders = [(key, reverse) for key in _SORTS for reverse in (False, True)]
+    return cd.site_places(list_rows(spark, sf), orders, "site_id", "pos", ["A0", "A1", "A2", "A3"])
 
 
 @query("so05_favourites_first", _LIST + "select site_id, site_id % 10 = 3 as favourite, coalesce(score, -1) as score_key from r", ["sites"])

@@ -220,9 +220,16 @@ def fl09(spark, sf):
     return out
 
 
-@finding("so07_finding_order", "select component, name, page_id, pos from findings")
+@finding(
+    "so07_finding_order",
+    """select page_id, pos, row_number() over (order by component desc nulls last, name nulls first, pos, page_id) as by_component,
+         row_number() over (order by name nulls first, pos, page_id) as by_name from findings""",
+)
 def so07(spark, sf):
-    return fd.finding_order(findings(spark, sf), "component", descending=True).select("component", "name", "page_id", "pos")
+    rows = findings(spark, sf)
+    one = fd.finding_places(rows, "component", "page_id", descending=True, out="by_component").select("page_id", "pos", "by_component")
+    two = fd.finding_places(rows, "name", "page_id", out="by_name").select("page_id", "pos", "by_name")
+    return one.join(two, ["page_id", "pos"])
 
 
 @finding("io09_append_blocks", "select page_id, -page_id as append_ord, len(list(component)) as findings, '2024-01-31T00:00:00Z' as updated from findings group by page_id")

@@ -106,15 +106,17 @@ def io11(spark, sf):
     return pl.overlay(bundled, learned)
 
 
-_FILTER = """course in ('Cave Diver 3', 'Deep Primer', 'Tech Clinic') and (instructor is null or instructor not like '%7')
+# the chosen instructors: every third one of the first thousand
+CHOSEN = [f"Supplier#{i:09d}" for i in range(1, 1000, 3)]
+_FILTER = """course in ('Cave Diver 3', 'Deep Primer', 'Tech Clinic')
+  and (instructor is null or (cast(right(instructor, 9) as int) % 3 = 1 and cast(right(instructor, 9) as int) < 1000))
   and contains(lower(course || ' ' || location || ' ' || coalesce(instructor, '')), 'ring') and (iso is null or iso >= date '1997-01-01') and (iso is null or iso <= date '1999-06-30')"""
 
 
 @places("fl04_class_filter", f"select ord, course, location, instructor, strftime(iso, '%Y-%m-%d') as iso from placed where {_FILTER}")
 def fl04(spark, sf):
-    kept = classes(spark, sf).filter(F.col("instructor").isNull() | ~F.col("instructor").endswith("7"))
     return pl.filter_classes(
-        kept, ["Cave Diver 3", "Deep Primer", "Tech Clinic"], None, "Ring", "1997-01-01", "1999-06-30"
+        classes(spark, sf), ["Cave Diver 3", "Deep Primer", "Tech Clinic"], CHOSEN, "Ring", "1997-01-01", "1999-06-30"
     ).select("ord", "course", "location", "instructor", iso())
 
 
@@ -237,9 +239,13 @@ def dd06(spark, sf):
     return pl.first_spelling(classes(spark, sf), "location", "ord").select("loc", "location", "ord")
 
 
-@places("so03_class_order", "select ord, strftime(iso, '%Y-%m-%d') as iso, course, location, instructor from placed")
+@places(
+    "so03_class_order",
+    """select ord, strftime(iso, '%Y-%m-%d') as iso, course, location, instructor,
+         row_number() over (order by iso nulls last, course, location, instructor nulls first, ord) as place from placed""",
+)
 def so03(spark, sf):
-    return pl.class_order(classes(spark, sf)).select("ord", iso(), "course", "location", "instructor")
+    return pl.class_places(classes(spark, sf), "ord").select("ord", iso(), "course", "location", "instructor", "place")
 
 
 @places(

@@ -243,3 +243,14 @@ def test_first_by_keeps_whole_rows(spark):
     df = spark.createDataFrame([("a", 3, "x"), ("a", 1, None), ("b", 2, "z")], "k string, o int, v string")
     assert sorted(tuple(r) for r in sc.first_by(df, ["k"], ["o"]).collect()) == [("a", 1, None), ("b", 2, "z")]
     assert sorted(tuple(r) for r in sc.first_by(df, ["k"], ["o"], latest=True).collect()) == [("a", 3, "x"), ("b", 2, "z")]
+
+
+def test_places_in_a_total_order(spark):
+    rng = random.Random(21)
+    # a third of the rows share one value; the rest has ties and nulls
+    rows = [(i, rng.choice([7, 7, None, rng.randrange(50), i])) for i in range(5000)]
+    df = spark.createDataFrame(rows, "i int, v int").repartition(6)
+    got = {r.i: r.position for r in sc.global_position(df, [F.col("v").desc(), F.col("i").asc()]).collect()}
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert got == {i: n for n, (i, _) in enumerate(want, 1)}
+    assert sc.global_position(df.limit(0), [F.col("i")]).count() == 0
