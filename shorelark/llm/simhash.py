@@ -5,11 +5,13 @@ the anchors are the words of a covering code: a Hamming code on 31 bits (every w
 times the free last bit, so the covering radius is one. A fingerprint goes to every anchor within radius plus one of
 its half; the partner's nearest anchor is among them. Fingerprints are compared per anchor only.
 
-``near_copies`` needs no fingerprints: it compares sets of shingles exactly, of candidates found by prefixes.
+``near_copies`` takes its first candidates from the anchors, and the rest from prefixes of the sets of shingles; it compares
+all of them on the whole sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shorelark.llm.common import byte_texts, components, identified, looked_up, mixed
+from shorelark.llm.common import byte_texts, components, identified, looked_up
 from shorelark.session import cut_lineage
 
 SALTS = 16
@@ -27,8 +29,6 @@ MOST_BITS = 3
 LEAST_ALIKE = 80
 #: Rows in which frequent shingles are counted, about, and how many of these are told apart. Neither changes a result.
 SAMPLE, FREQUENT = 8000, 100_000
-#: Bits of a sketch of a set of shingles: of each, whether an odd number of them have it as remainder.
-SKETCH = 512
 #: Anchors with more fingerprints are split by the bits of the other half before they are compared.
 CROWD = 2000
 VOTE_ROWS = 1 << 15
@@ -56,20 +56,16 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int, lanes: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, rid and fps, ``lanes`` fingerprints as signed 64-bit integers; those after the first are of remixed hashes."""
+def fingerprints(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, rid and fp, the fingerprint as a signed 64-bit integer."""
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for text in byte_texts(batch.column("text")):
-                hashes = shingle_hashes(text, words)
-                found.append([majority(mixed(hashes + np.uint64(lane << 32)) if lane else hashes) for lane in range(lanes)])
-            flat = pa.array(np.array(found, np.uint64).ravel().view(np.int64))
-            fps = pa.FixedSizeListArray.from_arrays(flat, lanes).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), fps], names=["doc_id", "rid", "fps"])
+            found = [majority(shingle_hashes(text, words)) for text in byte_texts(batch.column("text"))]
+            fps = pa.array(np.array(found, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), fps], names=["doc_id", "rid", "fp"])
 
     rows = identified(docs, id_col, text_col)
-    return rows.mapInArrow(hashed, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, rid long, fps array<long>")
+    return rows.mapInArrow(hashed, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, rid long, fp long")
 
 
 # ---- anchors ---------------------------------------------------------------
@@ -113,14 +109,14 @@ def blocks(anchor: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.tile(np.arange(len(fp)), 4), np.concatenate(keys)
 
 
-def forest(fp: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Links that join all fingerprints which chains of at most ``most`` differing bits connect: a tree each."""
+def forest(fp: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join all fingerprints which chains of at most three differing bits connect: a tree each."""
     left, links = fp, []
     while len(left) > 1:
         open_, left = [left[0]], left[1:]
         while open_ and len(left):
             at = open_.pop()
-            near = np.bitwise_count(left ^ at) <= most
+            near = np.bitwise_count(left ^ at) <= MOST_BITS
             if near.any():
                 links += [(at, x) for x in left[near]]
                 open_ += list(left[near])
@@ -128,7 +124,7 @@ def forest(fp: np.ndarray, most: int) -> list[tuple[int, int]]:
     return links
 
 
-def links_of_runs(batches: Iterator[pa.RecordBatch], most: int, crowd: int | None) -> Iterator[pa.RecordBatch]:
+def links_of_runs(batches: Iterator[pa.RecordBatch], crowd: int | None) -> Iterator[pa.RecordBatch]:
     """Links (a, b) among the rows of each key; batches are sorted by key. Rows (key, a, null) of crowded keys pass on."""
     def out(a, b=None, key=None) -> pa.RecordBatch:
         a = np.asarray(a, np.uint64)
@@ -145,12 +141,12 @@ def links_of_runs(batches: Iterator[pa.RecordBatch], most: int, crowd: int | Non
             same = k[lag:] == k[:-lag]
             if not same.any():
                 break
-            same &= (q[lag:] | q[:-lag]) & (np.bitwise_count(f[lag:] ^ f[:-lag]) <= most)
+            same &= (q[lag:] | q[:-lag]) & (np.bitwise_count(f[lag:] ^ f[:-lag]) <= MOST_BITS)
             if same.any():
                 yield out(f[:-lag][same], f[lag:][same])
         for i in np.flatnonzero(sizes > 16):
             group = fp[edges[i]:edges[i + 1]]
-            if links := forest(group, most):
+            if links := forest(group):
                 yield out(*np.array(links, np.uint64).T)
 
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # rows of the last key so far
@@ -197,17 +193,13 @@ def whole(key, fp, near, compared, out, crowd):
         yield from compared(key, fp, near)
 
 
-def _compared(keyed: DataFrame, most: int, crowd: int | None) -> DataFrame:
+def _compared(keyed: DataFrame, crowd: int | None) -> DataFrame:
     dealt = keyed.repartition("key").sortWithinPartitions("key", "fp")
-    return dealt.mapInArrow(lambda batches: links_of_runs(batches, most, crowd), "key long, a long, b long")
+    return dealt.mapInArrow(lambda batches: links_of_runs(batches, crowd), "key long, a long, b long")
 
 
-def near_links(distinct: DataFrame, most: int = MOST_BITS, crowd: int = CROWD) -> DataFrame:
-    """Links (a, b) that connect all distinct fingerprints (column fp) within three bits of each other.
-
-    With ``most`` over three, pairs of up to so many bits are linked where an anchor brings them together; there is no
-    guarantee for those.
-    """
+def near_links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """Links (a, b) that connect all distinct fingerprints (column fp) within three bits of each other."""
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column("fp").to_numpy().view(np.uint64)
@@ -223,12 +215,12 @@ def near_links(distinct: DataFrame, most: int = MOST_BITS, crowd: int = CROWD) -
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(fp[i].view(np.int64)), pa.array(np.ones(len(i), bool))], names=["key", "fp", "near"])
 
     schema = "key long, fp long, near boolean"
-    first = cut_lineage(_compared(distinct.mapInArrow(anchored, schema), most, crowd))
+    first = cut_lineage(_compared(distinct.mapInArrow(anchored, schema), crowd))
     links = first.filter("b is not null").select("a", "b")
     crowded = first.filter("b is null").select("key", "a")
     if crowded.isEmpty():
         return links
-    return links.unionAll(_compared(crowded.mapInArrow(split, schema), most, None).select("a", "b"))
+    return links.unionAll(_compared(crowded.mapInArrow(split, schema), None).select("a", "b"))
 
 
 def component_ids(rows: DataFrame, node: str, links: DataFrame, salts: int) -> DataFrame:
@@ -252,7 +244,7 @@ def simhash_dedup(
     where all ids of a component are null. Rows that repeat an id or a text get equal answers. Texts are read whole;
     other columns are not read; an empty table gives an empty result.
     """
-    rows = cut_lineage(fingerprints(docs, words, 1, id_col, text_col).select("doc_id", "rid", F.col("fps")[0].alias("fp")))
+    rows = cut_lineage(fingerprints(docs, words, id_col, text_col))
     found = component_ids(rows, "fp", near_links(rows.select("fp").distinct(), crowd=crowd), salts)
     return found.select("doc_id", "rid", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -287,8 +279,12 @@ def frequent(given: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(given: DataFrame, words: int, least: int) -> DataFrame:
-    """doc_id, rid, node (hash of the set of shingles), n (its size), bits (its sketch) and keys, the set's first shingles in the order
-    from rare to frequent: two sets that are ``least`` hundredths alike have one of these in common."""
+    """doc_id, rid, node (hash of the set of shingles), n (its size), fp (its fingerprint), bits (its sketch) and keys, the set's first
+    shingles in the order from rare to frequent: two sets that are ``least`` hundredths alike have one of these in common.
+
+    A sketch has two bits or more for each shingle, their number a power of two, and tells of each bit whether an odd number
+    of shingles have it as remainder. Its halves, xor-ed, are the sketch of half the size.
+    """
     hot, often = frequent(given, words)
 
     def cut(s: np.ndarray) -> np.ndarray:
@@ -297,35 +293,70 @@ def prefixes(given: DataFrame, words: int, least: int) -> DataFrame:
         return s[np.lexsort((s, rank))[:len(s) + least * len(s) // -100 + 1]]
 
     def sketch(s: np.ndarray) -> np.ndarray:
-        odd = np.bincount((s % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+        size = 64 << max(3, (max(1, len(s)) // 32).bit_length())
+        odd = np.bincount((s % np.uint64(size)).astype(np.int64), minlength=size) & 1
         return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets, nodes in shingle_sets(batches, words):
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), batch.column("rid"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array([len(s) for s in sets], pa.int64()),
-                lists([sketch(s) for s in sets]), lists([cut(s) if len(s) else s for s in sets]),
-            ], names=["doc_id", "rid", "node", "n", "bits", "keys"])
+                pa.array(np.array([majority(s) for s in sets], np.uint64).view(np.int64)), lists([sketch(s) for s in sets]), lists([cut(s) if len(s) else s for s in sets]),
+            ], names=["doc_id", "rid", "node", "n", "fp", "bits", "keys"])
+
+    kind = given.schema["doc_id"].dataType.simpleString()
+    return given.mapInArrow(keyed, f"doc_id {kind}, rid long, node long, n long, fp long, bits array<long>, keys array<long>")
+
+
+def fitting(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """The pairs (a, b) of which sizes and sketches don't prove that they are less than ``least`` hundredths alike. A bit that
+    differs between sketches is an element, at least, that the sets don't share."""
+    def halved(bits: Column, size: Column) -> Column:
+        return F.when(F.size(bits) > size, F.zip_with(F.slice(bits, 1, size), F.slice(bits, size + 1, size), lambda p, q: p.bitwiseXOR(q))).otherwise(bits)
+
+    for end in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("node").alias(end), F.struct("n", "bits").alias(f"_{end}")), end)
+    n, m = F.col("_a.n"), F.col("_b.n")
+    pairs = pairs.filter(F.least(n, m) * 100 >= F.greatest(n, m) * least)
+    size = F.least(F.size("_a.bits"), F.size("_b.bits"))
+    differ = F.zip_with(halved(F.col("_a.bits"), size), halved(F.col("_b.bits"), size), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    odd = F.aggregate(differ, F.lit(0), lambda total, x: total + x)
+    return pairs.filter(alike(F.floor((n + m - odd) / 2), n, m, least)).select("a", "b")
 
-    return given.mapInArrow(keyed, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, rid long, node long, n long, bits array<long>, keys array<long>")
 
+def ends(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
-def pairs(members: DataFrame, sweep: int | None, least: int) -> DataFrame:
-    """Distinct pairs (a, b) of a key's members (key, node, n, pos, root, bits) that have different roots and that sizes,
-    places of the key and sketches don't prove less than ``least`` hundredths alike: of neighbours in a random order,
-    or all without ``sweep``. A bit that differs between sketches is an element, at least, that the sets don't share."""
-    row = F.struct("node", "n", "pos", "root", "bits")
+
+def by_fingerprint(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) that connect all sets (node, fp) whose fingerprints the anchors link."""
+    first = cut_lineage(sets.groupBy("fp").agg(F.min("node").alias("x")))
+    across = near_links(first.select("fp")).join(first.withColumnRenamed("fp", "a"), "a").join(first.select(F.col("fp").alias("b"), F.col("x").alias("y")), "b")
+    same = sets.select("fp", F.col("node").alias("y")).join(first, "fp").filter("x <> y")
+    return same.select(*ends("x", "y")).union(across.select(*ends("x", "y"))).distinct()
+
+
+def by_prefix(members: DataFrame, sweep: int | None, least: int) -> DataFrame:
+    """Pairs (a, b) of a key's members (key, node, n, pos, root) that have different roots and that sizes and places of the key
+    don't prove less than ``least`` hundredths alike: of neighbours in a random order, or all without ``sweep``.
+
+    Without ``sweep`` a key's members meet by bands of their sizes, so those of too different sizes never do.
+    """
+    row = F.struct("node", "n", "pos", "root")
     if sweep is not None:
         along = Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(sweep)), "node")
-        beside = F.array(*(F.lead(row, k).over(along) for k in range(1, 9)))
-        met = members.select(row.alias("x"), beside.alias("all")).select("x", F.explode("all").alias("y"))
+        beside = F.array(*(F.lead(row, k).over(along) for k in range(1, 5)))
+        met = members.select(row.alias("x"), beside.alias("all")).select("x", F.explode("all").alias("y")).filter("x.root <> y.root")
     else:
-        met = members.select("key", row.alias("x")).join(members.select("key", row.alias("y")), "key").filter("x.root < y.root")
+        # sizes of sets that are alike lie in one band or in two that follow each other
+        banded = members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(101 / least)).cast("int"))
+        left = banded.select("key", "band", row.alias("x")).withColumn("up", F.explode(F.array(F.lit(0), F.lit(1))))
+        left = left.select("key", (F.col("band") + F.col("up")).alias("band"), "up", "x")
+        met = left.join(banded.select("key", "band", row.alias("y")), ["key", "band"]).filter("x.root < y.root or (up = 1 and x.root <> y.root)")
     n, m = F.col("x.n"), F.col("y.n")
-    odd = sum((F.bit_count(F.col("x.bits")[i].bitwiseXOR(F.col("y.bits")[i])) for i in range(SKETCH // 64)), F.lit(0))
-    common = F.least(F.least("x.pos", "y.pos") + F.least(n - F.col("x.pos"), m - F.col("y.pos")), F.floor((n + m - odd) / 2))
-    fits = (F.col("x.root") != F.col("y.root")) & (F.least(n, m) * 100 >= F.greatest(n, m) * least) & alike(common, n, m, least)
-    return met.filter(fits).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    common = F.least("x.pos", "y.pos") + F.least(n - F.col("x.pos"), m - F.col("y.pos"))
+    fits = (F.least(n, m) * 100 >= F.greatest(n, m) * least) & alike(common, n, m, least)
+    return met.filter(fits).select(*ends("x.node", "y.node")).distinct()
 
 
 def alike(common: Column, n: Column, m: Column, least: int) -> Column:
@@ -341,40 +372,41 @@ def near_copies(
     Rows have the same group if, and only if, they are connected; ids that are null or repeated don't tell that.
 
     Two texts are linked if, and only if, the Jaccard similarity of their sets of word shingles is ``least`` hundredths
-    or more; shingles are compared by 64-bit hashes. Candidates are the sets that share a shingle of their prefixes,
-    whatever the number of sets that do, and each is checked on the whole sets. Pairs whose ends are already connected
-    are passed over: ``sweeps`` check neighbours in a random order, then every pair is checked that is still unconnected.
+    or more; shingles are compared by 64-bit hashes. The first candidates are those that the anchors of their fingerprints
+    bring together. Fingerprints of alike sets may differ in more than three bits, so all sets that share a shingle of their
+    prefixes are candidates too, whatever the number of sets that do; that completes the answer. Each candidate is checked on
+    the whole sets. Pairs whose ends are already connected are passed over: ``sweeps`` check neighbours in a random order, then
+    every pair is checked that is still unconnected.
     Texts without words are copies of each other. Nulls, repeats, empty tables and other columns as in ``simhash_dedup``.
     """
     given = identified(docs, id_col, text_col)
     rows = cut_lineage(prefixes(given, words, least))
-    once = rows.groupBy("node").agg(F.min("rid").alias("rid"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("keys").alias("keys"))
-    by_key = Window.partitionBy("key").orderBy("node")
-    keyed = once.select("node", "rid", "n", "bits", F.posexplode("keys").alias("pos", "key"))
-    keyed = keyed.withColumn("beside", F.coalesce(F.lead("node").over(by_key), F.lag("node").over(by_key)))
-    shared = cut_lineage(keyed.filter("beside is not null").drop("beside"))
+    sets = cut_lineage(rows.groupBy("node", "n", "fp", "bits").agg(F.min("rid").alias("rid")))  # each set once
+    keyed = rows.select("node", "n", F.posexplode("keys").alias("pos", "key"))
+    several = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key")
+    shared = cut_lineage(keyed.join(several, "key", "left_semi").dropDuplicates(["key", "node"]))
 
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, found, nodes in shingle_sets(batches, words):
             yield pa.RecordBatch.from_arrays([pa.array(np.array(nodes, np.uint64).view(np.int64)), lists(found)], names=["node", "of"])
 
-    texts = given.join(shared.select("rid").distinct(), "rid", "left_semi").select("text")
-    sets = cut_lineage(texts.mapInArrow(whole_sets, "node long, of array<long>").groupBy("node").agg(F.first("of").alias("of")))
+    def compared(todo: DataFrame) -> DataFrame:
+        """Whether the ends of each pair are alike; whole sets are built for ends only."""
+        todo = cut_lineage(fitting(todo, sets, least))
+        named = todo.select(F.col("a").alias("node")).union(todo.select("b")).distinct()
+        texts = given.join(sets.join(named, "node", "left_semi").select("rid"), "rid", "left_semi").select("text")
+        built = texts.mapInArrow(whole_sets, "node long, of array<long>").dropDuplicates(["node"])
+        both = todo.join(built.select(F.col("node").alias("a"), F.col("of").alias("x")), "a").join(built.select(F.col("node").alias("b"), F.col("of").alias("y")), "b")
+        common = F.size(F.array_intersect("x", "y"))
+        return cut_lineage(both.select("a", "b", alike(common, F.size("x"), F.size("y"), least).alias("linked")))
 
-    members, links, checked = shared.withColumn("root", F.col("node")), None, None
+    checked = compared(by_fingerprint(sets))
     for sweep in [*range(sweeps), None]:
-        todo = pairs(members, sweep, least)
-        if checked is not None:
-            todo = todo.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        ends = todo.join(sets.select(F.col("node").alias("a"), F.col("of").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("of").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        now = cut_lineage(ends.select("a", "b", alike(common, F.size("x"), F.size("y"), least).alias("linked")))
-        checked = now if checked is None else checked.unionAll(now)
-        links = checked.filter("linked").select("a", "b")
-        if sweep is None:
-            break
-        roots = components(links)
+        roots = components(checked.filter("linked").select("a", "b"))
         found = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        several = found.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-        members = cut_lineage(found.join(several, "key", "left_semi"))
+        apart = found.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+        members = cut_lineage(found.join(apart, "key", "left_semi"))
+        todo = by_prefix(members, sweep, least).join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        checked = checked.unionAll(compared(todo))
+    links = checked.filter("linked").select("a", "b")
     return component_ids(rows, "node", links, salts).select("doc_id", "rid", "component_id", F.coalesce("root", "node").alias("group"))

@@ -95,7 +95,7 @@ def test_crowded_anchor_of_many_fingerprints(spark):
     rng = np.random.default_rng(2)
     base = int(rng.integers(0, 1 << 62))
     fps = sorted({base ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 64, (150, 2))})
-    links = forest(np.array(fps, np.uint64), 3)
+    links = forest(np.array(fps, np.uint64))
     assert len(links) == len(fps) - 1
     df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp bigint").repartition(4)
     from shorelark.llm.simhash import near_links
