@@ -1,6 +1,6 @@
 """A training corpus from documents: language, exact and near copies, benchmark leaks, packing.
 
-Every stage reads what its predecessor kept and, but for the last, returns the columns of documents.
+Every stage reads what its predecessor kept and, but for the last, returns the columns of documents, whatever others there are.
 """
 
 from __future__ import annotations
@@ -21,11 +21,19 @@ LEAST_SCORE = 0.5
 ORACLE_SQL = None
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """Rows that ``gone`` (doc_id, rid) doesn't name; of rows without an id or with a repeated one, rid tells which."""
-    named = gone.select(F.col("doc_id").alias("_id"), F.col("rid").alias("_rid")).distinct()
+    i, r = _free(docs, "gone_id"), _free(docs, "gone_rid")
+    named = gone.select(F.col("doc_id").alias(i), F.col("rid").alias(r)).distinct()
     rid = F.xxhash64(docs["doc_id"], F.coalesce(docs["text"], F.lit("")))
-    return docs.join(named, (rid == F.col("_rid")) & docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+    return docs.join(named, (rid == F.col(r)) & docs["doc_id"].eqNullSafe(F.col(i)), "left_anti")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +46,11 @@ def _one_row_each(docs: DataFrame, gone: DataFrame, repeated: DataFrame) -> Data
     """Rows that ``gone`` (doc_id, rid) doesn't name, and of rows that ``repeated`` names one for each name."""
     if repeated.isEmpty():
         return _without(docs, gone)
-    named = repeated.select(F.col("doc_id").alias("_id"), F.col("rid").alias("_rid")).distinct()
-    keyed = docs.withColumn("_text", F.coalesce(docs["text"], F.lit("")))
-    same = (F.xxhash64("doc_id", "_text") == F.col("_rid")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    one = keyed.join(named, same, "left_semi").dropDuplicates(["doc_id", "_text"]).select(docs.columns)
+    i, r, text = _free(docs, "one_id"), _free(docs, "one_rid"), _free(docs, "one_text")
+    named = repeated.select(F.col("doc_id").alias(i), F.col("rid").alias(r)).distinct()
+    keyed = docs.withColumn(text, F.coalesce(docs["text"], F.lit("")))
+    same = (F.xxhash64("doc_id", text) == F.col(r)) & F.col("doc_id").eqNullSafe(F.col(i))
+    one = keyed.join(named, same, "left_semi").dropDuplicates(["doc_id", text]).select(docs.columns)
     return _without(docs, gone.select("doc_id", "rid").unionAll(repeated.select("doc_id", "rid"))).unionByName(one)
 
 
@@ -53,7 +62,12 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies one row stays, of the smallest id (none is larger than any), then the smallest rid."""
+    """Of each group of near copies one row stays, of the smallest id (none is larger than any), then the smallest rid.
+
+    Two texts are near copies if their sets of five-word shingles are 0.8 alike or more. Pairs come from the anchors of their
+    SimHash fingerprints first; alike sets whose fingerprints are further apart come from prefixes of the sets. Each pair is
+    checked on the whole sets.
+    """
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")
     rows = cut_lineage(near_copies(docs).select("group", place.alias("place")))
     first = rows.groupBy("group").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
