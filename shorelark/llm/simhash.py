@@ -29,6 +29,10 @@ MOST_BITS = 3
 LEAST_ALIKE = 80
 #: Rows in which frequent shingles are counted, about, and how many of these are told apart. Neither changes a result.
 SAMPLE, FREQUENT = 8000, 100_000
+#: Shingles that so many rows of the sample have are crowded: no task gathers all rows of one.
+CROWDED = 8
+#: Ids of texts that are sent to every task; more are joined.
+SENT = 1_000_000
 #: Anchors with more fingerprints are split by the bits of the other half before they are compared.
 CROWD = 2000
 VOTE_ROWS = 1 << 15
@@ -280,17 +284,21 @@ def frequent(given: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 def prefixes(given: DataFrame, words: int, least: int) -> DataFrame:
     """doc_id, rid, node (hash of the set of shingles), n (its size), fp (its fingerprint), bits (its sketch) and keys, the set's first
-    shingles in the order from rare to frequent: two sets that are ``least`` hundredths alike have one of these in common.
+    shingles in the order from rare to frequent, of which the first ``rare`` are not crowded: two sets that are ``least``
+    hundredths alike have one of these in common.
 
     A sketch has two bits or more for each shingle, their number a power of two, and tells of each bit whether an odd number
     of shingles have it as remainder. Its halves, xor-ed, are the sketch of half the size.
     """
     hot, often = frequent(given, words)
 
-    def cut(s: np.ndarray) -> np.ndarray:
+    def cut(s: np.ndarray) -> tuple[np.ndarray, int]:
+        if not len(s):
+            return s, 0
         at = np.minimum(np.searchsorted(hot, s), max(0, len(hot) - 1))
         rank = np.where(hot[at] == s, often[at], 0) if len(hot) else np.zeros(len(s), np.int64)
-        return s[np.lexsort((s, rank))[:len(s) + least * len(s) // -100 + 1]]
+        order = np.lexsort((s, rank))[:len(s) + least * len(s) // -100 + 1]
+        return s[order], int((rank[order] < CROWDED).sum())
 
     def sketch(s: np.ndarray) -> np.ndarray:
         size = 64 << max(3, (max(1, len(s)) // 32).bit_length())
@@ -299,13 +307,15 @@ def prefixes(given: DataFrame, words: int, least: int) -> DataFrame:
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets, nodes in shingle_sets(batches, words):
+            first = [cut(s) for s in sets]
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), batch.column("rid"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array(np.array([majority(s) for s in sets], np.uint64).view(np.int64)), lists([sketch(s) for s in sets]), lists([cut(s) if len(s) else s for s in sets]),
-            ], names=["doc_id", "rid", "node", "n", "fp", "bits", "keys"])
+                pa.array(np.array([majority(s) for s in sets], np.uint64).view(np.int64)), lists([sketch(s) for s in sets]), lists([k for k, _ in first]),
+                pa.array([n for _, n in first], pa.int32()),
+            ], names=["doc_id", "rid", "node", "n", "fp", "bits", "keys", "rare"])
 
     kind = given.schema["doc_id"].dataType.simpleString()
-    return given.mapInArrow(keyed, f"doc_id {kind}, rid long, node long, n long, fp long, bits array<long>, keys array<long>")
+    return given.mapInArrow(keyed, f"doc_id {kind}, rid long, node long, n long, fp long, bits array<long>, keys array<long>, rare int")
 
 
 def fitting(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
@@ -324,6 +334,16 @@ def fitting(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     return pairs.filter(alike(F.floor((n + m - odd) / 2), n, m, least)).select("a", "b")
 
 
+def shared_keys(keyed: DataFrame) -> DataFrame:
+    """(key, node, n, pos) of the keys that several sets have: rare ones are gathered, crowded ones counted and joined."""
+    each = Window.partitionBy("key")
+    rare = keyed.filter("pos < rare").withColumn("several", F.min("node").over(each) < F.max("node").over(each)).filter("several")
+    crowded = keyed.filter("pos >= rare")
+    several = crowded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key")
+    both = rare.drop("several").unionByName(crowded.join(several, "key", "left_semi"))
+    return both.select("key", "node", "n", "pos").dropDuplicates(["key", "node"])
+
+
 def ends(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
@@ -382,9 +402,7 @@ def near_copies(
     given = identified(docs, id_col, text_col)
     rows = cut_lineage(prefixes(given, words, least))
     sets = cut_lineage(rows.groupBy("node", "n", "fp", "bits").agg(F.min("rid").alias("rid")))  # each set once
-    keyed = rows.select("node", "n", F.posexplode("keys").alias("pos", "key"))
-    several = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key")
-    shared = cut_lineage(keyed.join(several, "key", "left_semi").dropDuplicates(["key", "node"]))
+    shared = cut_lineage(shared_keys(rows.select("node", "n", "rare", F.posexplode("keys").alias("pos", "key"))))
 
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, found, nodes in shingle_sets(batches, words):
@@ -394,7 +412,8 @@ def near_copies(
         """Whether the ends of each pair are alike; whole sets are built for ends only."""
         todo = cut_lineage(fitting(todo, sets, least))
         named = todo.select(F.col("a").alias("node")).union(todo.select("b")).distinct()
-        texts = given.join(sets.join(named, "node", "left_semi").select("rid"), "rid", "left_semi").select("text")
+        rids = sets.join(named, "node", "left_semi").select("rid")
+        texts = given.join(F.broadcast(rids) if named.count() <= SENT else rids, "rid", "left_semi").select("text")
         built = texts.mapInArrow(whole_sets, "node long, of array<long>").dropDuplicates(["node"])
         both = todo.join(built.select(F.col("node").alias("a"), F.col("of").alias("x")), "a").join(built.select(F.col("node").alias("b"), F.col("of").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
