@@ -13,8 +13,8 @@ from shorelark.session import cut_lineage
 
 #: Documents are cut into runs of about this many bytes before numpy looks at them.
 RUN_BYTES = 1 << 20
-#: Links that one task reduces to a forest, and the least number of such tasks.
-LINKS_PER_TASK, LEAST_TASKS = 2_000_000, 8
+#: Links that one task reduces to a forest.
+LINKS_PER_TASK = 2_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -109,16 +109,23 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"u": pa.array(part, pa.int64()), "v": pa.array([find(x) for x in part], pa.int64())})
 
 
+def _rooted(edges: DataFrame) -> DataFrame:
+    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(roots)
+
+
 def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
     """(node, root) of every node of the links (a, b): the smallest node that it reaches. Nodes are 64-bit integers.
 
     First about LINKS_PER_TASK links at a time are reduced to a forest, so that a crowded group enters with few links for each
-    of its nodes, however many it has. Then alternating stars: neighbours above a node move to the smallest neighbour, then those below it do. Each round
+    of its nodes, however many it has. Where all links are so few, that is the answer. Else alternating stars: neighbours above a node move to the smallest neighbour, then those below it do. Each round
     ends in a reliable checkpoint; only a count and a checksum reach the driver.
     """
     given = cut_lineage(links.filter("a <> b").select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v")))
-    parts = max(LEAST_TASKS, -(-given.count() // LINKS_PER_TASK))
+    parts = max(1, -(-given.count() // LINKS_PER_TASK))
     edges = cut_lineage(given.repartition(parts).mapInArrow(_forest, "u long, v long").distinct())
+    if parts == 1:
+        return _rooted(edges)
     seen = None
     for _ in range(most_rounds):
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -129,7 +136,6 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
         edges = cut_lineage(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
-            roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(roots)
+            return _rooted(edges)
         seen = now
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

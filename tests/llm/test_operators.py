@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from shorelark.llm import common
 from shorelark.llm import suffix_dedup as suffixes
 from shorelark.llm.common import components
 from shorelark.llm.decontaminate import decontaminate
@@ -118,7 +119,9 @@ def test_near_copies_of_edited_texts(spark):
     assert sum(found[10 * g + 1] == 10 * g for g in range(30)) >= 27
 
 
-def test_components_of_a_chain(spark):
+@pytest.mark.parametrize("most", [50, 2_000_000])
+def test_components_of_a_chain(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "LINKS_PER_TASK", most)
     df = spark.createDataFrame([(i, i + 1) for i in range(0, 200)] + [(500, 501), (7, 7)], "a bigint, b bigint").repartition(5)
     got = {r.node: r.root for r in components(df).collect()}
     assert got == {i: 0 for i in range(201)} | {500: 500, 501: 500}

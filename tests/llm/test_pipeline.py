@@ -164,3 +164,13 @@ def test_one_row_of_each_group_stays(spark):
     assert Counter(r.text for r in once.collect()) == Counter({t: 1 for _, t in rows})
     kept = Counter((r.doc_id, r.text[:200]) for r in corpus_pipeline.near(spark, docs, "").collect())
     assert kept == Counter([(1, a[:200]), (1, b[:200]), (None, c[:200]), (2, h.prose(810, 90)[:200])])
+
+
+def test_helper_columns_do_not_clash(spark):
+    text = h.prose(820, 60)
+    rows = [(1, text, "a", "b", 3), (2, text, "c", "d", 4), (2, text, "c", "d", 4), (3, h.prose(821, 60), "e", "f", 5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, one_text string, gone_id string, one_rid bigint").withColumn("gone_rid", F.lit(1)).withColumn("one_id", F.lit(2))
+    for stage in (corpus_pipeline.exact, corpus_pipeline.near):
+        docs = stage(spark, docs, "")
+        assert docs.columns == ["doc_id", "text", "one_text", "gone_id", "one_rid", "gone_rid", "one_id"]
+        assert sorted((r.doc_id, r.one_text) for r in docs.collect()) == [(2, "c"), (3, "e")]
