@@ -59,32 +59,33 @@ def mean_of_top(
 ) -> DataFrame:
     """Mean of the largest values per key, their number given by ``wanted`` (an expression over ``n``).
 
-    Equal values are merged first, then a bounded histogram finds the bucket where the count is
-    reached; only the distinct values of that bucket are ranked. Exact for any size of group.
+    Equal values are merged first, once. A histogram finds the bucket where the count is reached, a finer one is laid inside
+    that bucket, and so on until it holds no more different values than a histogram has buckets: only these are ranked. No
+    task sees more than that of a key, and the answer is exact.
     """
-    width = (hi - lo) / buckets
-    bucket = F.least(F.lit(buckets - 1), F.floor((F.col("_v") - lo) / width)).cast("int")
-    merged = (
-        df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v"))
-        .agg(F.count("*").alias("_c")).withColumn("_b", bucket)
-    )
-    hist = merged.groupBy(*keys, "_b").agg(F.sum("_c").alias("_c"), F.sum(F.col("_c") * F.col("_v")).alias("_s"))
+    merged = cut_lineage(df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
+    totals = merged.groupBy(*keys).agg(F.sum("_c").alias("n")).withColumn("_k", F.least(wanted, F.col("n")).cast("bigint"))
+    inside = merged.withColumns({"_lo": F.lit(float(lo)), "_w": F.lit(float(hi - lo) / buckets)})
+    state = totals.withColumns({"_need": F.col("_k"), "_above": F.lit(0.0)})
     down = W.partitionBy(*keys).orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    hist = (
-        hist.withColumn("n", F.sum("_c").over(W.partitionBy(*keys)))
-        .withColumn("_k", F.least(wanted, F.col("n")).cast("bigint"))
-        .withColumn("_upto", F.sum("_c").over(down))
-        .withColumn("_sum_upto", F.sum("_s").over(down))
-        .filter(F.col("_upto") - F.col("_c") < F.col("_k"))
-    )
-    edge = hist.filter(F.col("_upto") >= F.col("_k")).select(
-        *keys, "_b", "n", "_k",
-        (F.col("_k") - F.col("_upto") + F.col("_c")).alias("_need"),
-        (F.col("_sum_upto") - F.col("_s")).alias("_above"),
-    )
-    inside = merged.join(edge, [*keys, "_b"])
+    while True:
+        place = F.floor((F.col("_v") - F.col("_lo")) / F.col("_w"))
+        placed = inside.withColumn("_b", F.greatest(F.lit(0), F.least(F.lit(buckets - 1), place)).cast("int"))
+        hist = placed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_c"), F.sum(F.col("_c") * F.col("_v")).alias("_s"), F.count(F.lit(1)).alias("_different"))
+        upto = hist.withColumns({"_upto": F.sum("_c").over(down), "_sum_upto": F.sum("_s").over(down)}).join(state, keys)
+        edge = cut_lineage(upto.filter((F.col("_upto") >= F.col("_need")) & (F.col("_upto") - F.col("_c") < F.col("_need"))).select(
+            *keys, "_b", "n", "_k", (F.col("_need") - F.col("_upto") + F.col("_c")).alias("_need"),
+            (F.col("_above") + F.col("_sum_upto") - F.col("_s")).alias("_above"), "_different",
+        ))
+        inside = cut_lineage(placed.join(edge.select(*keys, "_b"), [*keys, "_b"]).select(
+            *keys, "_v", "_c", (F.col("_lo") + F.col("_b") * F.col("_w")).alias("_lo"), (F.col("_w") / buckets).alias("_w")
+        ))
+        state = edge.drop("_b", "_different")
+        most, finest = edge.agg(F.max("_different")).first()[0] or 0, inside.agg(F.min("_w")).first()[0] or 0.0
+        if most <= buckets or finest < 1e-300:
+            break
     ranked = W.partitionBy(*keys).orderBy(F.desc("_v")).rowsBetween(W.unboundedPreceding, -1)
-    taken = inside.withColumn("_before", F.coalesce(F.sum("_c").over(ranked), F.lit(0))).withColumn(
+    taken = inside.join(state, keys).withColumn("_before", F.coalesce(F.sum("_c").over(ranked), F.lit(0))).withColumn(
         "_take", F.greatest(F.lit(0), F.least(F.col("_c"), F.col("_need") - F.col("_before")))
     )
     return taken.groupBy(*keys, "n", "_k", "_above").agg(F.sum(F.col("_take") * F.col("_v")).alias("_part")).select(

@@ -41,22 +41,35 @@ def _text(html: Column) -> Column:
 # ---- storefront tables ----------------------------------------------------
 
 def storefront_rows(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Main rows with the detail row that follows them."""
+    """Main rows, numbered by their place among all rows, with the first detail row that follows them.
+
+    A detail row closes the run of rows before it, so the number of its run leads a row to its detail: no row looks through
+    the others.
+    """
     rows = F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>.*?</tr>"), F.lit(0))
     rows = F.transform(rows, lambda r, i: F.struct(
         i.alias("pos"), r.alias("html"), F.regexp_extract(r, r"(?is)^<tr([^>]*)>", 1).alias("head")
     ))
 
+    def is_detail(row: Column) -> Column:
+        return row["head"].contains("expand-row")
+
+    def numbered(pack: Column) -> Column:
+        marks = F.array_join(F.transform(pack["rows"], lambda r: F.when(is_detail(r), "d").otherwise("-")), "")
+        runs = F.flatten(F.transform(F.split(marks, "(?<=d)"), lambda run, k: F.array_repeat(k, F.length(run))))
+        details = F.filter(pack["rows"], is_detail)
+        return F.transform(F.array(F.struct(pack["rows"].alias("rows"), runs.alias("runs"), details.alias("details"))), with_detail)
+
     def with_detail(pack: Column) -> Column:
-        mains = F.filter(pack["rows"], lambda r: r["head"].contains("main-row"))
+        # a main row that is a detail row too looks for the next one
+        in_run = F.zip_with(pack["rows"], pack["runs"], lambda r, k: F.struct(r.alias("row"), (k + is_detail(r).cast("int")).alias("run")))
+        mains = F.filter(in_run, lambda m: m["row"]["head"].contains("main-row"))
         return F.transform(mains, lambda m: F.struct(
-            m["pos"].alias("pos"), F.regexp_extract_all(m["html"], F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1)).alias("cells"),
-            F.try_element_at(F.filter(
-                pack["rows"], lambda r: (r["pos"] > m["pos"]) & r["head"].contains("expand-row")
-            ), F.lit(1))["html"].alias("expand"),
+            m["row"]["pos"].alias("pos"), F.regexp_extract_all(m["row"]["html"], F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1)).alias("cells"),
+            F.get(pack["details"], m["run"])["html"].alias("expand"),
         ))
 
-    packed = F.flatten(F.transform(F.array(F.struct(rows.alias("rows"))), with_detail))
+    packed = F.flatten(F.flatten(F.transform(F.array(F.struct(rows.alias("rows"))), numbered)))
     keys = [c for c in pages.columns if c != html]
     return pages.select(*keys, F.inline_outer(packed)).filter(F.col("pos").isNotNull())
 

@@ -266,6 +266,15 @@ def test_storefront_rows(spark):
     ]
 
 
+def test_long_storefront_pages_parse_in_linear_time(spark):
+    n = 20_000
+    mains = "".join(f'<tr class="main-row"><td>{i}</td></tr>' + (f'<tr class="expand-row"><td>d{i}</td></tr>' if i % 3 == 2 else "") for i in range(n))
+    start = time.time()
+    rows = ls.storefront_rows(spark.createDataFrame([(f"<table>{mains}</table>",), ("",), (None,)], "html string")).orderBy("pos").collect()
+    assert [(r.cells[0], r.expand and r.expand[27:-10]) for r in rows] == [(str(i), f"d{i - i % 3 + 2}" if i - i % 3 + 2 < n else None) for i in range(n)]
+    assert time.time() - start < 60  # looking through all rows for each takes many times that
+
+
 def test_listing_pages(spark):
     def item(title, header="", sid=None, info=""):
         link = f'<a href="BookSchedule.asp?ScheduleID={sid}">b</a>' if sid else ""

@@ -106,6 +106,13 @@ def test_mean_of_top_with_ties_and_hot_values(spark):
     assert 8 not in got
 
 
+def test_mean_of_top_with_a_million_values_in_one_bucket(spark):
+    df = spark.range(1_000_000).select(F.lit(1).alias("d"), (F.lit(5.0) + F.col("id") / 1e12).alias("v")).unionAll(spark.createDataFrame([(1, 9.0), (1, 1.0)], "d int, v double"))
+    got = sc.mean_of_top(df, ["d"], "v", F.floor(F.col("n") / 2), 0.0, 10.0, 256).first()
+    top = [9.0] + [5.0 + i / 1e12 for i in range(500_000, 1_000_000)]
+    assert (got.n, got.k) == (1_000_002, 500_001) and got.mean == pytest.approx(math.fsum(top) / len(top), rel=1e-12)
+
+
 def test_nearest_feature_in_a_crowded_cell(spark):
     rng = random.Random(11)
     # a third of the features in one spot's surroundings, copies included, the rest scattered
