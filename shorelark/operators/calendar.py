@@ -6,6 +6,7 @@ Entries: one row per event and day, with day, cont (not the first day) and span_
 
 from __future__ import annotations
 
+import re
 import warnings
 from collections.abc import Iterable
 
@@ -113,17 +114,69 @@ def month_state(entries: DataFrame, shown: DataFrame, month: str) -> DataFrame:
 
 # ---- hides ----------------------------------------------------------------
 
+#: Rules with a literal up to this number are one predicate; more are looked up by a piece of their literal.
+DIRECT_RULES = 50
+#: Rules that are tried in one plan.
+TRIED = 200
+
+
 def valid_rules(spark: SparkSession, rules: Iterable[tuple[str, str]]) -> list[tuple[str, str]]:
-    """Rules whose pattern the engine that runs it accepts; the others are reported and dropped."""
-    kept, probe = [], spark.range(1)
-    for source, pattern in rules:
+    """Rules whose pattern the engine that runs it accepts; the others are reported and dropped. Rules are tried many at
+    a time, and only a failure is searched for by halves."""
+    def tried(part: list[tuple[str, str]]) -> list[tuple[str, str]]:
         try:
-            probe.select(F.lit("x").rlike(f"(?i){pattern}")).collect()
+            # constants: the optimizer runs them, so a bad one fails the plan and no task
+            spark.range(1).select(F.array(*[F.lit("x").rlike(f"(?i){p}") for _, p in part])).collect()
         except PySparkException as e:
-            warnings.warn(f"hide rule {pattern!r} of {source!r} is dropped: {str(e)[:80]}", stacklevel=2)
-            continue
-        kept.append((source, pattern))
-    return kept
+            if len(part) == 1:
+                warnings.warn(f"hide rule {part[0][1]!r} of {part[0][0]!r} is dropped: {str(e)[:80]}", stacklevel=3)
+                return []
+            return tried(part[: len(part) // 2]) + tried(part[len(part) // 2:])
+        return part
+
+    rules = list(rules)
+    return [r for at in range(0, len(rules), TRIED) for r in tried(rules[at:at + TRIED])]
+
+
+def required_literal(pattern: str) -> str:
+    """The longest text that every match of a pattern holds, in lower case; empty where that can't be told at a glance."""
+    if re.search(r"[|()\[\]{}#]|\\[^bBdDwWsS.$^*+?\-]", pattern):
+        return ""
+    pieces, at = [""], 0
+    while at < len(pattern):
+        c, at = pattern[at], at + 1
+        if c == "\\":
+            c, at = pattern[at:at + 1], at + 1
+            literal = c in ".$^*+?-"
+        else:
+            literal = c not in ".^$*+?"
+        if at < len(pattern) and pattern[at] in "*?":
+            literal = False
+        pieces[-1] += c if literal else ""
+        if not literal or pattern[at:at + 1] == "+":
+            pieces.append("")
+    return max(pieces, key=len).lower()
+
+
+def rule_matches(titles: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """(source, _t, rule): titles with the numbers of the rules they match, for rules that have a literal of three characters.
+
+    A rule waits at the first three characters of its literal; a title comes to each three that it holds, and the pattern
+    runs only where the whole literal is found.
+    """
+    rows = [(i, s, p, required_literal(p)) for i, (s, p) in enumerate(rules)]
+    waiting = parameter_frame(titles.sparkSession, [(*r, r[3][:3]) for r in rows], "rule int, rs string, pattern string, literal string, gram string")
+    low = F.lower("_t")
+    starts = F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1)))
+    grams = F.array_distinct(F.transform(starts, lambda i: F.substr(low, i, F.lit(3))))
+    met = titles.withColumn("gram", F.explode(grams)).join(waiting, "gram").filter("rs = '*' or rs = source")
+    return met.filter(F.contains(low, "literal") & F.rlike("_t", F.concat(F.lit("(?i)"), "pattern"))).select("source", "_t", "rule")
+
+
+def _by_literal(rules: list[tuple[str, str]]) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """Rules to be looked up, and rules to be run on every title."""
+    told = [r for r in rules if len(required_literal(r[1])) >= 3]
+    return (told, [r for r in rules if len(required_literal(r[1])) < 3]) if len(told) > DIRECT_RULES else ([], rules)
 
 
 def rule_hit(source: str, pattern: str) -> Column:
@@ -145,10 +198,15 @@ def hide_exact(events: DataFrame, pairs: Iterable[tuple[str, str]]) -> DataFrame
 
 
 def hide_by_rule(events: DataFrame, rules: Iterable[tuple[str, str]]) -> DataFrame:
-    """Drop events that any rule matches: one predicate, no join."""
-    for source, pattern in valid_rules(events.sparkSession, rules):
+    """Drop events that any rule matches: few rules are one predicate, many are looked up by their literals."""
+    told, direct = _by_literal(valid_rules(events.sparkSession, rules))
+    for source, pattern in direct:
         events = events.filter(~F.coalesce(rule_hit(source, pattern), F.lit(False)))
-    return events
+    if not told:
+        return events
+    named = events.withColumn("_t", tx.normal_title(F.col("title")))
+    hidden = rule_matches(named.select("source", "_t").distinct(), told).select("source", "_t").distinct()
+    return named.join(hidden, ["source", "_t"], "left_anti").select(events.columns)
 
 
 def hide(events: DataFrame, pairs: Iterable[tuple[str, str]], rules: Iterable[tuple[str, str]]) -> DataFrame:
@@ -169,16 +227,23 @@ def hidden_pair_counts(events: DataFrame, pairs: Iterable[tuple[str, str]]) -> D
 
 
 def hidden_rule_counts(events: DataFrame, rules: Iterable[tuple[str, str]]) -> DataFrame:
-    """Events per rule, all rules in one pass over the events."""
-    kept = valid_rules(events.sparkSession, rules)
-    if not kept:
-        return events.sparkSession.createDataFrame([], "source string, pattern string, n bigint")
-    one = events.agg(*[F.count_if(rule_hit(s, p)).alias(f"_{i}") for i, (s, p) in enumerate(kept)])
-    rows = F.array(*[
-        F.struct(F.lit(s).alias("source"), F.lit(p).alias("pattern"), F.col(f"_{i}").alias("n"))
-        for i, (s, p) in enumerate(kept)
-    ])
-    return one.select(F.inline(rows))
+    """Events per rule: few rules in one pass over the events, many by their literals."""
+    spark = events.sparkSession
+    told, direct = _by_literal(valid_rules(spark, rules))
+    out = spark.createDataFrame([], "source string, pattern string, n bigint")
+    if direct:
+        one = events.agg(*[F.count_if(rule_hit(s, p)).alias(f"_{i}") for i, (s, p) in enumerate(direct)])
+        rows = F.array(*[
+            F.struct(F.lit(s).alias("source"), F.lit(p).alias("pattern"), F.col(f"_{i}").alias("n"))
+            for i, (s, p) in enumerate(direct)
+        ])
+        out = one.select(F.inline(rows))
+    if told:
+        titles = events.groupBy("source", tx.normal_title(F.col("title")).alias("_t")).agg(F.count(F.lit(1)).alias("n"))
+        counts = rule_matches(titles.select("source", "_t"), told).join(titles, ["source", "_t"]).groupBy("rule").agg(F.sum("n").alias("n"))
+        listed = parameter_frame(spark, [(i, s, p) for i, (s, p) in enumerate(told)], "rule int, source string, pattern string")
+        out = out.unionByName(listed.join(counts, "rule", "left").select("source", "pattern", F.coalesce("n", F.lit(0)).alias("n")))
+    return out
 
 
 # ---- counts and orders ----------------------------------------------------

@@ -143,6 +143,23 @@ def test_day_order_and_cells(spark):
     assert cells == [("2024-01-01", o, 2) for o in (5, 3, 4, 2)] + [("2024-01-02", 7, 0)]
 
 
+def test_required_literals():
+    told = {"Gear Hire": "gear hire", r"night.dive": "night", r"wrecks?": "wreck", r"^deep+ dive$": " dive", "a|b": "", "(x)yz": "", r"\bcave\b": "cave", "x*": "", r"2\.5 m": "2.5 m"}
+    assert {p: cal.required_literal(p) for p in told} == told
+
+
+def test_many_rules_need_no_job_each(spark):
+    titles = ["Reef dive 17", "Reef dive 18", "Gear Hire", "Old wreck tour 4711", "Night", None]
+    df = spark.createDataFrame([(i, "s" if i % 2 else "r", t, "2024-01-01", None, True, None, None, None) for i, t in enumerate(titles)], EVENTS)
+    rules = [("*", f"tour {i}$") for i in range(4000, 5000)] + [("r", f"^reef dive {i}") for i in range(17, 1000)] + [("s", r"ni.ht|gear"), ("*", "(["), ("s", "reef +dive 18")]
+    start = time.time()
+    with pytest.warns(UserWarning):
+        kept = [r.ord for r in cal.hide_by_rule(df, rules).orderBy("ord").collect()]
+        counts = {(r.source, r.pattern): r.n for r in cal.hidden_rule_counts(df, rules).filter("n > 0").collect()}
+    assert kept == [2, 4, 5] and time.time() - start < 90
+    assert counts == {("*", "tour 4711$"): 1, ("r", "^reef dive 17"): 1, ("s", "reef +dive 18"): 1}
+
+
 def test_invalid_rules_are_dropped(spark):
     df = spark.createDataFrame([event(1, "2024-01-01", title="Gear Hire (Sold Out)"), event(2, "2024-01-01", title="Dive")], EVENTS)
     assert [r.ord for r in cal.hide(df, [], [("*", "(["), ("*", "hire$"), ("other", "dive")]).collect()] == [2]
