@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import time
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -52,14 +51,15 @@ class BatchTable:
     """A keyed table kept as what arrived: every batch adds its rows, and the winner of a key is chosen on reading.
 
     A batch owns the folder named by its checkpoint and its number. Replayed, it writes that folder again; a new
-    checkpoint starts folders of its own, so nothing of an earlier run is overwritten or forgotten.
+    checkpoint starts folders of its own, so nothing of an earlier run is overwritten or forgotten. Batches are numbered as
+    they arrive, whatever the clock says; a replayed batch keeps its number.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: str):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
 
     def arrived(self) -> DataFrame:
-        """All rows with arrival (milliseconds), run and batch."""
+        """All rows with arrival (the number of their batch in the order of arrival), run and batch."""
         kept = f"{self.schema}, arrival bigint, run string, batch bigint"
         try:
             return self.spark.read.schema(kept).parquet(self.path)
@@ -69,9 +69,11 @@ class BatchTable:
             return self.spark.createDataFrame([], kept)
 
     def add(self, df: DataFrame, run: str, batch: int) -> None:
-        now = F.lit(int(time.time() * 1000)).alias("arrival")
+        same = (F.col("run") == run) & (F.col("batch") == batch)
+        last, own = self.arrived().agg(F.max("arrival"), F.max(F.when(same, F.col("arrival")))).first()
+        number = own if own is not None else (last or 0) + 1
         columns = self.spark.createDataFrame([], self.schema).columns
-        df.select(*columns, now).write.mode("overwrite").parquet(f"{self.path}/run={run}/batch={batch}")
+        df.select(*columns, F.lit(number).cast("bigint").alias("arrival")).write.mode("overwrite").parquet(f"{self.path}/run={run}/batch={batch}")
 
     def compacted(self, path: str, winners: Callable[[DataFrame], DataFrame]) -> BatchTable:
         """A new table that holds only the winners; they have arrived before anything that is added to it."""
@@ -96,7 +98,7 @@ def maintain(stream: DataFrame, table: BatchTable, state: str) -> None:
 def append_only(arrived: DataFrame) -> DataFrame:
     """Located entries are never overwritten, failed ones retried: the first batch that located a place has it.
 
-    Of several answers in one batch the largest holds.
+    Batches come in the order of their numbers; of several answers in one batch the largest holds.
     """
     found = F.col("lat").isNotNull()
     order = F.struct(-F.col("arrival"), "run", "batch", "lat", "lng")

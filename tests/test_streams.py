@@ -61,6 +61,16 @@ def test_a_replayed_batch_counts_once(spark):
     assert table.arrived().count() == 3 and located(table) == {"a": 1.0, "b": None}
 
 
+def test_batches_win_in_the_order_they_arrive(spark):
+    # run names fall, answers rise, and all is added within moments: only the order of arrival may count
+    table = st.BatchTable(spark, scratch_path(spark, "order"), "loc string, lat double, lng double")
+    for run, batch, rows in (("z", 0, [("b", None, None)]), ("y", 5, [("a", 1.0, 1.0)]), ("x", 0, [("a", 2.0, 2.0), ("b", 3.0, 3.0)]), ("a", 9, [("b", 4.0, 4.0)])):
+        table.add(spark.createDataFrame(rows, table.schema), run, batch)
+    table.add(spark.createDataFrame([("a", 1.5, 1.5)], table.schema), "y", 5)  # a replay keeps its place
+    assert located(table) == {"a": 1.5, "b": 3.0}
+    assert {(r.run, r.arrival) for r in table.arrived().select("run", "arrival").collect()} == {("z", 1), ("y", 2), ("x", 3), ("a", 4)}
+
+
 def test_first_seen_with_bounded_memory(spark):
     drop, (path, state) = scratch_path(spark, "drop"), st.stream_paths(spark, "out")
     schema = "name string, at timestamp"
