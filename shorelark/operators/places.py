@@ -508,14 +508,23 @@ def unresolved(cache: DataFrame) -> DataFrame:
     return cache.filter(F.col("lat").isNull()).select("loc")
 
 
-def changed_rows(old: DataFrame, new: DataFrame) -> DataFrame:
+def changed_rows(old: DataFrame, new: DataFrame, buckets: int = 4096) -> DataFrame:
     """Rows whose number differs between two snapshots; empty means unchanged.
 
-    Signed counts need one aggregation with map-side combine instead of two multiset differences.
+    Rows fall into buckets by their hash. A bucket's count and two sums of hashes don't depend on order; where both
+    snapshots agree in them nothing has changed. Only rows of the other buckets are compared, by signed counts that combine
+    before the shuffle: equal snapshots shuffle sums alone.
     """
     cols = new.columns
     both = old.select(*cols).withColumn("_n", F.lit(-1)).unionByName(new.withColumn("_n", F.lit(1)))
-    return both.groupBy(*cols).agg(F.sum("_n").alias("delta")).filter(F.col("delta") != 0)
+    # a null leaves a hash as it is, so which columns are null is hashed as well
+    parts = [*[F.col(c) for c in cols], *[F.col(c).isNull() for c in cols]]
+    both = both.withColumns({"_h": F.xxhash64(*parts), "_g": F.xxhash64(F.lit(1), *parts)}).withColumn("_bucket", F.pmod("_h", F.lit(buckets)))
+    signed = [F.sum((F.col(h).cast("decimal(20,0)") * F.col("_n")).cast("decimal(38,0)")).alias(h) for h in ("_h", "_g")]
+    sums = both.groupBy("_bucket").agg(F.sum("_n").alias("_n"), *signed)
+    differing = sums.filter("_n <> 0 or _h <> 0 or _g <> 0").select("_bucket")  # a row for each bucket at most
+    rest = both.join(F.broadcast(differing), "_bucket", "left_semi")
+    return rest.groupBy(*cols).agg(F.sum("_n").alias("delta")).filter(F.col("delta") != 0)
 
 
 def snapshot_changed(old: DataFrame, new: DataFrame) -> bool:

@@ -261,3 +261,17 @@ def test_places_in_a_total_order(spark):
     want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
     assert got == {i: n for n, (i, _) in enumerate(want, 1)}
     assert sc.global_position(df.limit(0), [F.col("i")]).count() == 0
+
+
+def test_changed_rows_between_snapshots(spark):
+    schema = "a string, b string, n int"
+    rows = [(f"a{i}", None if i % 3 else f"b{i}", i % 5) for i in range(2000)] + [("x", None, 1), ("x", None, 1)]
+    old = spark.createDataFrame(rows, schema).repartition(5)
+    same = spark.createDataFrame(rows[::-1], schema).repartition(3)
+    assert pl.changed_rows(old, same).count() == 0 and not pl.snapshot_changed(old, same)
+    # one row less of two equal ones, one value that changes its column, one new row
+    new = spark.createDataFrame([*rows[1:-1], (None, "a0", 0), ("y", None, None)], schema)
+    got = {(r.a, r.b, r.n): r.delta for r in pl.changed_rows(old, new).collect()}
+    assert got == {("a0", "b0", 0): -1, (None, "a0", 0): 1, ("x", None, 1): -1, ("y", None, None): 1}
+    moved = pl.changed_rows(spark.createDataFrame([("v", None, 1)], schema), spark.createDataFrame([(None, "v", 1)], schema))
+    assert moved.count() == 2
