@@ -106,12 +106,13 @@ def decode_entities(c: Column) -> Column:
         return (
             F.when(i == 0, p)
             .when(p.rlike(numeric), F.concat(number(p), F.regexp_replace(p, numeric, "")))
-            .when(name(p).isNotNull(), F.concat(name(p), F.regexp_replace(p, closed, "")))
-            .when(p.rlike(bare), F.concat(bare_name(p), F.regexp_replace(p, bare, "")))
-            .otherwise(F.concat(F.lit("&"), p))
+            .otherwise(let(name(p), lambda known: F.when(known.isNotNull(), F.concat(known, F.regexp_replace(p, closed, "")))
+                           .when(p.rlike(bare), F.concat(bare_name(p), F.regexp_replace(p, bare, "")))
+                           .otherwise(F.concat(F.lit("&"), p))))
         )
 
-    return F.array_join(F.transform(F.split(c, "&"), piece), "")
+    # most texts hold no reference
+    return let(c, lambda text: F.when(text.contains("&"), F.array_join(F.transform(F.split(text, "&"), piece), "")).otherwise(text))
 
 
 def html_to_line(c: Column, tag_becomes: str = " ") -> Column:
