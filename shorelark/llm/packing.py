@@ -53,15 +53,15 @@ def best_cuts(cuts: np.ndarray, price: np.ndarray, capacity: int) -> list[int]:
 
 def candidates(ids: np.ndarray, doc_ends: np.ndarray, sentence_end: np.ndarray, capacity: int, prices: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
     """Positions where a sequence may end, and their prices; hard cuts only where a window has no better place."""
-    soft = np.flatnonzero(sentence_end[ids]) + 1
-    cuts = np.union1d(soft, doc_ends)
-    edges = np.concatenate([[0], cuts])
+    kind = np.zeros(len(ids) + 1, np.int8)  # 1 after a sentence, 2 after a document, 3 elsewhere
+    kind[1:] = sentence_end[ids]
+    kind[doc_ends] = 2
+    edges = np.concatenate([[0], np.flatnonzero(kind)])
     wide = np.flatnonzero(np.diff(edges) > capacity // 16)
-    if len(wide):  # long stretches without a boundary: a grid of hard cuts inside them
-        cuts = np.union1d(cuts, np.concatenate([np.arange(edges[i], edges[i + 1], capacity // 16)[1:] for i in wide]))
-    price = np.full(len(cuts), prices[1])
-    price[np.isin(cuts, soft)] = prices[0]
-    price[np.isin(cuts, doc_ends)] = 0
+    for i in wide:  # long stretches without a boundary: a grid of hard cuts inside them
+        kind[np.arange(edges[i], edges[i + 1], capacity // 16)[1:]] = 3
+    cuts = np.flatnonzero(kind)
+    price = np.array([0, prices[0], 0, prices[1]])[kind[cuts]]
     return cuts, price
 
 
@@ -83,7 +83,7 @@ class _Packer:
     def __init__(self, task: int, sentence_end: np.ndarray, capacity: int, prices: tuple[float, float]):
         self.sequence, self.sentence_end, self.capacity, self.prices = task << 32, sentence_end, capacity, prices
         self.docs: list[tuple[int | None, int, int]] = []  # (id, ids of it that are out already, all its ids)
-        self.ids = np.zeros(0, np.uint32)
+        self.ids = np.zeros(0, "<u4")
 
     def add(self, doc_id: int | None, ids: np.ndarray, parts: list[np.ndarray]) -> None:
         self.docs.append((doc_id, 0, len(ids)))
@@ -114,7 +114,7 @@ class _Packer:
             while at < end:
                 doc_id, _, n = self.docs[k]
                 stop = min(end, ends_of[k])
-                crc = zlib.crc32(ids[at:stop].astype("<u4").tobytes())
+                crc = zlib.crc32(ids[at:stop])
                 rows.append((doc_id, n - (ends_of[k] - at), stop - at, crc, n, self.sequence, at - begin))
                 at = stop
                 k += at == ends_of[k]

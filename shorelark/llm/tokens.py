@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -11,8 +12,10 @@ SPACE = "\t-\r \x85\xa0  -     　"
 LAST_PLAIN = "\u052f"  # up to here (Latin, Greek, Cyrillic) all tables agree on what is a letter
 SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
-#: Pieces remembered by a Python worker, some 200 bytes each.
-REMEMBERED = 300_000
+#: Pieces in each of the two generations that a Python worker remembers, some 200 bytes a piece.
+REMEMBERED = 500_000
+#: Longer texts are encoded in stretches of about this many characters.
+STRETCH = 1 << 20
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -21,6 +24,17 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class _Known(dict):
+    """Ids of pieces; an unknown piece is taken from the generation before, or made."""
+
+    def __init__(self, make: Callable[[str], bytes], before: dict[str, bytes]):
+        self.make, self.before = make, before
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = self.before.get(piece) or self.make(piece)
+        return ids
+
+
 class Encoder:
     """Ids as little-endian unsigned 32-bit bytes.
 
@@ -39,7 +53,8 @@ class Encoder:
         hidden = iter(range(256, 512))
         self.letters = {b: chr(b if b in SHOWN else next(hidden)) for b in range(256)}
         self.tokens = [int(i).to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.cache: dict[str, bytes] = {}
+        self.joint = re.compile(f"(?<=[^{SPACE}]) (?=[^{SPACE}])")
+        self.cache = _Known(self._piece, {})
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -50,26 +65,36 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         """Ids of letters with at most one space before them: nothing to split."""
-        shown = word.encode().decode("latin-1").translate(self.letters)
+        if word.isascii():
+            shown = word.replace(" ", self.letters[32])
+        else:
+            shown = word.encode().decode("latin-1").translate(self.letters)
         return b"".join([self.tokens[t.id] for t in self.tokenizer.model.tokenize(shown)])
 
     def _piece(self, piece: str) -> bytes:
         word = piece.rstrip(".,;:!?")
         letters = word[1:] if word[:1] == " " else word
-        if not letters.isalpha() or max(letters) > LAST_PLAIN:
-            ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        elif word == piece:
-            ids = self._word(piece)
-        else:
-            end = piece[len(word):]
-            ids = (self.cache.get(word) or self._piece(word)) + (self.cache.get(end) or self._piece(end))
-        if len(self.cache) < REMEMBERED:
-            self.cache[piece] = ids
-        return ids
+        if not letters.isalpha() or not letters.isascii() and max(letters) > LAST_PLAIN:
+            return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        if word == piece:
+            return self._word(piece)
+        return self.cache[word] + self.cache[piece[len(word):]]
+
+    def _stretches(self, text: str) -> Iterator[str]:
+        """A long text in parts that begin where a piece does."""
+        start = 0
+        while len(text) - start > STRETCH and (cut := self.joint.search(text, start + STRETCH)):
+            yield text[start:cut.start()]
+            start = cut.start()
+        yield text[start:]
 
     def encode(self, text: str) -> bytes:
-        get, make = self.cache.get, self._piece
-        return b"".join([get(p) or make(p) for p in self.pieces.findall(text)])
+        out = []
+        for part in self._stretches(text):
+            if len(self.cache) > REMEMBERED:
+                self.cache = _Known(self._piece, dict(self.cache))
+            out.append(b"".join(map(self.cache.__getitem__, self.pieces.findall(part))))
+        return out[0] if len(out) == 1 else b"".join(out)
 
     def ending(self, marks: str) -> np.ndarray:
         """By id: whether the token's last character is one of the marks."""

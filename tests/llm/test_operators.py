@@ -21,6 +21,7 @@ from shorelark.llm.line_dedup import line_dedup
 from shorelark.llm.packing import best_cuts, pack
 from shorelark.llm.simhash import anchors, blocks, forest, near_copies, simhash_dedup
 from shorelark.llm.token_files import read_token_files, write_token_files
+from shorelark.llm import tokens
 from shorelark.llm.tokens import Encoder, vocabulary
 from shorelark.llm.warc_audit import audit, copy_archive, leaves, record, write_archive
 from shorelark.session import scratch_path
@@ -310,6 +311,15 @@ def test_encoder_like_the_library(tokenizer):
         assert np.frombuffer(encoder.encode(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_long_texts_in_stretches_and_forgotten_pieces(tokenizer, monkeypatch):
+    monkeypatch.setattr(tokens, "STRETCH", 40)
+    monkeypatch.setattr(tokens, "REMEMBERED", 5)
+    encoder = Encoder(vocabulary())
+    for t in ("one two  three\nfour, five. " * 30, "x" * 300 + " y" * 90, "Ünïcode 字 don't 3.14 ...  " * 20, "\n \t" * 60, "a\u3000b c" * 40):
+        assert np.frombuffer(encoder.encode(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+    assert len(encoder.cache) < 100
+
+
 def encoded(tokenizer, text, end):
     return [*tokenizer.encode(text or "", add_special_tokens=False).ids, end]
 
