@@ -20,17 +20,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shorelark.llm.common import byte_texts, components, identified, looked_up
+from shorelark.llm.common import byte_texts, components, identified, looked_up, signed
 from shorelark.session import cut_lineage
 
 SALTS = 16
 MOST_BITS = 3
 #: Near copies have at least so many hundredths of their shingles in common.
 LEAST_ALIKE = 80
-#: Rows in which frequent shingles are counted, about, and how many of these are told apart. Neither changes a result.
-SAMPLE, FREQUENT = 8000, 100_000
-#: Shingles that so many rows of the sample have are crowded: no task gathers all rows of one.
-CROWDED = 8
+#: Shingles of so many texts are crowded; so many crowded ones, the most frequent, are known to every task. Neither changes a result.
+CROWDED, FREQUENT = 4, 250_000
+#: Shingles are counted if their hashes are below this, half of all: prefixes are a fifth of a set.
+COUNTED = np.uint64(1 << 63)
 #: Ids of texts that are sent to every task; more are joined.
 SENT = 1_000_000
 #: Anchors with more fingerprints are split by the bits of the other half before they are compared.
@@ -267,25 +267,35 @@ def lists(found: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)))
 
 
-def frequent(given: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that are frequent in a bounded sample of the rows, ascending, and how often they are."""
-    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets, _ in shingle_sets(batches, words):
-            for s in sets:
-                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], names=["key"])
+def frequent(given: DataFrame, words: int, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent of the counted shingles that are crowded, ascending, up to ``most``, and how many rows have each.
 
-    sample = given.filter(F.pmod("rid", F.lit(max(1, given.count() // SAMPLE))) == 0)
-    counts = sample.select("text").mapInArrow(exploded, "key long").groupBy("key").count().filter("count > 1")
-    top = counts.orderBy(F.desc("count"), "key").limit(FREQUENT).collect()
-    keys, n = np.array([r["key"] for r in top], np.int64).view(np.uint64), np.array([r["count"] for r in top], np.int64)
-    order = np.argsort(keys)
-    return keys[order], n[order]
+    All rows are counted. Counts are parted by eighths of their binary logarithm, and the upper parts taken that fit together.
+    """
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets, _ in shingle_sets(batches, words):
+            keys = np.concatenate([np.zeros(0, np.uint64), *(s[:np.searchsorted(s, COUNTED)] for s in sets)])
+            yield pa.RecordBatch.from_arrays([signed(keys)], names=["key"])
+
+    counts = given.select("text").mapInArrow(counted, "key long").groupBy("key").count().filter(F.col("count") >= CROWDED)
+    counts = cut_lineage(counts.withColumn("part", F.floor(F.log2("count") * 8)))
+    least = taken = 0
+    for r in sorted(counts.groupBy("part").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["part"]):
+        taken += r["n"]
+        if taken > most:
+            least = r["part"] + 1
+            break
+    top = counts.filter(F.col("part") >= least).select("key", "count").toArrow()
+    keys, n = (top.column(c).to_numpy() for c in ("key", "count"))
+    order = np.argsort(keys.view(np.uint64))
+    return keys.view(np.uint64)[order], n[order]
 
 
 def prefixes(given: DataFrame, words: int, least: int) -> DataFrame:
     """doc_id, rid, node (hash of the set of shingles), n (its size), fp (its fingerprint), bits (its sketch) and keys, the set's first
-    shingles in the order from rare to frequent, of which the first ``rare`` are not crowded: two sets that are ``least``
-    hundredths alike have one of these in common.
+    shingles in the order from rare to frequent, of which the first ``rare`` are known not to be crowded: two sets that are
+    ``least`` hundredths alike have one of these in common. Shingles that aren't counted come after those that are, before
+    the crowded ones.
 
     A sketch has two bits or more for each shingle, their number a power of two, and tells of each bit whether an odd number
     of shingles have it as remainder. Its halves, xor-ed, are the sketch of half the size.
@@ -296,9 +306,11 @@ def prefixes(given: DataFrame, words: int, least: int) -> DataFrame:
         if not len(s):
             return s, 0
         at = np.minimum(np.searchsorted(hot, s), max(0, len(hot) - 1))
-        rank = np.where(hot[at] == s, often[at], 0) if len(hot) else np.zeros(len(s), np.int64)
+        rank = (s >= COUNTED).astype(np.int64)
+        if len(hot):
+            rank = np.where(hot[at] == s, often[at], rank)
         order = np.lexsort((s, rank))[:len(s) + least * len(s) // -100 + 1]
-        return s[order], int((rank[order] < CROWDED).sum())
+        return s[order], int((rank[order] == 0).sum())
 
     def sketch(s: np.ndarray) -> np.ndarray:
         size = 64 << max(3, (max(1, len(s)) // 32).bit_length())

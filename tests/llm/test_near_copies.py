@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import random
+from collections import Counter
 
 import pytest
 
-from shorelark.llm.simhash import near_copies
+from shorelark.llm import simhash
+from shorelark.llm.common import identified
+from shorelark.llm.simhash import COUNTED, CROWDED, frequent, near_copies, shingle_hashes
 from tests.llm import helpers as h
 
 
@@ -76,3 +80,23 @@ def test_a_crowd_changes_no_pair(spark, sweeps):
     rows, more = planted(), crowd()
     got = answers(spark, rows + more, sweeps=sweeps)
     assert got == expected(rows) | expected(more) and len({got[i] for i, _, _ in more}) > 1
+
+
+@pytest.mark.parametrize("most", [0, 100, 10_000])
+def test_frequent_shingles_are_counted_over_all_rows(spark, most):
+    shared = h.prose(5, 60)
+    rows = [(i, f"{shared} {h.prose(100 + i, 30)} {h.prose(50, 20) if i < 6 else ''}", "en") for i in range(40)]
+    counts = Counter(s for _, t, _ in rows for s in set(shingle_hashes(t.encode(), 5).tolist()) if s < int(COUNTED))
+    parts = Counter(int(math.log2(n) * 8) for n in counts.values() if n >= CROWDED)
+    fit = [p for p in parts if sum(n for q, n in parts.items() if q >= p) <= most]
+    keys, n = frequent(identified(h.table(spark, rows).repartition(3)), 5, most)
+    expected = {s: c for s, c in counts.items() if fit and c >= CROWDED and int(math.log2(c) * 8) >= min(fit)}
+    assert dict(zip(keys.tolist(), n.tolist(), strict=True)) == expected and keys.tolist() == sorted(expected)
+    assert len(expected) > 20 or not most
+
+
+@pytest.mark.parametrize("most", [0, 250_000])
+def test_the_order_of_prefixes_changes_no_answer(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash.frequent, "__defaults__", (most,))
+    rows = planted() + crowd()
+    assert answers(spark, rows) == expected(rows)
