@@ -277,6 +277,9 @@ PARTS = ["sea", "wind_part", "vis", "eff_sea", "eff_wind", "est_vis"]
 def best_windows(scored: DataFrame, clock: Clock, p: RatingParams = RatingParams()) -> DataFrame:
     """Best run of hours per site and day, with the day's display figures.
 
+    The highest mean wins, then the earliest start. Means that agree to nine decimals are equal: the same hours added in
+    another order differ in the last bits.
+
     Windows and the day summary are keyed by supersets of the join key, so scored hours are neither
     shuffled nor sorted again.
     """
@@ -316,7 +319,7 @@ def best_windows(scored: DataFrame, clock: Clock, p: RatingParams = RatingParams
     rad = F.radians(F.coalesce("wind_dir", F.lit(0.0)))
     best = F.max_by(
         F.struct("hour", "_w_score", "_blown", *[f"_w_{c}" for c in PARTS]),
-        F.when(startable, F.struct(F.col("_w_score"), -F.col("hour"))),
+        F.when(startable, F.struct(F.round("_w_score", 9), -F.col("hour"))),
     )
     swell = F.max_by(
         F.struct("swell_h", "swell_dir", "swell_per"), F.when(swell_known, F.struct(F.col("swell_h"), -F.col("hour")))

@@ -200,6 +200,19 @@ def test_score_caps(spark):
         assert r.got == pytest.approx(r.want) if r.want is not None else r.got is None, r.k
 
 
+def test_equal_windows_go_to_the_earliest(spark):
+    # the same three scores in both windows; added in order, the later sum is larger in its last bit
+    assert (0.3 + 0.2) + 0.1 < (0.2 + 0.1) + 0.3
+    rows = [(1, 0, "z", "z", "ocean", idx, 0, "2024-01-11", 0, 4, s, *[1.0] * 6, False, 1.0, 90.0, 8.0, 5.0, 90.0, 0.0)
+            for idx, s in enumerate([0.3, 0.2, 0.1, 0.3, 0.0, 0.0])]
+    df = spark.createDataFrame(
+        rows, "site_id int, salt int, marine_zone string, weather_zone string, body string, idx int, day int, date string, "
+        "rise int, set int, score double, sea double, wind_part double, vis double, eff_sea double, eff_wind double, est_vis double, "
+        "blown boolean, swell_h double, swell_dir double, swell_per double, wind double, wind_dir double, precip double")
+    got = cd.best_windows(df, cd.Clock(today_idx=0, now_idx=0)).first()
+    assert (got.start_h, got.end_h) == (0, 3)
+
+
 def test_bands_and_displays(spark):
     assert values(spark, [7.0, 6.99, 3.0, 0.5, None], fx.band_key, "double") == ["good", "fair", "poor", "nogo", None]
     assert values(spark, [9.94, 9.95, 0.05, None], fx.number_text, "double") == ["9.9", "10", "0.1", "-"]
