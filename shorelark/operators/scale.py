@@ -16,6 +16,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from shorelark.session import cut_lineage, parameter_frame, shuffle_partitions
 
 
+def computed_once(df: DataFrame, *columns: Column | str) -> DataFrame:
+    """A selection whose columns are computed once a row, however often later filters and columns name them.
+
+    Catalyst copies an expression into the filters above it, once for every mention; what a generator puts out it can't copy.
+    """
+    return df.select(F.inline(F.array(F.struct(*columns))))
+
+
 def global_position(df: DataFrame, order: list[Column], out: str = "position", parts: int | None = None) -> DataFrame:
     """Rows with their place (from 1) in an order over the whole table; no task sees more than its range of it.
 

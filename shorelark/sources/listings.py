@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from shorelark.functions import text as tx
 from shorelark.functions import times as tm
-from shorelark.operators.scale import first_by, forward_fill, greedy_two_key_dedupe
+from shorelark.operators.scale import computed_once, first_by, forward_fill, greedy_two_key_dedupe
+from shorelark.session import cut_lineage
 
 FALLBACK_TITLE = "Dive event"  # fixed value: title of a storefront row that has none
 ON_DEMAND_DENSITY = 0.85  # fixed value: share of window days above which an item is stock, not schedule
@@ -159,12 +160,11 @@ def api_events(records: DataFrame, origin: Origin) -> DataFrame:
 def grid_events(snippets: DataFrame, origin: Origin, ordinal: str = "ord") -> DataFrame:
     """The first link of a snippet: its text is the title, its query the preferred date and time."""
     anchor = F.regexp_extract("snippet", r"(?is)<a\b[^>]*>.*?</a>", 0)
-    href = _attribute(anchor, "href")
-    shown = F.coalesce(_text(F.regexp_extract(anchor, r"(?is)<strong[^>]*>(.*?)</strong>", 1)), F.lit(""))
-    full = F.coalesce(_text(anchor), F.lit(""))
-    base = snippets.filter(anchor != "").select(
-        ordinal, "day_key", href.alias("_href"), shown.alias("_shown"), full.alias("_full")
-    )
+    anchors = computed_once(snippets, ordinal, "day_key", anchor.alias("_anchor")).filter("_anchor <> ''")
+    href = _attribute(F.col("_anchor"), "href")
+    shown = F.coalesce(_text(F.regexp_extract("_anchor", r"(?is)<strong[^>]*>(.*?)</strong>", 1)), F.lit(""))
+    full = F.coalesce(_text(F.col("_anchor")), F.lit(""))
+    base = computed_once(anchors, ordinal, "day_key", href.alias("_href"), shown.alias("_shown"), full.alias("_full"))
     at = F.instr(F.col("_full"), F.col("_shown"))
     rest = F.when(
         (F.col("_shown") != "") & (at > 0),
@@ -175,8 +175,8 @@ def grid_events(snippets: DataFrame, origin: Origin, ordinal: str = "ord") -> Da
         tm.day_from(tx.query_value(F.col("_href"), "preferredDate"), "yyyy-MM-dd"), tm.day_from(F.col("day_key"), "MM-dd-yyyy")
     )
     minutes = F.coalesce(tm.clock_minutes(tx.query_value(F.col("_href"), "preferredTime")), tm.clock_minutes(F.col("_shown")))
-    parts = base.select(
-        ordinal, title.alias("_title"), tx.is_sold_out(F.col("_full")).alias("_sold"), day.alias("_day"), minutes.alias("_min"),
+    parts = computed_once(
+        base, ordinal, title.alias("_title"), tx.is_sold_out(F.col("_full")).alias("_sold"), day.alias("_day"), minutes.alias("_min"),
         tx.rebase_without(F.replace(F.col("_href"), F.lit(" "), F.lit("+")), origin.base, ["PHPSESSID", "iframe"]).alias("url"),
     ).filter(F.col("_title").isNotNull() & F.col("_day").isNotNull())
     return parts.select(
@@ -218,32 +218,41 @@ def listing_items(pages: DataFrame, html: str = "html") -> DataFrame:
     items = pages.select(*[c for c in pages.columns if c != html], F.posexplode_outer(blocks).alias("pos", "_b")).filter(
         F.col("pos").isNotNull()
     )
+    keys = [c for c in items.columns if c != "_b"]
     title = F.regexp_extract(_inner(F.col("_b"), "post-title"), r"(?is)<a\b[^>]*>.*?</a>", 0)
     description = F.regexp_replace(
         F.regexp_replace(_inner(F.col("_b"), "post-description"), r"(?is)<a\b[^>]*>.*?</a>", ""),
         r"(?is)<[^>]*post-read-more[^>]*>.*?</[a-z]+>", "",
     )
     booking = F.regexp_extract("_b", r"(?is)<a\b[^>]*href=[\"']([^\"']*BookSchedule\.asp[^\"']*)[\"']", 1)
-    return items.select(
-        *[c for c in items.columns if c != "_b"],
-        tx.html_to_line(_inner(F.col("_b"), "sticky-header")).alias("header"), _text(title).alias("title"),
-        _attribute(title, "href").alias("href"), tx.html_to_line(_inner(F.col("_b"), "post-info")).alias("info"),
-        _text(description).alias("description"),
-        tx.query_value(tx.decode_entities(booking), "ScheduleID").alias("schedule_id"),
+    parts = computed_once(
+        items, *keys, _inner(F.col("_b"), "sticky-header").alias("_header"), title.alias("_title"),
+        _inner(F.col("_b"), "post-info").alias("_info"), description.alias("_description"), booking.alias("_booking"),
+    )
+    return computed_once(
+        parts, *keys, tx.html_to_line(F.col("_header")).alias("header"), _text(F.col("_title")).alias("title"),
+        _attribute(F.col("_title"), "href").alias("href"), tx.html_to_line(F.col("_info")).alias("info"),
+        _text(F.col("_description")).alias("description"),
+        tx.query_value(tx.decode_entities(F.col("_booking")), "ScheduleID").alias("schedule_id"),
     )
 
 
 def listing_events(items: DataFrame, origin: Origin, location_prefix: str, window_end: str) -> DataFrame:
-    """Dated items of a listing; the date header of an item holds for those after it, over page ends."""
-    stamped = items.withColumn("_own_day", tm.day_from(F.regexp_extract("header", r"(\d{1,2}-[A-Za-z]{3}-\d{4})", 1), "d-MMM-yyyy"))
+    """Dated items of a listing; the date header of an item holds for those after it, over page ends.
+
+    Pages are parsed once: the items land in a checkpoint, as the carried dates and the rule on repeats read them several times.
+    """
+    own_day = tm.day_from(F.regexp_extract("header", r"(\d{1,2}-[A-Za-z]{3}-\d{4})", 1), "d-MMM-yyyy")
+    stamped = cut_lineage(items.withColumn("_own_day", own_day).drop("header"))
     dated = forward_fill(stamped, "source", "page", "pos", "_own_day", "_day").filter(
         F.col("_day").isNotNull() & (F.col("_day") <= F.lit(window_end).cast("date")) & F.col("title").isNotNull()
     )
-    title, location = tx.split_location(tx.clean_text(F.col("title")), tx.LOCATION_SUFFIX, location_prefix)
+    dated = computed_once(dated, *[c for c in dated.columns if c != "title"], tx.clean_text(F.col("title")).alias("title"))
+    title, location = tx.split_location(F.col("title"), tx.LOCATION_SUFFIX, location_prefix)
     call = F.regexp_replace("description", r"(?iU)\s*(Learn More|Check Availability)\s*$", "")
     product = tx.absolute_url(F.coalesce("href", F.lit("")), origin.base)
-    rows = dated.select(
-        "source", "page", "pos", title.alias("title"), location.alias("location"), "_day",
+    rows = computed_once(
+        dated, "source", "page", "pos", title.alias("title"), location.alias("location"), "_day",
         tm.clock_minutes(tx.start_time_text(F.col("info"))).alias("_min"), product.alias("url"),
         tx.join_parts(tx.price_text(F.col("info")), tx.strip(call)).alias("description"), "schedule_id",
     )
@@ -252,7 +261,7 @@ def listing_events(items: DataFrame, origin: Origin, location_prefix: str, windo
     keyed = rows.withColumn("_a", F.coalesce(booked, shown)).withColumn(
         "_b", F.concat_ws("|", shown, F.col("url"))
     ).withColumn("_ord", F.struct("source", "page", "pos"))
-    kept = greedy_two_key_dedupe(keyed, "_a", "_b", "_ord")
+    kept = greedy_two_key_dedupe(cut_lineage(keyed), "_a", "_b", "_ord")
     return kept.select(
         "source", "page", "pos", "title", tm.sydney_iso(F.col("_day"), F.col("_min")).alias("start"),
         F.lit(None).cast("string").alias("end"), F.col("_min").isNull().alias("all_day"), "url", "location", "description",
@@ -273,8 +282,8 @@ def inventory_items(pages: DataFrame, html: str = "html") -> DataFrame:
     name = _text(F.regexp_extract("_b", r"(?is)<h2[^>]*>(.*?)</h2>", 1))
     price = _text(F.regexp_extract("_b", r"(?is)class=[\"'][^\"']*cf-price[^\"']*[\"'].*?<strong[^>]*>.*?<span[^>]*>(.*?)</span>", 1))
     summary = tx.summary_text(_text(_element(F.col("_b"), r"id=[\"']cf-item-summary-\d+[\"'][^>]*>")))
-    return items.select(
-        *[c for c in items.columns if c != "_b"], number.alias("id"), name.alias("name"), price.alias("price"), summary.alias("summary")
+    return computed_once(
+        items, *[c for c in items.columns if c != "_b"], number.alias("id"), name.alias("name"), price.alias("price"), summary.alias("summary")
     ).filter(F.col("id").isNotNull() & F.col("name").isNotNull() & ~F.lower("name").startswith("private"))
 
 
@@ -290,15 +299,16 @@ def scheduled_items(days: DataFrame, window_days: int, density: float = ON_DEMAN
 
 
 def availability_events(items: DataFrame, days: DataFrame, portal: str, window_days: int) -> DataFrame:
-    """One event per item and available day. ``items``: id, place, name, price, summary; ``days``: id, day."""
+    """One event per item and available day. ``items``: id, place, name, price, summary; ``days``: id, day, read twice from a checkpoint."""
+    days = cut_lineage(days)
     start, end = tm.name_times(F.col("name"))
-    described = items.select(
-        "id", "place", tx.drop_weekday(F.col("name")).alias("title"), start.alias("_start"), end.alias("_end"),
+    described = computed_once(
+        items, "id", "place", tx.drop_weekday(F.col("name")).alias("title"), start.alias("_start"), end.alias("_end"),
         tx.join_parts(F.col("price"), F.col("summary")).alias("description"),
     )
     open_days = days.join(scheduled_items(days, window_days), "id", "left_semi").select("id", "day").distinct()
-    rows = open_days.join(described, "id").select(
-        "id", "place", "day", "title", tm.sydney_iso(F.col("day"), F.col("_start")).alias("start"),
+    rows = computed_once(
+        open_days.join(described, "id"), "id", "place", "day", "title", tm.sydney_iso(F.col("day"), F.col("_start")).alias("start"),
         tm.overnight_end(F.col("day"), F.col("_start"), F.col("_end")).alias("end"), F.col("_start").isNull().alias("all_day"),
         F.concat(F.lit(f"{portal}?date="), F.col("day").cast("string"), F.lit("#"), F.col("id").cast("string"), F.lit("@book@")).alias("url"),
         "description",

@@ -335,6 +335,47 @@ def test_availability_items(spark):
     assert [(r.title, r.start, r.end) for r in out.collect()] == [("Night (10pm-1am)", "2026-07-03T22:00+10:00", "2026-07-04T01:00+10:00")]
 
 
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_grid_titles_are_computed_once(spark):
+    df = spark.createDataFrame([(1, "01-02-2026", '<a href="/x?preferredTime=9%3A00+AM"><strong>9:00 AM</strong> Reef</a>')], "ord int, day_key string, snippet string")
+    events = ls.grid_events(df, ls.Origin("https://s.example.org/calendar", "https://s.example.org"))
+    assert _plan(events).count("<strong[^>]*>") == 1
+    assert events.first().title == "Reef"
+
+
+def test_listing_pages_are_parsed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    page = '<div class="post-item"><div class="sticky-header">Sat 03-Jan-2026</div><div class="post-title"><a href="i">Reef</a></div></div>'
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    pages = spark.createDataFrame([("s", 0, page)], "source string, page long, html string").mapInArrow(counted, "source string, page long, html string")
+    events = ls.listing_events(ls.listing_items(pages), ls.Origin("https://s.example.org/", "https://s.example.org"), "Shop ", "2026-12-31")
+    assert [r.start for r in events.collect()] == ["2026-01-03"]
+    assert seen.value == 1
+
+
+def test_availability_is_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    days = spark.createDataFrame([(1, dt.date(2026, 1, 3))], "id long, day date").mapInArrow(counted, "id long, day date")
+    items = spark.createDataFrame([(1, 1, "Reef 8am", "$5", "Nice")], "id long, place long, name string, price string, summary string")
+    events = ls.availability_events(items, days, "https://p.example.org/", 100)
+    assert [(r.title, r.start) for r in events.collect()] == [("Reef 8am", "2026-01-03T08:00+11:00")]
+    assert seen.value == 1
+
+
 def test_long_pages_parse_in_linear_time(spark):
     n = 20_000
     sections = "".join(f"<h3>Part {i}</h3><p>Impact: bad {i}</p><p>CVE-2020-{1000 + i}</p>" for i in range(n))
