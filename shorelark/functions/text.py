@@ -310,7 +310,7 @@ def is_skip_name(c: Column) -> Column:
 
 
 def _no_final_dots(c: Column) -> Column:
-    return none_if_empty(F.rtrim(strip(c), F.lit(".")))
+    return let(F.rtrim(strip(c), F.lit(".")), none_if_empty)
 
 
 def combine_impact(impact: Column, description: Column) -> Column:
