@@ -64,8 +64,6 @@ MOST = 0.8
 PARTS = 32
 #: Wrappers of all hosts are sent to every task up to so many bytes; beyond that they are joined.
 SENT_BYTES = 32 << 20
-#: Nodes of a wrapper; trees that would make it larger leave what has no match to their own pages.
-NODES = 4000
 
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]{0,65536}+\"|'[^']{0,65536}+')*+)>")
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|$)""", re.IGNORECASE)
@@ -307,9 +305,19 @@ def matching(a: Tree, b: Tree) -> list[tuple[Tree, Tree]]:
             memo[key] = 1 + table(x, y)[-1][-1]
         return memo[key]
 
+    rivals: dict[tuple[int, int], list[Tree]] = {}
+
+    def alike(x: Tree, y: Tree) -> list[Tree]:
+        """Children of x that a child of y may match; the others change no matching, however many a wrapper has."""
+        key = (id(x), id(y))
+        if key not in rivals:
+            labels = {q.label for q in y.kids}
+            rivals[key] = [p for p in x.kids if p.label in labels] if labels else []
+        return rivals[key]
+
     def table(x: Tree, y: Tree) -> list[list[int]]:
         rows = [[0] * (len(y.kids) + 1)]
-        for p in x.kids:
+        for p in alike(x, y):
             row, above = [0], rows[-1]
             for j, q in enumerate(y.kids):
                 row.append(max(above[j + 1], row[j], above[j] + score(p, q)))
@@ -320,12 +328,12 @@ def matching(a: Tree, b: Tree) -> list[tuple[Tree, Tree]]:
     stack = [(a, b)]
     while stack:
         x, y = stack.pop()
-        rows = table(x, y)
-        i, j = len(x.kids), len(y.kids)
+        rows, ahead = table(x, y), alike(x, y)
+        i, j = len(ahead), len(y.kids)
         while i and j:
-            gain = score(x.kids[i - 1], y.kids[j - 1])
+            gain = score(ahead[i - 1], y.kids[j - 1])
             if gain and rows[i][j] == rows[i - 1][j - 1] + gain:
-                pairs.append((x.kids[i - 1], y.kids[j - 1]))
+                pairs.append((ahead[i - 1], y.kids[j - 1]))
                 stack.append(pairs[-1])
                 i, j = i - 1, j - 1
             elif rows[i][j] == rows[i - 1][j]:
@@ -336,8 +344,7 @@ def matching(a: Tree, b: Tree) -> list[tuple[Tree, Tree]]:
 
 
 def merge(wrapper: Tree, other: Tree) -> None:
-    """Aligns a tree with a wrapper and adds it; what has no match is inserted where its neighbours are."""
-    room = NODES - wrapper.size()
+    """Aligns a tree with a wrapper and adds it whole; what has no match is inserted where its neighbours are."""
     matched = {id(b): a for a, b in matching(wrapper, other)}
     stack = [(wrapper, other)]
     while stack:
@@ -357,7 +364,7 @@ def merge(wrapper: Tree, other: Tree) -> None:
             if partner is not None:
                 stack.append((partner, kid))
                 place = next(i for i, x in enumerate(w.kids) if x is partner) + 1
-            elif (room := room - kid.size()) >= 0:
+            else:
                 w.kids.insert(place, kid)
                 place += 1
 

@@ -207,6 +207,20 @@ def test_wrappers_do_not_depend_on_how_pages_are_dealt(web):
     assert wr.extract(frame.limit(0)).count() == 0
 
 
+def test_a_crowded_wrapper_leaves_no_tree_out():
+    def page(labels, pages):
+        t = wr.Tree("", pages, 0, None, False)
+        t.kids = [wr.Tree(x, pages, 5, "same", False) for x in labels]
+        return t
+
+    wrapper = page(["nav"], 1)
+    for i in range(250):
+        wr.merge(wrapper, page(["nav", *[f"div.w{i}x{j}" for j in range(20)]], 1))
+    wr.merge(wrapper, page(["nav", "footer.last"], 9000))
+    found = {k.label: k.pages for k in wrapper.kids}
+    assert len(found) == 250 * 20 + 2 and found["footer.last"] == 9000 and found["nav"] == wrapper.pages == 9251
+
+
 def plain_matching(a, b) -> int:
     """Size of the largest ordered matching, by trying all."""
     if a.label != b.label:
