@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shorelark.llm.common import byte_texts, components, identified, looked_up
+from shorelark.llm.common import byte_texts, components, identified, looked_up, runs
 from shorelark.session import cut_lineage
 
 SALTS = 16
@@ -31,6 +31,14 @@ LEAST_ALIKE = 80
 SAMPLE, FREQUENT = 8000, 100_000
 #: Shingles that so many rows of the sample have are crowded: no task gathers all rows of one.
 CROWDED = 8
+#: Members of a key of more sets bring with them what tells most pairs apart where they meet; there are few pairs of the other keys.
+FEW = 8
+#: Members of a key that one task compares with all of them, about.
+DEALT = 512
+#: Numbers of 64 bits in the smallest sketch.
+FOLD = 16
+#: Rows whose texts are held at a time, as bytes and as shingles.
+TEXTS = 500
 #: Ids of texts that are sent to every task; more are joined.
 SENT = 1_000_000
 #: Anchors with more fingerprints are split by the bits of the other half before they are compared.
@@ -256,10 +264,11 @@ def simhash_dedup(
 # ---- near copies -----------------------------------------------------------
 
 def shingle_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[int]]]:
-    """Each batch with the distinct shingles of its texts, ascending, and a hash of each such set."""
-    for batch in batches:
-        sets = [np.unique(shingle_hashes(text, words)) for text in byte_texts(batch.column("text"))]
-        yield batch, sets, [xxhash.xxh64_intdigest(s.tobytes()) for s in sets]
+    """Slices of the batches with the distinct shingles of their texts, ascending, and a hash of each such set."""
+    slices = (batch.slice(at, TEXTS) for batch in batches for at in range(0, batch.num_rows, TEXTS))
+    for part, texts in runs(slices):
+        sets = [np.unique(shingle_hashes(text, words)) for text in texts]
+        yield part, sets, [xxhash.xxh64_intdigest(s.tobytes()) for s in sets]
 
 
 def lists(found: list[np.ndarray]) -> pa.Array:
@@ -301,7 +310,7 @@ def prefixes(given: DataFrame, words: int, least: int) -> DataFrame:
         return s[order], int((rank[order] < CROWDED).sum())
 
     def sketch(s: np.ndarray) -> np.ndarray:
-        size = 64 << max(3, (max(1, len(s)) // 32).bit_length())
+        size = max(64 * FOLD, 64 << (len(s) // 32).bit_length())
         odd = np.bincount((s % np.uint64(size)).astype(np.int64), minlength=size) & 1
         return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
@@ -356,36 +365,61 @@ def by_fingerprint(sets: DataFrame) -> DataFrame:
     return same.select(*ends("x", "y")).union(across.select(*ends("x", "y"))).distinct()
 
 
-def by_prefix(members: DataFrame, sweep: int | None, least: int) -> DataFrame:
+def by_prefix(members: DataFrame, sets: DataFrame, sweep: int | None, least: int) -> DataFrame:
     """Pairs (a, b) of a key's members (key, node, n, pos, root) that have different roots and that sizes and places of the key
     don't prove less than ``least`` hundredths alike: of neighbours in a random order, or all without ``sweep``.
 
-    Without ``sweep`` a key's members meet by bands of their sizes, so those of too different sizes never do.
+    Without ``sweep`` a key's members meet by bands of their sizes, so those of too different sizes never do. Two sets that
+    share many keys are a pair at the first of these; at the others they are told by an earlier key that both have. What
+    they may have in common before a key is what they share with sets of other roots, not all that comes before it. Where
+    many sets meet, small sketches are compared there and then, so pairs that these tell apart are never written.
     """
     row = F.struct("node", "n", "pos", "root")
+    told = F.lit(True)
     if sweep is not None:
         along = Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(sweep)), "node")
         beside = F.array(*(F.lead(row, k).over(along) for k in range(1, 5)))
         met = members.select(row.alias("x"), beside.alias("all")).select("x", F.explode("all").alias("y")).filter("x.root <> y.root")
     else:
         # keys of one passage have the same members (told by two sums of their hashes): one of these keys is enough
-        told = [F.sum(F.xxhash64("node", F.lit(k)).cast("decimal(38,0)")).alias(f"sum{k}") for k in (1, 2)]
-        kinds = members.groupBy("key").agg(F.count("*").alias("size"), *told)
-        members = members.join(kinds.groupBy("size", "sum1", "sum2").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
-        # sizes of sets that are alike lie in one band or in two that follow each other
-        banded = members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(101 / least)).cast("int"))
-        left = banded.select("key", "band", row.alias("x")).withColumn("up", F.explode(F.array(F.lit(0), F.lit(1))))
-        left = left.select("key", (F.col("band") + F.col("up")).alias("band"), "up", "x")
-        met = left.join(banded.select("key", "band", row.alias("y")), ["key", "band"]).filter("x.root < y.root or (up = 1 and x.root <> y.root)")
+        sums = [F.sum(F.xxhash64("node", F.lit(k)).cast("decimal(38,0)")).alias(f"sum{k}") for k in (1, 2)]
+        kinds = members.groupBy("key").agg(F.count("*").alias("size"), *sums)
+        enough = kinds.groupBy("size", "sum1", "sum2").agg(F.min("key").alias("key")).select("key", "size")
+        along = Window.partitionBy("node").orderBy("pos")
+        marked = members.join(enough, "key", "left").withColumn("kept", F.when(F.col("size").isNotNull(), F.col("key")))
+        earlier = [F.expr(f"lag(kept, {k}) ignore nulls over (partition by node order by pos)") for k in (1, 2, 3)]
+        earlier.append(F.first("kept", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)))
+        placed = marked.withColumn("shared", F.row_number().over(along) - 1).withColumn("before", F.array_compact(F.array(*earlier)))
+        placed = placed.filter("size is not null").join(sets.select("node", folded("bits").alias("fold")), "node")
+        many = F.col("size") > FEW
+        row = F.struct("node", "n", "pos", "root", "shared", F.when(many, F.col("before")).alias("before"), F.when(many, F.col("fold")).alias("fold"))
+        # sizes of sets that are alike lie in one band or in two that follow each other; members of a large key are dealt out
+        banded = placed.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(101 / least)).cast("int"))
+        banded = banded.withColumn("parts", F.ceil(F.col("size") / DEALT).cast("int"))
+        part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")
+        left = banded.select("key", "band", part, row.alias("x")).withColumn("up", F.explode(F.array(F.lit(0), F.lit(1))))
+        left = left.select("key", (F.col("band") + F.col("up")).alias("band"), "part", "up", "x")
+        right = banded.select("key", "band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), row.alias("y"))
+        met = left.join(right, ["key", "band", "part"]).filter("x.root < y.root or (up = 1 and x.root <> y.root)")
+        n, m = F.col("x.n"), F.col("y.n")
+        common = F.least("x.shared", "y.shared") + F.least(n - F.col("x.pos"), m - F.col("y.pos"))
+        odd = sum((F.bit_count(F.col("x.fold")[k].bitwiseXOR(F.col("y.fold")[k])) for k in range(FOLD)), F.lit(0))
+        told = alike(common, n, m, least) & ~F.coalesce(F.arrays_overlap("x.before", "y.before"), F.lit(False))
+        told &= F.coalesce(alike((n + m - odd) / 2, n, m, least), F.lit(True))
     n, m = F.col("x.n"), F.col("y.n")
     common = F.least("x.pos", "y.pos") + F.least(n - F.col("x.pos"), m - F.col("y.pos"))
     fits = (F.least(n, m) * 100 >= F.greatest(n, m) * least) & alike(common, n, m, least)
-    return met.filter(fits).select(*ends("x.node", "y.node")).distinct()
+    return met.filter(fits & told).select(*ends("x.node", "y.node")).distinct()
+
+
+def folded(bits: str) -> Column:
+    """The sketch of the smallest size."""
+    return F.expr(f"transform(sequence(0, {FOLD - 1}), i -> aggregate(sequence(i, size({bits}) - 1, {FOLD}), 0L, (x, j) -> x ^ {bits}[j]))")
 
 
 def alike(common: Column, n: Column, m: Column, least: int) -> Column:
     """Whether sets of n and m with so many common elements are at least ``least`` hundredths alike."""
-    return common * 100 >= (n + m - common) * least
+    return common * (100 + least) >= (n + m) * least
 
 
 def near_copies(
@@ -429,7 +463,7 @@ def near_copies(
         found = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         apart = found.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
         members = cut_lineage(found.join(apart, "key", "left_semi"))
-        todo = by_prefix(members, sweep, least).join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        todo = by_prefix(members, sets, sweep, least).join(checked.select("a", "b"), ["a", "b"], "left_anti")
         checked = checked.unionAll(compared(todo))
     links = checked.filter("linked").select("a", "b")
     return component_ids(rows, "node", links, salts).select("doc_id", "rid", "component_id", F.coalesce("root", "node").alias("group"))
