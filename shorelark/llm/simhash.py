@@ -32,7 +32,7 @@ SAMPLE, FREQUENT = 8000, 100_000
 #: Shingles that so many rows of the sample have are crowded: no task gathers all rows of one.
 CROWDED = 8
 #: Members of a key of more sets bring with them what tells most pairs apart where they meet; there are few pairs of the other keys.
-FEW = 8
+FEW = 16
 #: Members of a key that one task compares with all of them, about.
 DEALT = 512
 #: Numbers of 64 bits in the smallest sketch.
@@ -383,8 +383,8 @@ def by_prefix(members: DataFrame, sets: DataFrame, sweep: int | None, least: int
     else:
         # keys of one passage have the same members (told by two sums of their hashes): one of these keys is enough
         sums = [F.sum(F.xxhash64("node", F.lit(k)).cast("decimal(38,0)")).alias(f"sum{k}") for k in (1, 2)]
-        kinds = members.groupBy("key").agg(F.count("*").alias("size"), *sums)
-        enough = kinds.groupBy("size", "sum1", "sum2").agg(F.min("key").alias("key")).select("key", "size")
+        kinds = members.groupBy("key").agg(F.count("*").alias("size"), F.max("n").alias("most"), *sums)
+        enough = kinds.groupBy("size", "most", "sum1", "sum2").agg(F.min("key").alias("key")).select("key", "size", "most")
         along = Window.partitionBy("node").orderBy("pos")
         marked = members.join(enough, "key", "left").withColumn("kept", F.when(F.col("size").isNotNull(), F.col("key")))
         earlier = [F.expr(f"lag(kept, {k}) ignore nulls over (partition by node order by pos)") for k in (1, 2, 3)]
@@ -394,12 +394,15 @@ def by_prefix(members: DataFrame, sets: DataFrame, sweep: int | None, least: int
         many = F.col("size") > FEW
         row = F.struct("node", "n", "pos", "root", "shared", F.when(many, F.col("before")).alias("before"), F.when(many, F.col("fold")).alias("fold"))
         # sizes of sets that are alike lie in one band or in two that follow each other; members of a large key are dealt out
-        banded = placed.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(101 / least)).cast("int"))
-        banded = banded.withColumn("parts", F.ceil(F.col("size") / DEALT).cast("int"))
+        def band(n: str) -> Column:
+            return F.floor(F.log(F.col(n).cast("double")) / math.log(101 / least)).cast("int")
+
+        banded = placed.withColumn("band", band("n")).withColumn("up", F.sequence(F.lit(0), F.when(band("most") > F.col("band"), 1).otherwise(0)))
+        banded = banded.withColumn("parts", F.ceil(F.col("size") / DEALT).cast("int")).withColumn("x", row)
         part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")
-        left = banded.select("key", "band", part, row.alias("x")).withColumn("up", F.explode(F.array(F.lit(0), F.lit(1))))
+        left = banded.select("key", "band", part, "x", F.explode("up").alias("up"))
         left = left.select("key", (F.col("band") + F.col("up")).alias("band"), "part", "up", "x")
-        right = banded.select("key", "band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), row.alias("y"))
+        right = banded.select("key", "band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("x").alias("y"))
         met = left.join(right, ["key", "band", "part"]).filter("x.root < y.root or (up = 1 and x.root <> y.root)")
         n, m = F.col("x.n"), F.col("y.n")
         common = F.least("x.shared", "y.shared") + F.least(n - F.col("x.pos"), m - F.col("y.pos"))
@@ -441,6 +444,7 @@ def near_copies(
     rows = cut_lineage(prefixes(given, words, least))
     sets = cut_lineage(rows.groupBy("node", "n", "fp", "bits").agg(F.min("rid").alias("rid")))  # each set once
     shared = cut_lineage(shared_keys(rows.select("node", "n", "rare", F.posexplode("keys").alias("pos", "key"))))
+    rows = cut_lineage(rows.select("doc_id", "rid", "node"))  # the keys' checkpoint can go
 
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, found, nodes in shingle_sets(batches, words):
