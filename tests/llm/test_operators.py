@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,6 +151,71 @@ def test_suffix_dedup_like_all_windows(spark, docs, monkeypatch, settings):
     assert Counter(got) == Counter((i, *want[i, t]) for i, t in rows)
 
 
+@pytest.mark.parametrize("settings", [{"CROWD": 2}, {"SHARD_BYTES": 500, "CROWD": 3, "GATHERED": 40, "REFINED": 1}, {"CROWD": 4, "GATHERED": 7}])
+def test_suffix_dedup_in_small_pieces(spark, monkeypatch, settings):
+    """Anchors whose stretches are held no longer, dealt out window by window, or refined alone, in any number of shards."""
+    for name, value in settings.items():
+        monkeypatch.setattr(suffixes, name, value)
+    monkeypatch.setattr(suffixes, "SAMPLE", 0)
+    part, line = h.prose(50, 60), h.prose(51, 12)[:80]
+    rows = [(i % 60, h.prose(400 + i, 12) + part[3 * i % 11:170 + 5 * (i % 30)] + h.prose(500 + i % 40, 9)) for i in range(70)]
+    rows += [(None, line + h.prose(600 + i % 5, 5) + line) for i in range(12)] + [(100 + i, line[i % 7:] + h.prose(700 + i % 9, 8)) for i in range(40)] + [(200, part * 3), (201, part * 3), (202, None)]
+    df = h.table(spark, [(i, t, None) for i, t in rows]).repartition(4)
+    rids = {(r.doc_id, r.text): r.rid for r in df.select("doc_id", "text", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("rid")).collect()}
+    want = h.repeats({(i, t): t for i, t, _ in in_order([(i, t, rids[i, t]) for i, t in rows])})
+    got = [(r.doc_id, r.n_bytes, sum(s.length for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in suffixes.suffix_dedup(df).collect()]
+    assert Counter(got) == Counter((i, *want[i, t]) for i, t in rows)
+
+
+def peak_mb(job) -> float:
+    """Most MB that Python and numpy hold at once during a job."""
+    tracemalloc.start()
+    try:
+        job()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_surroundings_are_refined_a_few_anchors_at_a_time():
+    rng = np.random.default_rng(1)
+    n, size = 300, 150
+    raw = rng.integers(97, 123, (100 * n, size), np.uint8)
+    raw[:, 60:92] = np.repeat(raw[::n, 60:92], n, 0)
+    raw[1::n] = raw[::n]
+    data = [r.tobytes() for r in raw]
+    columns = {"apart": np.zeros(len(raw), bool), "h": np.arange(len(raw)) // n, "doc_id": np.arange(len(raw)), "rid": np.zeros(len(raw), np.int64), "lo": np.full(len(raw), 5)}
+    batch = pa.RecordBatch.from_pydict(columns | {"bytes": pa.array(data, pa.binary())})
+    found = []
+    most = peak_mb(lambda: found.extend(suffixes._refine(iter([batch.slice(at, 7000) for at in range(0, len(raw), 7000)]), 1, 1000, suffixes.REFINED)))
+    assert [x for b in found for x in zip(b["doc_id"].to_pylist(), b["a"].to_pylist(), b["b"].to_pylist(), strict=True)] == [(i, 5, 5 + size) for i in range(1, len(raw), n)]
+    assert most < 100
+
+
+def test_a_shard_is_settled_in_pieces():
+    """Equal stretches and crowded anchors are not held until the shard ends."""
+    def pieces():
+        for k in range(60):
+            out = np.zeros(20_000, suffixes.RECORD)
+            out["doc"], out["h"] = 60 - k, np.arange(20_000) % 10_000 + 7
+            out["g"], out["lo"] = out["h"], 200 * (np.arange(20_000) // 10_000)
+            out["h"][:2000], out["g"][:2000] = 3, k * 2000 + np.arange(2000)
+            yield out
+
+    spans, asked = [], []
+
+    def job():
+        for s, a, apart in suffixes.combined(pieces(), 50_000, 3000):
+            spans.append(len(s))
+            asked.append(a["h"][apart].copy())
+            assert apart.all()
+
+    assert peak_mb(job) < 40
+    asked = np.concatenate(asked)
+    assert len(asked) == 120_000 and (asked == 3).all()
+    assert sum(spans) > 0
+
+
 def test_buckets_tell_windows_apart():
     rng = np.random.default_rng(0)
     raw = np.concatenate([rng.integers(97, 99, 1500), np.zeros(100)]).astype(np.uint8)
